@@ -36,8 +36,15 @@ LUCK_PRIOR_N = 220.0
 PYTHAGOREAN_EXPONENT = 1.83
 
 
-def r6(col: Column) -> Column:
-    return F.round(col, 6)
+def rnd(col: Column | str, digits: int = 6) -> Column:
+    """Round half up.  A billionth is added first, so a value on the boundary falls
+    the same way whatever the last bit of the sum behind it."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.round(col + 1e-9, digits)
+
+
+def r6(col: Column | str) -> Column:
+    return rnd(col, 6)
 
 
 def ratio(top: Column, bottom: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_scalars, q_rates
+from . import q_joins, q_rates, q_scalars
 from .registry import ORACLES, QUERIES
 
-MODULES = (q_scalars, q_rates)
+MODULES = (q_scalars, q_rates, q_joins)
 
 
 def queries():

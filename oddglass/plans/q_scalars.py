@@ -55,7 +55,7 @@ def x4(t):
     text = F.when(F.col("event_type") == "error", "-.--").otherwise(F.get_json_object("props", "$.k"))
     return (
         t.live.select("user_id", X.text_rate(text).alias("rate")).groupBy("user_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.count("rate").alias("readable"), F.round(F.sum("rate"), 2).alias("total"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count("rate").alias("readable"), X.rnd(F.sum("rate"), 2).alias("total"))
     )
 
 
@@ -212,7 +212,7 @@ SELECT tag, CASE WHEN tag = 'since_2015' THEN 'in the Statcast era (since 2015)'
 FROM (SELECT CASE WHEN subject_id % 2 = 0 THEN 'since_' || year ELSE 'season_' || year END AS tag, hr, n AS n0 FROM @seasons) GROUP BY 1""")
 def x17(t):
     tag = F.concat(F.when(F.col("subject_id") % 2 == 0, "since_").otherwise("season_"), F.col("year").cast("string"))
-    got = t.seasons.groupBy(tag.alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("hr") / F.sum("n"), 3).alias("v"))
+    got = t.seasons.groupBy(tag.alias("tag")).agg(F.count(F.lit(1)).alias("n"), X.rnd(F.sum("hr") / F.sum("n"), 3).alias("v"))
     return got.select("tag", X.coverage_phrase(F.col("tag")).alias("phrase"), "n", X.format_number(F.col("v").cast("string"), "avg").alias("shown"))
 
 

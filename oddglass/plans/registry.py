@@ -18,7 +18,8 @@ def expand(sql: str) -> str:
     while True:
         new = re.sub(r"@([a-z_]+)", lambda m: f"({ROLE_SQL[m.group(1)].strip()})", sql)
         if new == sql:
-            return sql.strip()
+            # Same rounding as functions.scalars.rnd.
+            return re.sub(r"\bround\(", "round(1e-9 + ", sql.strip())
         sql = new
 
 
