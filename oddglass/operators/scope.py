@@ -64,11 +64,12 @@ def conjunction_peers(groups: DataFrame, rows: DataFrame, part: list[str], subje
     sets = flagged.groupBy(*part, subject).agg(
         F.sort_array(F.collect_set(F.when(F.col("_t") >= F.col("cut"), F.col("metric_id")))).alias("_pass"),
         F.sort_array(F.collect_set("metric_id")).alias("_have"))
-    patterns = sets.groupBy(*part, "_pass", "_have").agg(F.count("*").alias("_c"))
     combos = groups.select(*part, "metrics").distinct().withColumn("_m", F.split("metrics", r"\+"))
-    # Patterns per period are at most 4^metrics and in practice a few; combos are fewer.
-    met = combos.join(patterns, part) if part else combos.join(patterns)
-    inside = lambda a: F.size(F.array_intersect("_m", a)) == F.size("_m")
-    return met.groupBy(*part, "metrics").agg(
-        F.coalesce(F.sum(F.when(inside("_pass"), F.col("_c"))), F.lit(0)).alias("qualifying"),
-        F.coalesce(F.sum(F.when(inside("_have"), F.col("_c"))), F.lit(0)).alias("population"))
+
+    def holding(pattern: str, out: str) -> DataFrame:
+        # Distinct patterns are few (subsets of a driver-held metric list), however many subjects.
+        patterns = sets.groupBy(*part, pattern).agg(F.count("*").alias("_c"))
+        covers = F.size(F.array_intersect("_m", pattern)) == F.size("_m")
+        return combos.join(patterns, part).groupBy(*part, "metrics").agg(F.coalesce(F.sum(F.when(covers, F.col("_c"))), F.lit(0)).alias(out))
+
+    return holding("_pass", "qualifying").join(holding("_have", "population"), [*part, "metrics"])

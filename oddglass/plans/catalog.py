@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_joins, q_rates, q_scalars
+from . import q_joins, q_rates, q_scalars, q_windows
 from .registry import ORACLES, QUERIES
 
-MODULES = (q_scalars, q_rates, q_joins)
+MODULES = (q_scalars, q_rates, q_joins, q_windows)
 
 
 def queries():

@@ -367,6 +367,7 @@ def u3(t):
     return t.customer.select(c("c_nationkey").alias("team"), c("c_name").alias("name")).union(t.supplier.select("s_nationkey", "s_name")).distinct()
 
 
-@query("U4_except", "SELECT c_nationkey AS team FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("U4_except", "SELECT c_custkey AS subject_id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def u4(t):
-    return t.customer.select(c("c_nationkey").alias("team")).distinct().join(t.supplier.select(c("s_nationkey").alias("team")), "team", "left_anti")
+    done = t.orders.where("o_orderstatus = 'F'").select(c("o_custkey").alias("subject_id"))
+    return t.customer.select(c("c_custkey").alias("subject_id")).distinct().join(done, "subject_id", "left_anti")
