@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..session import settle
 from . import ordering as O
 
 EXTREME_FLOOR = 0.80
@@ -67,7 +68,9 @@ def bh(rows: DataFrame, family: list[str], p: str, ties: list[str], alpha: float
     ``per_rank`` keeps every rank that passes its own line, ``step_up`` all ranks up
     to the largest passing one.
     """
-    placed = O.ordinal(rows, family, [p, *ties], out="bh_rank", size="bh_m")
+    # The hits are few beside the population they came from; written once, they are
+    # read by each branch below without running the lenses again.
+    placed = O.ordinal(settle(rows), family, [p, *ties], out="bh_rank", size="bh_m")
     own = F.col(p) <= F.col("bh_rank") / F.col("bh_m") * alpha
     if mode == "per_rank":
         return placed.withColumn("survives", own)
@@ -122,6 +125,7 @@ def matched_control(
     cohorts are ranges over one ordered column, so they come from cumulative sums;
     a subject's own seasons (a few) are then taken out again by an equi-join.
     """
+    pairs, probes = settle(pairs), settle(probes)  # each is read by several branches
     up = pairs.withColumn("up", (F.col("move") > 0).cast("double")).withColumn("part", F.lit("all"))
     probe = probes.withColumn("part", F.lit("all"))
     ask = lambda col, within: probe.select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..session import settle
 from . import ordering as O
 from .joins import asof_anchor, best_per_key
 
@@ -58,7 +59,7 @@ def conjunction_peers(groups: DataFrame, rows: DataFrame, part: list[str], subje
     Whether a subject passes is one bit per metric, so subjects are counted by their
     small pass/present sets and the combinations are matched against those counts.
     """
-    turned = rows.withColumn("_t", F.when(F.col("higher"), F.col("value")).otherwise(-F.col("value")))
+    turned = settle(rows).withColumn("_t", F.when(F.col("higher"), F.col("value")).otherwise(-F.col("value")))
     cuts = O.quantile_cut(turned.select("metric_id", *part, "_t"), ["metric_id", *part], "_t", cut)
     flagged = turned.join(F.broadcast(cuts), ["metric_id", *part])  # one row per listed metric and period
     sets = flagged.groupBy(*part, subject).agg(
