@@ -124,8 +124,8 @@ def unchanged_repeat(rows: DataFrame, claim: str, order: list[str]) -> DataFrame
 
 
 # Default weights and bonuses of the weighted novelty score.
-NOVELTY_WEIGHTS = {"rarity": 0.35, "magnitude": 0.20, "timeliness": 0.15, "rootability": 0.15, "legibility": 0.15}
-DETECTOR_BONUS: dict[str, float] = {}
+NOVELTY_WEIGHTS = {"rarity": 0.30, "magnitude": 0.20, "timeliness": 0.20, "rootability": 0.20, "legibility": 0.10}
+DETECTOR_BONUS = {"on_this_day": 0.05, "leaderboard": 0.10, "crossjoin": 0.15, "milestone": 0.12}
 
 
 def weighted_novelty(components: dict[str, Column], detector: Column, weights=NOVELTY_WEIGHTS, bonuses=DETECTOR_BONUS) -> Column:

@@ -42,3 +42,56 @@ def rolling_mean(rows: DataFrame, subject: str, order: list[str], value: str, mo
         placed.where(F.col("x") >= F.col("w")).join(ends, [subject, "x"], "left")
         .select(subject, "x", "w", ((F.col("_to") - F.coalesce(F.col("_from"), F.col("_to") * 0)) / F.col("w")).alias("y"))
     )
+
+
+# Sample sizes under which a dataset is labelled illustrative.
+SMALL_SAMPLE = {"spray": 50, "movement": 200, "hotcold": 150, "batspeed": 100, "rolling": 100, "release": 200, "zone": 100, "launch": 40}
+# Which dataset goes with which detector.
+COMPANION = {
+    "weakness": "hotcold", "cold_streak": "rolling", "hit_streak": "rolling", "barrel_rate": "launch",
+    "power_cluster": "launch", "statcast_profile": "swingtake", "xstats_unlucky": "rolling", "pitcher_career_chase": "movement",
+}
+
+
+def small(card: str, n: Column) -> Column:
+    return n < SMALL_SAMPLE[card]
+
+
+def spray(rows: DataFrame, subject: list[str], hc_x: Column, hc_y: Column, stand: Column) -> DataFrame:
+    """Field coordinates of each batted ball, and whether it was pulled."""
+    x = X.field_x(hc_x)
+    pulled = ((stand == "R") & (x < 0)) | ((stand == "L") & (x > 0))
+    return rows.where(hc_x.isNotNull() & hc_y.isNotNull()).select(
+        *subject, "point_id", "kind", X.rnd(x, 1).alias("x"), X.rnd(X.field_y(hc_y), 1).alias("y"), pulled.alias("pulled"))
+
+
+def spray_summary(points: DataFrame, subject: list[str]) -> DataFrame:
+    n = F.count("*")
+    return points.groupBy(*subject).agg(n.alias("n"), X.r6(F.count_if("pulled") / n).alias("pull_rate"), small("spray", n).alias("small"))
+
+
+def type_summary(rows: DataFrame, keys: list[str], kind: str, measures: dict[str, Column], card: str) -> DataFrame:
+    """Mix by type rolled up per subject: number of types at 2 % or more, the primary type
+    and its share, and means (sum / count) of the named measures."""
+    per = rows.groupBy(*keys, kind).agg(
+        F.count("*").alias("_n"),
+        *[F.sum(v).alias(f"s_{m}") for m, v in measures.items()], *[F.count(v).alias(f"c_{m}") for m, v in measures.items()])
+    # One row per type from here on.
+    tot = per.groupBy(*keys).agg(
+        F.sum("_n").alias("n"), F.min_by(kind, F.struct(-F.col("_n"), F.col(kind))).alias("primary_kind"), F.max("_n").alias("_top"),
+        F.collect_list("_n").alias("_counts"), *[X.ratio(F.sum(f"s_{m}"), F.sum(f"c_{m}")).alias(m) for m in measures])
+    return tot.select(
+        *keys, "n", F.size(F.filter("_counts", lambda k: k / F.col("n") >= 0.02)).alias("kinds"), "primary_kind",
+        X.r6(F.col("_top") / F.col("n")).alias("primary_share"), *measures, small(card, F.col("n")).alias("small"))
+
+
+def share_summary(rows: DataFrame, keys: list[str], shares: dict[str, Column], card: str) -> DataFrame:
+    n = F.count("*")
+    return rows.groupBy(*keys).agg(
+        n.alias("n"), *[X.r6(F.count_if(cond) / n).alias(name) for name, cond in shares.items()], small(card, n).alias("small"))
+
+
+def companions(findings: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Findings beside the dataset that illustrates them, for the same subject and season."""
+    card = F.create_map(*[F.lit(k) for pair in COMPANION.items() for k in pair])
+    return findings.withColumn("card", card[F.col("detector")]).where(F.col("card").isNotNull()).join(datasets, ["card", "subject_id", "season"])

@@ -251,7 +251,7 @@ def i6(t):
     return I.unchanged_repeat(s, "claim", ["year"]).select("subject_id", "year", "unchanged")
 
 
-@query("I7_weighted_novelty", f"SELECT subject_id, year, round(least(1e0, greatest(0e0, 0.35e0 * (1 - tail_p) + 0.2e0 * stakes + 0.15e0 * occasion + 0.15e0 * tension + 0.15e0 * legibility)), 6) AS novelty FROM {PARTS_SQL}")
+@query("I7_weighted_novelty", f"SELECT subject_id, year, round(least(1e0, greatest(0e0, 0.3e0 * (1 - tail_p) + 0.2e0 * stakes + 0.2e0 * occasion + 0.2e0 * tension + 0.1e0 * legibility + CASE WHEN detector = 'on_this_day' THEN 0.05e0 ELSE 0e0 END)), 6) AS novelty FROM {PARTS_SQL}")
 def i7(t):
     comp = {"rarity": 1 - c("tail_p"), "magnitude": c("stakes"), "timeliness": c("occasion"), "rootability": c("tension"), "legibility": c("legibility")}
     return parts(t).select("subject_id", "year", X.r6(I.weighted_novelty(comp, c("detector"))).alias("novelty"))

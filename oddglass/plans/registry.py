@@ -18,11 +18,27 @@ def expand(sql: str) -> str:
     while True:
         new = re.sub(r"@([a-z_]+)", lambda m: f"({ROLE_SQL[m.group(1)].strip()})", sql)
         if new == sql:
-            # Same rounding as functions.scalars.rnd.
-            return re.sub(r"\bround\(", "round(1e-9 + ", sql.strip())
+            return _same_rounding(sql.strip())
         sql = new
 
 
+def _same_rounding(sql: str) -> str:
+    """Write each ``round(`` the way functions.scalars.rnd rounds, without a negative zero."""
+    out, closes, depth = [], [], 0
+    for token in re.findall(r"\bround\(|[()]|[^()r]+|r", sql):
+        if token == "round(":
+            out.append("(round(1e-9 + ")
+            depth += 1
+            closes.append(depth)
+        else:
+            out.append(token)
+            depth += (token == "(") - (token == ")")
+            if token == ")" and closes and depth < closes[-1]:
+                closes.pop()
+                out.append(" + 0e0)")
+    return "".join(out)
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name`` with its check SQL, if any."""
 
