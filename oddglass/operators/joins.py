@@ -66,14 +66,15 @@ def prior_holders(history: DataFrame, team: str, period: str, subject: str, valu
     return per.groupBy(team).agg(F.array_sort(F.collect_list(entry)).alias("_hist"))
 
 
-def asof_anchor(rows: DataFrame, history: DataFrame, team: str, period: str, subject: str, value: str, higher: bool = True) -> DataFrame:
+def asof_anchor(rows: DataFrame, history: DataFrame, team: str, period: str, subject: str, value: str, higher: bool = True, row_value: str | None = None) -> DataFrame:
     """Most recent earlier season by another subject of the team that matched or beat the row.
 
     Adds ``prior_best`` (best earlier value by another), ``prior_best_id``,
-    ``anchor_period`` and ``anchor_id``; null when there is none.
+    ``anchor_period`` and ``anchor_id``; null when there is none.  ``row_value`` names the
+    rows' own column where it differs from the history's.
     """
     sign = 1 if higher else -1
-    mine = F.col(value) * sign
+    mine = F.col(row_value or value) * sign
     who = lambda h: F.when(h.id1 != F.col(subject), h.id1).otherwise(h.id2)
     how = lambda h: F.when(h.id1 != F.col(subject), h.v1).otherwise(h.v2)
     joined = rows.join(prior_holders(history, team, period, subject, value, higher), team, "left")
