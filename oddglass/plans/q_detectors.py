@@ -137,11 +137,12 @@ def d10(t):
     return near.join(recently_featured(t, 14), "subject_id", "left_anti").select("team", "subject_id", "rank", "gap", "chasing")
 
 
-@query("D11_first_since", """WITH h AS (SELECT team, year, subject_id, war FROM @seasons), cur AS (SELECT *, CASE WHEN war >= 8 THEN 8e0 WHEN war >= 7 THEN 7e0 WHEN war >= 6 THEN 6e0 WHEN war >= 5 THEN 5e0 WHEN war >= 4 THEN 4e0 WHEN war >= 3 THEN 3e0 END AS threshold FROM h WHERE year = 2001)
+@query("D11_first_since", """WITH h AS (SELECT team || c_mktsegment AS team, year, subject_id, war FROM @seasons JOIN customer ON c_custkey = subject_id), cur AS (SELECT *, CASE WHEN war >= 8 THEN 8e0 WHEN war >= 7 THEN 7e0 WHEN war >= 6 THEN 6e0 WHEN war >= 5 THEN 5e0 WHEN war >= 4 THEN 4e0 WHEN war >= 3 THEN 3e0 END AS threshold FROM h WHERE year = 2001)
  SELECT team, year, subject_id, round(war, 6) AS war, threshold, anchor_period, precedents FROM (SELECT cur.*, (SELECT max(h.year) FROM h WHERE h.team = cur.team AND h.year < 2001 AND h.subject_id <> cur.subject_id AND h.war >= threshold) AS anchor_period, (SELECT count(*) FROM h WHERE h.team = cur.team AND h.year < 2001 AND h.subject_id <> cur.subject_id AND h.war >= threshold) AS precedents FROM cur WHERE threshold IS NOT NULL)
  WHERE anchor_period IS NULL OR year - anchor_period >= 5 OR precedents <= 4""")
 def d11(t):
-    hist = t.seasons.select("team", "year", "subject_id", "war")
+    roster = t.customer.select(c("c_custkey").alias("subject_id"), F.concat(c("c_nationkey").cast("string"), "c_mktsegment").alias("team"))
+    hist = t.seasons.drop("team").join(roster, "subject_id").select("team", "year", "subject_id", "war")
     return D.first_since(hist, "team", "year", "subject_id", "war", NOW).withColumn("war", X.r6("war"))
 
 
