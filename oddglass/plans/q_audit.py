@@ -223,7 +223,7 @@ def s9(t):
     return writes.freshness_guard(led, led.select("source").distinct(), F.lit("2024-01-31 12:00:00").cast("timestamp_ntz"))
 
 
-@query("S15_step_chain")
+@query("S15_step_chain", "SELECT 'seasons' AS source, true AS complete, count(*) AS rows FROM @seasons UNION ALL SELECT 'remote', false, 0 UNION ALL SELECT 'pitches', true, count(*) FROM @pitches")
 def s15(t):
     """Three refresh steps; the middle one fails and the others still run."""
     def broken():

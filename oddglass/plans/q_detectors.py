@@ -13,6 +13,7 @@ from ..operators import rates as R
 from ..operators import windows as W
 from ..operators.joins import attach_row, best_per_key
 from ..sources.writes import freshness_guard
+from . import q_learn as QE
 from . import q_lenses as QL
 from . import q_scan as QS
 from . import q_windows as QW
@@ -232,10 +233,10 @@ def d22(t):
     return a13(t)
 
 
-@query("D23_farm_performance", """SELECT c_custkey AS subject_id, n, rate, prospect FROM (SELECT c_custkey, n, rate, c_custkey IN (SELECT s_suppkey FROM supplier) AS prospect, row_number() OVER (ORDER BY try_cast(rate AS DOUBLE) DESC, c_custkey) AS k FROM (SELECT subject_id, sum(n)::BIGINT AS n, CASE WHEN sum(hr) = 0 THEN '---' ELSE printf('%.3f', sum(hr) / sum(n)) END AS rate FROM @seasons GROUP BY 1) JOIN customer ON c_custkey = subject_id WHERE n >= 8 AND try_cast(rate AS DOUBLE) IS NOT NULL) WHERE k <= 8""")
+@query("D23_farm_performance", """SELECT c_custkey AS subject_id, n, rate, prospect FROM (SELECT c_custkey, n, rate, c_custkey IN (SELECT s_suppkey FROM supplier) AS prospect, row_number() OVER (ORDER BY try_cast(rate AS DOUBLE) DESC, c_custkey) AS k FROM (SELECT subject_id, sum(n)::BIGINT AS n, CASE WHEN sum(hr) = 0 THEN '---' ELSE printf('%.3f', round(sum(hr) / sum(n), 3)) END AS rate FROM @seasons GROUP BY 1) JOIN customer ON c_custkey = subject_id WHERE n >= 8 AND try_cast(rate AS DOUBLE) IS NOT NULL) WHERE k <= 8""")
 def d23(t):
     per = t.seasons.groupBy("subject_id", "name").agg(F.sum("n").alias("n"), F.sum("hr").alias("hr"))
-    rate = F.when(c("hr") == 0, "---").otherwise(F.format_string("%.3f", c("hr") / c("n")))
+    rate = F.when(c("hr") == 0, "---").otherwise(F.format_string("%.3f", X.rnd(c("hr") / c("n"), 3)))
     top = per.withColumn("rate", rate).withColumn("v", X.text_rate(c("rate"))).where("n >= 8 AND v IS NOT NULL").orderBy(F.desc("v"), "subject_id").limit(8)
     known = t.supplier.select(F.lower(F.regexp_replace("s_name", "Supplier", "Customer")).alias("k"), F.lit(True).alias("_p"))
     return top.join(known, F.lower("name") == c("k"), "left").select("subject_id", "n", "rate", F.coalesce("_p", F.lit(False)).alias("prospect"))
@@ -246,6 +247,11 @@ def d24(t):
     return QS.p1(t)
 
 
+@query("D25_hypothesis", QE.emitted_sql())
+def d25(t):
+    return QE.h2(t).where("outcome = 'emitted'").select("metric_id", "subject_id", "rarity")
+
+
 # ---- angles ------------------------------------------------------------------
 LEAGUE_SQL = "(SELECT sum(est_woba * pa) / sum(pa) AS league FROM @stats WHERE year = 2001)"
 LUCK_SQL = f"(SELECT team, woba, xwoba, talent, round_even((talent - woba) * 1000, 0) AS owed, pa FROM (SELECT team, sum(woba * pa) / sum(pa) AS woba, sum(est_woba * pa) / sum(pa) AS xwoba, sum((pa * est_woba + 220 * league) / (pa + 220) * pa) / sum(pa) AS talent, CAST(sum(pa) AS BIGINT) AS pa FROM @stats, {LEAGUE_SQL} WHERE year = 2001 AND pa >= 40 GROUP BY 1))"

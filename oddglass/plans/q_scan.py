@@ -265,11 +265,22 @@ def board_rows(t):
     return s.select(ident.alias("id"), "detector", who.alias("subject"), X.r6("score").alias("score"), X.r6(c("score") * prior).alias("rank_value"))
 
 
-@query("T6_diversity_capped_topk")
+def board_sql(explore: int) -> str:
+    """The plain greedy walk, row by row, over all eligible findings."""
+    return f"""WITH RECURSIVE b AS MATERIALIZED (SELECT detector || '-' || subject_id || '-' || year AS id, detector, CASE WHEN subject_id % 11 = 0 THEN '' ELSE team::VARCHAR END AS subject, round(score, 6) AS score, round(score * (1 + (n % 3) * 0.05e0), 6) AS rank_value FROM {SCORE_SQL}),
+ e AS MATERIALIZED (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, id) <= {explore} AS INTEGER) AS explored FROM b WHERE score >= 0.35e0),
+ o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY explored DESC, rank_value DESC, id) AS i FROM e),
+ w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS slot, CAST([] AS VARCHAR[]) AS ds, CAST([] AS VARCHAR[]) AS ss, false AS took
+  UNION ALL SELECT i, slot + CAST(ok AS BIGINT), CASE WHEN ok THEN list_append(ds, detector) ELSE ds END, CASE WHEN ok THEN list_append(ss, subject) ELSE ss END, ok
+  FROM (SELECT o.i, w.slot, w.ds, w.ss, o.detector, o.subject, len(list_filter(w.ds, lambda x: x = o.detector)) < 3 AND (o.subject = '' OR len(list_filter(w.ss, lambda x: x = o.subject)) < 2) AS ok FROM w JOIN o ON o.i = w.i + 1 WHERE w.slot < 12))
+ SELECT slot, id, detector, subject, score, rank_value, explored FROM w JOIN o USING (i) WHERE took"""
+
+
+@query("T6_diversity_capped_topk", board_sql(0))
 def t6(t):
     return I.diversity_board(board_rows(t))
 
 
-@query("B4_diversity_board")
+@query("B4_diversity_board", board_sql(2))
 def b4(t):
     return I.diversity_board(board_rows(t), exploration=2)
