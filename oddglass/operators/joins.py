@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Put the columns of a global aggregate (exactly one row) beside every row."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Put the columns of a global aggregate beside every row, as a scalar subquery.
+
+    ``one_row`` has at most one row; when it has none (a gate failed) nothing is left.
+    """
+    row = one_row.select(F.struct(*one_row.columns).alias("_row")).scalar()
+    return df.withColumn("_row", row).where(F.col("_row").isNotNull()).select(*df.columns, "_row.*")
 
 
 def next_period(rows: DataFrame, subject: str, period: str, bring: dict[str, str]) -> DataFrame:

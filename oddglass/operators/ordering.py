@@ -52,12 +52,11 @@ def running_totals(
     cols = df.columns
     amt = {n: (F.col(a) if isinstance(a, str) else a) for n, a in amounts.items()}
     rows = df.withColumn("_k", F.struct(*order))
-    keys = part or ["_p"]
-    if not part:
-        rows = rows.withColumn("_p", F.lit(0))
+    keys = part
     hint = F.broadcast if few_parts else (lambda d: d)
     cuts = _cut_points(rows, keys, "_k", one_in, most)
-    placed = rows.join(hint(cuts), keys, "left").withColumn(
+    cut = rows.join(hint(cuts), keys, "left") if keys else rows.withColumn("_cuts", cuts.scalar())
+    placed = cut.withColumn(
         "_b", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("_k"))))
     ).drop("_cuts")
     earlier = Window.partitionBy(*keys, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)

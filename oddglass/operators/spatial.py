@@ -22,8 +22,8 @@ def region_sum(rows: DataFrame, keys: list[str], x: Column, z: Column, value: Co
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), X.r6(F.count_if(swing) / F.count(F.lit(1))).alias("swing_share"))
 
 
-def rolling_mean(rows: DataFrame, subject: str, order: list[str], value: str, most: int = 50, least: int = 20, **kw) -> DataFrame:
-    """Trailing mean over ``min(most, max(10, n // 4))`` rows, from the first full window on.
+def rolling_mean(rows: DataFrame, subject: str, order: list[str], value: str, longest: int = 50, shortest: int = 20, **kw) -> DataFrame:
+    """Trailing mean over ``min(longest, max(10, n // 4))`` rows, from the first full window on.
 
     The window length differs per subject, so the mean is the difference of two
     cumulative sums joined on the row number.  A subject with a large share of all
@@ -33,9 +33,9 @@ def rolling_mean(rows: DataFrame, subject: str, order: list[str], value: str, mo
         rows.select(subject, *order, value), [subject], order, {"s": value, "i": F.lit(1).cast("bigint")}, few_parts=False, **kw
     )
     n = F.col("whole_i")
-    placed = cum.where(n >= least).select(
+    placed = cum.where(n >= shortest).select(
         subject, (F.col("before_i") + 1).alias("x"), (F.col("before_s") + F.col(value)).alias("_to"),
-        F.least(F.lit(most), F.greatest(F.lit(10), F.floor(n / 4))).cast("bigint").alias("w"),
+        F.least(F.lit(longest), F.greatest(F.lit(10), F.floor(n / 4))).cast("bigint").alias("w"),
     )
     ends = placed.select(subject, (F.col("x") + F.col("w")).alias("x"), F.col("_to").alias("_from"))
     return (
