@@ -16,18 +16,15 @@ CONTRAST_FLOOR = 0.85
 
 def two_sides(rows: DataFrame, metric: AggMetric, a: SplitSpec, b: SplitSpec, keys: list[str], floor: int = MIN_SIDE) -> DataFrame:
     """``a_value, b_value, a_n, b_n`` of subjects that qualify on both sides."""
-    top, bottom = metric.numerator(), metric.denominator()
-    pa, pb = a.predicate(), b.predicate()
-    per = rows.groupBy(*keys).agg(
-        F.count_if(top & pa).alias("_ta"), F.count_if(bottom & pa).alias("a_n"),
-        F.count_if(top & pb).alias("_tb"), F.count_if(bottom & pb).alias("b_n"),
-    )
-    return per.where((F.col("a_n") >= floor) & (F.col("b_n") >= floor)).select(
-        *keys, (F.col("_ta") * metric.scale / F.col("a_n")).alias("a_value"), (F.col("_tb") * metric.scale / F.col("b_n")).alias("b_value"), "a_n", "b_n")
+    got = all_contrasts(rows, (metric,), (("pair", a, b),), keys, floor)
+    return got.select(*keys, "a_value", "b_value", "a_n", "b_n")
 
 
 def all_contrasts(rows: DataFrame, metrics, pairs, keys: list[str], floor: int = MIN_SIDE) -> DataFrame:
-    """Every coherent metric x pair in one scan: long ``metric_id, pair, keys, a_value, ...``."""
+    """Every coherent metric x pair in one scan: long ``metric_id, pair, keys, a_value, ...``.
+
+    A subject seen on one side only has no gap and is left out.
+    """
     cells, aggs = [], []
     for m in metrics:
         for name, a, b in pairs:
@@ -35,15 +32,14 @@ def all_contrasts(rows: DataFrame, metrics, pairs, keys: list[str], floor: int =
                 continue
             i = len(cells)
             for side, s in (("a", a), ("b", b)):
-                aggs += [F.count_if(m.numerator() & s.predicate()).alias(f"t{side}{i}"), F.count_if(m.denominator() & s.predicate()).alias(f"n{side}{i}")]
-            cells.append(F.struct(
-                F.lit(m.id).alias("metric_id"), F.lit(name).alias("pair"), F.lit(m.scale).alias("scale"), F.lit(m.stabilization_n).alias("stab"),
-                F.col(f"ta{i}").alias("ta"), F.col(f"na{i}").alias("a_n"), F.col(f"tb{i}").alias("tb"), F.col(f"nb{i}").alias("b_n")))
-    wide = rows.groupBy(*keys).agg(*aggs)
-    long = wide.select(*keys, F.inline(F.array(*cells))).where((F.col("a_n") >= floor) & (F.col("b_n") >= floor))
-    return long.select(
-        "metric_id", "pair", *keys, "stab", (F.col("ta") * F.col("scale") / F.col("a_n")).alias("a_value"),
-        (F.col("tb") * F.col("scale") / F.col("b_n")).alias("b_value"), "a_n", "b_n")
+                aggs += [
+                    F.expr(f"count_if(({m.numerator}) AND ({s.predicate()})) AS t{side}{i}"),
+                    F.expr(f"count_if(({m.denominator}) AND ({s.predicate()})) AS n{side}{i}")]
+            cells.append(
+                f"named_struct('metric_id', '{m.id}', 'pair', '{name}', 'scale', {m.scale!r}D, 'stab', {m.stabilization_n}, "
+                f"'ta', ta{i}, 'a_n', na{i}, 'tb', tb{i}, 'b_n', nb{i})")
+    long = rows.groupBy(*keys).agg(*aggs).selectExpr(*keys, f"inline(array({', '.join(cells)}))").where(f"a_n >= {floor} AND b_n >= {floor}")
+    return long.selectExpr("metric_id", "pair", *keys, "stab", "ta * scale / a_n AS a_value", "tb * scale / b_n AS b_value", "a_n", "b_n")
 
 
 def split_contrast_lens(contrasts: DataFrame, part: list[str], floor: float = CONTRAST_FLOOR, min_population: int = MIN_POPULATION) -> DataFrame:

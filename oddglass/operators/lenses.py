@@ -19,11 +19,11 @@ PROXIMITY = 0.10
 
 
 def extremeness(rows: DataFrame, part: list[str], floor: float = EXTREME_FLOOR) -> DataFrame:
-    ranked = O.ecdf(rows, part, "value", better=F.col("higher"))
-    own = F.least(F.lit(1.0), F.col("n") / F.col("stab"))
-    rarity = X.between01(0.5 + (F.col("pct") - 0.5) * own)
-    enough = (F.col("pop_n") >= 10) & (F.col("n") >= F.greatest(F.lit(10), F.floor(F.col("stab") / 5)))
-    return ranked.where(enough).withColumn("rarity", rarity).where(F.col("rarity") >= floor).withColumn("lens", F.lit("extremeness"))
+    """Percentile in the population, shrunk toward one half by the subject's own sample."""
+    ranked = O.ecdf(rows, part, "value", better="higher")
+    rarity = "least(greatest(0.5D + (pct - 0.5D) * least(1.0D, n / stab), 0.0D), 1.0D)"
+    enough = ranked.where("pop_n >= 10 AND n >= greatest(10, floor(stab / 5))")
+    return enough.selectExpr("*", f"{rarity} AS rarity", "'extremeness' AS lens").where(f"rarity >= {floor}")
 
 
 def rank(rows: DataFrame, part: list[str], subject: str = "subject_id") -> DataFrame:

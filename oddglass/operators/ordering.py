@@ -9,40 +9,39 @@ results are exact for any choice of cut points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PICK_ONE_IN = 4096  # one row in so many may become a cut point
 MOST_CUTS = 256  # cut points kept per partition key
 
 
-def _cut_points(rows: DataFrame, part: list[str], key: str, one_in: int, most: int) -> DataFrame:
+def _names(cols: list[str]) -> str:
+    return ", ".join(f"`{c}`" for c in cols)
+
+
+def _cut_points(rows: DataFrame, part: list[str], one_in: int, most: int) -> DataFrame:
     # Hashing all columns keeps this branch's plan equal to the row branch below
     # it, so Spark reuses the shuffle that produced ``rows``.
-    picked = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(one_in)) == 0)
-    place = Window.partitionBy(*part).orderBy(key)
-    numbered = picked.select(
-        *part,
-        key,
-        F.row_number().over(place).alias("_i"),
-        F.count(F.lit(1)).over(Window.partitionBy(*part)).alias("_m"),
-    )
-    thinned = numbered.where(F.col("_i") % F.ceil(F.col("_m") / F.lit(most)) == 0)
-    return thinned.groupBy(*part).agg(F.sort_array(F.collect_list(key)).alias("_cuts"))
+    by = f"PARTITION BY {_names(part)}" if part else ""
+    numbered = rows.where(f"pmod(xxhash64({_names(rows.columns)}), {one_in}) = 0").selectExpr(
+        *part, "_k", f"row_number() OVER ({by} ORDER BY _k) AS _i", f"count(1) OVER ({by}) AS _m")
+    thinned = numbered.where(f"_i % ceil(_m / {most}) = 0")
+    return thinned.groupBy(*part).agg(F.expr("sort_array(collect_list(_k)) AS _cuts"))
 
 
 def running_totals(
     df: DataFrame,
     part: list[str],
     order: list[str],
-    amounts: dict[str, Column | str],
+    amounts: dict[str, str],
     *,
     few_parts: bool = True,
     one_in: int = PICK_ONE_IN,
     most: int = MOST_CUTS,
 ) -> DataFrame:
-    """Add, per named amount, ``before_<name>`` (sum over strictly earlier rows) and
-    ``whole_<name>`` (sum over the whole partition key).
+    """Add, per named amount (SQL text), ``before_<name>``, the sum over strictly earlier
+    rows, and ``whole_<name>``, the sum over the whole partition key.
 
     ``order`` are ascending columns that are unique and non-null within ``part``.
     ``few_parts`` says that ``part`` takes values from a list the driver holds
@@ -50,110 +49,68 @@ def running_totals(
     listed value; only then are they broadcast.
     """
     cols = df.columns
-    amt = {n: (F.col(a) if isinstance(a, str) else a) for n, a in amounts.items()}
-    rows = df.withColumn("_k", F.struct(*order))
-    keys = part
+    rows = df.selectExpr("*", f"struct({_names(order)}) AS _k")
     hint = F.broadcast if few_parts else (lambda d: d)
-    cuts = _cut_points(rows, keys, "_k", one_in, most)
-    cut = rows.join(hint(cuts), keys, "left") if keys else rows.withColumn("_cuts", cuts.scalar())
-    placed = cut.withColumn(
-        "_b", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("_k"))))
-    ).drop("_cuts")
-    earlier = Window.partitionBy(*keys, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.withColumns({f"_in_{n}": F.coalesce(F.sum(a).over(earlier), a * 0) for n, a in amt.items()})
+    cuts = _cut_points(rows, part, one_in, most)
+    cut = rows.join(hint(cuts), part, "left") if part else rows.withColumn("_cuts", cuts.scalar())
+    placed = cut.selectExpr(*cols, "_k", "CASE WHEN _cuts IS NULL THEN 0 ELSE size(filter(_cuts, c -> c <= _k)) END AS _b")
+    inside = f"(PARTITION BY {_names([*part, '_b'])} ORDER BY _k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    local = placed.selectExpr("*", *[f"coalesce(sum({a}) OVER {inside}, ({a}) * 0) AS _in_{n}" for n, a in amounts.items()])
     # The hash keeps every column alive, so this branch is the row branch's own
     # plan and Spark runs the shuffle below both only once.
-    totals = placed.groupBy(*keys, "_b").agg(
-        *[F.sum(a).alias(f"_sum_{n}") for n, a in amt.items()], F.max(F.xxhash64(*cols)).alias("_same")
-    )
-    whole = Window.partitionBy(*keys)
-    ahead = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        "_b",
-        *[F.coalesce(F.sum(f"_sum_{n}").over(ahead), F.col(f"_sum_{n}") * 0).alias(f"_off_{n}") for n in amt],
-        *[F.sum(f"_sum_{n}").over(whole).alias(f"whole_{n}") for n in amt],
-    )
-    out = local.join(hint(offsets), [*keys, "_b"])
-    return out.select(
-        *cols,
-        *[(F.col(f"_off_{n}") + F.col(f"_in_{n}")).alias(f"before_{n}") for n in amt],
-        *[f"whole_{n}" for n in amt],
-    )
-
-
-def running_total(
-    df: DataFrame, part: list[str], order: list[str], amount: str | None = None,
-    *, before: str = "before", whole: str = "whole", **kw,
-) -> DataFrame:
-    """One-amount form of :func:`running_totals`; counts rows when no amount is named."""
-    amt = F.col(amount) if amount else F.lit(1).cast("bigint")
-    got = running_totals(df, part, order, {"_x": amt}, **kw)
-    return got.withColumnsRenamed({"before__x": before, "whole__x": whole})
+    totals = placed.groupBy(*part, "_b").agg(
+        *[F.expr(f"sum({a}) AS _sum_{n}") for n, a in amounts.items()], F.expr(f"max(xxhash64({_names(cols)})) AS _same"))
+    by = f"PARTITION BY {_names(part)}" if part else ""
+    offsets = totals.selectExpr(
+        *part, "_b",
+        *[f"coalesce(sum(_sum_{n}) OVER ({by} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), _sum_{n} * 0) AS _off_{n}" for n in amounts],
+        *[f"sum(_sum_{n}) OVER ({by}) AS whole_{n}" for n in amounts])
+    out = local.join(hint(offsets), [*part, "_b"])
+    return out.selectExpr(*cols, *[f"_off_{n} + _in_{n} AS before_{n}" for n in amounts], *[f"whole_{n}" for n in amounts])
 
 
 def ordinal(
-    df: DataFrame,
-    part: list[str],
-    order: list[str],
-    *,
-    out: str = "rank",
-    size: str = "pop_n",
-    **kw,
+    df: DataFrame, part: list[str], order: list[str], *, out: str = "rank", size: str = "pop_n", **kw,
 ) -> DataFrame:
     """1-based position by ascending ``order`` (unique within ``part``) and the size."""
-    ranked = running_total(df, part, order, before="_before", whole=size, **kw)
-    return ranked.withColumn(out, F.col("_before") + 1).drop("_before").select(*df.columns, out, size)
+    ranked = running_totals(df, part, order, {"_x": "1L"}, **kw)
+    return ranked.selectExpr(*df.columns, f"before__x + 1 AS `{out}`", f"whole__x AS `{size}`")
 
 
 def ecdf(
-    df: DataFrame,
-    part: list[str],
-    value: str,
-    *,
-    better: Column | None = None,
-    out: str = "pct",
-    size: str = "pop_n",
-    **kw,
+    df: DataFrame, part: list[str], value: str, *, better: str | None = None, out: str = "pct", size: str = "pop_n", **kw,
 ) -> DataFrame:
     """Share of the population each row strictly beats.
 
     Equal values are counted once per value before anything is ordered, so a value
-    that holds a third of the rows is one row here.  ``better`` is true where
-    higher values win (default: always).
+    that holds a third of the rows is one row here.  ``better`` is SQL text, true
+    where higher values win (default: always).
     """
-    rows = df.withColumn("_v", F.when(better, F.col(value)).otherwise(-F.col(value)) if better is not None else F.col(value))
-    counts = rows.where(F.col("_v").isNotNull()).groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    below = running_total(counts, part, ["_v"], "_c", before="_below", whole=size, **kw)
-    return (
-        rows.join(below.drop("_c"), [*part, "_v"])
-        .withColumn(out, F.col("_below") / F.col(size))
-        .select(*df.columns, out, size)
-    )
+    turned = f"`{value}`" if better is None else f"CASE WHEN {better} THEN `{value}` ELSE -`{value}` END"
+    rows = df.selectExpr("*", f"{turned} AS _v")
+    counts = rows.where("_v IS NOT NULL").groupBy(*part, "_v").agg(F.expr("count(1) AS _c"))
+    below = running_totals(counts, part, ["_v"], {"_x": "_c"}, **kw).drop("_c")
+    return rows.join(below, [*part, "_v"]).selectExpr(*df.columns, f"before__x / whole__x AS `{out}`", f"whole__x AS `{size}`")
 
 
 def competition_rank(df: DataFrame, part: list[str], value: str, *, descending: bool = True, out: str = "rank", **kw) -> DataFrame:
     """SQL ``RANK()`` (ties share the lowest position) by the same route."""
-    sign = -1 if descending else 1
-    rows = df.withColumn("_v", F.col(value) * sign)
-    counts = rows.groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    below = running_total(counts, part, ["_v"], "_c", before="_below", whole="_n", **kw)
-    return rows.join(below.drop("_c", "_n"), [*part, "_v"]).withColumn(out, F.col("_below") + 1).select(*df.columns, out)
+    rows = df.selectExpr("*", f"{'-' if descending else ''}`{value}` AS _v")
+    counts = rows.groupBy(*part, "_v").agg(F.expr("count(1) AS _c"))
+    below = running_totals(counts, part, ["_v"], {"_x": "_c"}, **kw)
+    return rows.join(below.drop("_c", "whole__x"), [*part, "_v"]).selectExpr(*df.columns, f"before__x + 1 AS `{out}`")
 
 
 def quantile_cut(df: DataFrame, part: list[str], value: str, q: float, *, out: str = "cut", **kw) -> DataFrame:
     """The continuous q-quantile per ``part``, interpolated between its two neighbours."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("_c"))
-    placed = running_total(counts, part, [value], "_c", before="_below", whole="_n", **kw)
-    spot = (F.col("_n") - 1) * F.lit(q)
-    low, high = F.floor(spot), F.ceil(spot)
-    holds = lambda at: (F.col("_below") <= at) & (at < F.col("_below") + F.col("_c"))
-    ends = placed.where(holds(low) | holds(high)).groupBy(*part).agg(
-        F.max(F.when(holds(low), F.col(value))).alias("_lo"),
-        F.max(F.when(holds(high), F.col(value))).alias("_hi"),
-        F.max(spot - low).alias("_f"),
-    )
-    return ends.select(*part, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(out))
+    counts = df.where(f"`{value}` IS NOT NULL").groupBy(*part, value).agg(F.expr("count(1) AS _c"))
+    placed = running_totals(counts, part, [value], {"_x": "_c"}, **kw).selectExpr(
+        "*", f"floor((whole__x - 1) * {q!r}D) AS _l", f"ceil((whole__x - 1) * {q!r}D) AS _h", f"(whole__x - 1) * {q!r}D AS _s")
+    holds = "(before__x <= {0} AND {0} < before__x + _c)"
+    low, high = holds.format("_l"), holds.format("_h")
+    ends = placed.where(f"{low} OR {high}").groupBy(*part).agg(
+        F.expr(f"max(CASE WHEN {low} THEN `{value}` END) AS _lo"), F.expr(f"max(CASE WHEN {high} THEN `{value}` END) AS _hi"), F.expr("max(_s - _l) AS _f"))
+    return ends.selectExpr(*part, f"_lo + (_hi - _lo) * _f AS `{out}`")
 
 
 def next_better(df: DataFrame, part: list[str], order: list[str], bring: dict[str, str], **kw) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,21 +10,21 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 
 
-def _swung() -> Column:
-    return F.col("description").isin(*X.SWINGS)
+def one_of(column: str, values: tuple[str, ...]) -> str:
+    return f"{column} IN ({', '.join(repr(v) for v in values)})"
 
 
-def _missed() -> Column:
-    return F.col("description").isin(*X.WHIFFS)
+SWUNG = one_of("description", X.SWINGS)
+MISSED = one_of("description", X.WHIFFS)
 
 
 @dataclass(frozen=True)
 class AggMetric:
-    """A rate: how often ``numerator`` holds among rows where ``denominator`` holds."""
+    """A rate: how often ``numerator`` holds among rows where ``denominator`` holds (SQL text)."""
 
     id: str
-    numerator: Callable[[], Column]
-    denominator: Callable[[], Column]
+    numerator: str
+    denominator: str
     higher_is_better: bool
     stabilization_n: int
     scale: float = 100.0
@@ -40,20 +39,22 @@ class AggMetric:
         return split.column not in self.denominator_columns
 
 
-CHASE_RATE = AggMetric(
-    "chase_rate", lambda: (F.col("zone") > 9) & _swung(), lambda: F.col("zone") > 9, False, 250,
-    denominator_columns=("zone_bucket",),
-)
-WHIFF_RATE = AggMetric("whiff_rate", _missed, _swung, False, 200)
+CHASE_RATE = AggMetric("chase_rate", f"zone > 9 AND {SWUNG}", "zone > 9", False, 250, denominator_columns=("zone_bucket",))
+WHIFF_RATE = AggMetric("whiff_rate", MISSED, SWUNG, False, 200)
 ZONE_CONTACT = AggMetric(
-    "zone_contact",
-    lambda: F.col("zone").between(1, 9) & _swung() & ~_missed(),
-    lambda: F.col("zone").between(1, 9) & _swung(),
+    "zone_contact", f"zone BETWEEN 1 AND 9 AND {SWUNG} AND NOT ({MISSED})", f"zone BETWEEN 1 AND 9 AND {SWUNG}",
     True, 200, denominator_columns=("zone_bucket",),
 )
-SWING_RATE = AggMetric("swing_rate", _swung, lambda: F.lit(True), True, 300)
+SWING_RATE = AggMetric("swing_rate", SWUNG, "true", True, 300)
 AGG_METRICS = (CHASE_RATE, WHIFF_RATE, ZONE_CONTACT, SWING_RATE)
 
+# The allowed splits; the zone heart is 1-9, the chase zone 11-14.
+SPLIT_VALUES: dict[str, dict[str, str]] = {
+    "p_throws": {"L": "hand = 'F'", "R": "hand = 'O'"},
+    "pitch_class": {name: one_of("pitch_type", codes) for name, codes in X.SPLIT_CLASSES.items()},
+    "zone_bucket": {"heart": "zone BETWEEN 1 AND 9", "chase": "zone BETWEEN 11 AND 14"},
+}
+
 
 @dataclass(frozen=True)
 class SplitSpec:
@@ -62,24 +63,13 @@ class SplitSpec:
     column: str
     value: str
 
-    def predicate(self) -> Column:
+    def predicate(self) -> str:
         allowed = SPLIT_VALUES.get(self.column)
         if allowed is None or self.value not in allowed:
             raise ValueError(f"split {self.column}={self.value} is not allowed")
-        return allowed[self.value]()
+        return allowed[self.value]
 
 
-# The allowed splits; the zone heart is 1-9, the chase zone 11-14.
-SPLIT_VALUES: dict[str, dict[str, Callable[[], Column]]] = {
-    "p_throws": {"L": lambda: F.col("hand") == "F", "R": lambda: F.col("hand") == "O"},
-    "pitch_class": {
-        name: (lambda codes=codes: F.col("pitch_type").isin(*codes)) for name, codes in X.SPLIT_CLASSES.items()
-    },
-    "zone_bucket": {
-        "heart": lambda: F.col("zone").between(1, 9),
-        "chase": lambda: F.col("zone").between(11, 14),
-    },
-}
 CONTRAST_PAIRS = (
     ("platoon", SplitSpec("p_throws", "L"), SplitSpec("p_throws", "R")),
     ("class", SplitSpec("pitch_class", "breaking"), SplitSpec("pitch_class", "fastball")),
@@ -87,50 +77,35 @@ CONTRAST_PAIRS = (
 )
 
 
-def ratio_rate(rows: DataFrame, metric: AggMetric, keys: list[str], floor: int | None = None, when: Column | None = None) -> DataFrame:
+def ratio_rate(rows: DataFrame, metric: AggMetric, keys: list[str], floor: int | None = None, when: str | None = None) -> DataFrame:
     """``keys, value, n``: one partial-aggregated shuffle, floored on the denominator."""
     if when is not None:
         rows = rows.where(when)
-    got = rows.groupBy(*keys).agg(
-        F.count_if(metric.numerator()).alias("_top"), F.count_if(metric.denominator()).alias("n")
-    )
+    got = rows.groupBy(*keys).agg(F.expr(f"count_if({metric.numerator}) AS _top"), F.expr(f"count_if({metric.denominator}) AS n"))
     floor = metric.floor if floor is None else floor
-    return got.where(F.col("n") >= floor).select(*keys, (F.col("_top") * metric.scale / F.col("n")).alias("value"), "n")
+    return got.where(f"n >= {floor}").selectExpr(*keys, f"_top * {metric.scale!r}D / n AS value", "n")
 
 
-def all_rates(rows: DataFrame, metrics=AGG_METRICS, keys: tuple[str, ...] = ("subject_id",), floors: dict[str, int] | None = None, sides: dict[str, Column] | None = None) -> DataFrame:
+def all_rates(rows: DataFrame, metrics=AGG_METRICS, keys: tuple[str, ...] = ("subject_id",), floors: dict[str, int] | None = None, sides: dict[str, str] | None = None) -> DataFrame:
     """Every metric on every named side from one scan: long ``metric_id, side, keys, value, n``.
 
     All numerators and denominators are conditional counts of one aggregate, so the
     event table is read and shuffled once whatever the number of metrics and splits.
     """
-    sides = sides or {"all": F.lit(True)}
-    aggs, entries = [], []
+    aggs, cells = [], []
     for m in metrics:
-        for side, cond in sides.items():
-            tag = f"{m.id}|{side}"
-            aggs += [
-                F.count_if(m.numerator() & cond).alias(f"t|{tag}"), F.count_if(m.denominator() & cond).alias(f"b|{tag}"),
-            ]
-            entries.append((m, side, tag))
-    wide = rows.groupBy(*keys).agg(*aggs)
-    cells = F.array(*[
-        F.struct(
-            F.lit(m.id).alias("metric_id"), F.lit(side).alias("side"), F.col(f"`t|{tag}`").alias("top"),
-            F.col(f"`b|{tag}`").alias("n"), F.lit(m.scale).alias("scale"),
-            F.lit((floors or {}).get(m.id, m.floor)).alias("floor"), F.lit(m.stabilization_n).alias("stab"),
-            F.lit(m.higher_is_better).alias("higher"),
-        )
-        for m, side, tag in entries
-    ])
-    long = wide.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
-    return long.where((F.col("n") >= F.col("floor")) & (F.col("n") > 0)).select(
-        "metric_id", "side", *keys, (F.col("top") * F.col("scale") / F.col("n")).alias("value"), "n", "stab", "higher"
-    )
-
-
-def split_sides(metric_ids=AGG_METRICS) -> dict[str, Column]:
-    out = {"all": F.lit(True)}
+        for side, cond in (sides or {"all": "true"}).items():
+            i = len(cells)
+            aggs += [F.expr(f"count_if(({m.numerator}) AND ({cond})) AS t{i}"), F.expr(f"count_if(({m.denominator}) AND ({cond})) AS b{i}")]
+            cells.append(
+                f"named_struct('metric_id', '{m.id}', 'side', '{side}', 'top', t{i}, 'n', b{i}, 'scale', {m.scale!r}D, "
+                f"'floor', {(floors or {}).get(m.id, m.floor)}, 'stab', {m.stabilization_n}, 'higher', {str(m.higher_is_better).lower()})")
+    long = rows.groupBy(*keys).agg(*aggs).selectExpr(*keys, f"inline(array({', '.join(cells)}))")
+    return long.where("n >= floor AND n > 0").selectExpr("metric_id", "side", *keys, "top * scale / n AS value", "n", "stab", "higher")
+
+
+def split_sides() -> dict[str, str]:
+    out = {"all": "true"}
     for _name, a, b in CONTRAST_PAIRS:
         for s in (a, b):
             out[f"{s.column}:{s.value}"] = s.predicate()

@@ -30,7 +30,7 @@ def rolling_mean(rows: DataFrame, subject: str, order: list[str], value: str, lo
     rows is cut into ordered buckets like any other; nothing is held per subject.
     """
     cum = O.running_totals(
-        rows.select(subject, *order, value), [subject], order, {"s": value, "i": F.lit(1).cast("bigint")}, few_parts=False, **kw
+        rows.select(subject, *order, value), [subject], order, {"s": value, "i": "1L"}, few_parts=False, **kw
     )
     n = F.col("whole_i")
     placed = cum.where(n >= shortest).select(

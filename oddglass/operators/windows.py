@@ -85,7 +85,10 @@ def first_focal_in_top(rows: DataFrame, part: list[str], order: list[Column], fo
 
 
 def bottom_with_forced_focal(rows: DataFrame, part: list[str], order: list[Column], focal: Column, k: int = 10) -> DataFrame:
-    """The first ``k`` rows; if no focal row is among them the last gives way to the focal one."""
+    """The first ``k`` rows; if no focal row is among them the last gives way to the focal one.
+
+    Meant for boards of teams: a board holds one row per team, a bounded handful.
+    """
     w = Window.partitionBy(*part).orderBy(*order)
     ranked = rows.withColumn("rank", F.row_number().over(w)).withColumn("is_focal", focal)
     has = F.max((F.col("is_focal") & (F.col("rank") <= k)).cast("int")).over(Window.partitionBy(*part))

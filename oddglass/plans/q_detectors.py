@@ -311,7 +311,7 @@ def tail_sql(metric: str, sign: str, where: str) -> str:
 @query("G5_approach_outlier", f"SELECT team, subject_id, round(pct, 6) AS pct FROM {tail_sql('chase_percent', '-', 'pa >= 50 AND chase_percent IS NOT NULL')} WHERE abs(50 - pct) >= 38 QUALIFY row_number() OVER (PARTITION BY team ORDER BY round_even(abs(50 - pct), 6) DESC, subject_id) = 1")
 def g5(t):
     s = t.stats.where((c("year") == NOW) & (c("pa") >= 50) & c("chase_percent").isNotNull()).select("team", "subject_id", "chase_percent", "pa")
-    p = O.ecdf(s, [], "chase_percent", better=F.lit(False)).withColumn("pct", 100 * c("pct")).where(F.abs(50 - c("pct")) >= 38)
+    p = O.ecdf(s, [], "chase_percent", better="false").withColumn("pct", 100 * c("pct")).where(F.abs(50 - c("pct")) >= 38)
     return best_per_key(p.select("team", "subject_id", "pct"), ["team"], F.bround(F.abs(50 - c("pct")), 6), [c("subject_id")]).withColumn("pct", X.r6("pct"))
 
 
@@ -389,7 +389,7 @@ def g13(t):
 
     team_gap = F.abs(F.bround((c("woba") - c("xwoba")) * 1000, 0))
     team = team_luck(t).where(team_gap >= 8).select(F.lit("team").alias("kind"), c("team").cast("bigint").alias("subject_id"), team_gap.cast("double").alias("interest"))
-    return luck.unionByName(own).unionByName(tail("approach", "chase_percent", F.lit(False))).unionByName(tail("contact", "brl_percent", None)).unionByName(team)
+    return luck.unionByName(own).unionByName(tail("approach", "chase_percent", "false")).unionByName(tail("contact", "brl_percent", None)).unionByName(team)
 
 
 @query("G14_funk_story", f"""SELECT team, games_back, panel, subject_id, round(pct, 4) AS pct FROM (SELECT team, games_back FROM ({QW.W12_SQL}) WHERE team < 5) r JOIN (SELECT s_nationkey AS t, p.metric_id AS panel, subject_id, 100 * pct AS pct FROM {PROFILE_PCT} p JOIN supplier ON s_suppkey = subject_id JOIN (VALUES ('exit_velocity', 0), ('sprint_speed', 1), ('k_percent', 2)) v(metric_id, m) ON v.metric_id = p.metric_id AND subject_id % 3 = m) ON t = team""")

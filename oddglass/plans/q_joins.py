@@ -110,7 +110,7 @@ def f4(t):
 @query("F5_split_predicate", "SELECT 'pitch_class' AS col, CASE WHEN pitch_type = 'FF' THEN 'fastball' WHEN pitch_type = 'SL' THEN 'breaking' ELSE 'offspeed' END AS val, count(*) AS n FROM @pitches WHERE pitch_type <> 'KN' GROUP BY 1, 2 UNION ALL SELECT 'p_throws', CASE hand WHEN 'F' THEN 'L' ELSE 'R' END, count(*) FROM @pitches GROUP BY 1, 2")
 def f5(t):
     specs = [R.SplitSpec("pitch_class", v) for v in ("fastball", "breaking", "offspeed")] + [R.SplitSpec("p_throws", v) for v in "LR"]
-    one = t.pitches.agg(*[F.count_if(s.predicate()).alias(f"n{i}") for i, s in enumerate(specs)])
+    one = t.pitches.agg(*[F.expr(f"count_if({s.predicate()}) AS n{i}") for i, s in enumerate(specs)])
     return one.select(F.inline(F.array(*[F.struct(F.lit(s.column).alias("col"), F.lit(s.value).alias("val"), c(f"n{i}").alias("n")) for i, s in enumerate(specs)])))
 
 
@@ -120,7 +120,7 @@ def f5(t):
     if not (s == "zone_bucket" and m in ("chase_rate", "zone_contact"))))
 def f6(t):
     ok = [(m, a) for m in R.AGG_METRICS for _n, a, _b in R.CONTRAST_PAIRS if m.accepts(a)]
-    one = t.pitches.agg(*[F.count_if(m.denominator() & a.predicate()).alias(f"n{i}") for i, (m, a) in enumerate(ok)])
+    one = t.pitches.agg(*[F.expr(f"count_if(({m.denominator}) AND ({a.predicate()})) AS n{i}") for i, (m, a) in enumerate(ok)])
     return one.select(F.inline(F.array(*[F.struct(F.lit(m.id).alias("metric_id"), F.lit(a.column).alias("side"), c(f"n{i}").alias("n")) for i, (m, a) in enumerate(ok)])))
 
 
@@ -189,7 +189,7 @@ PCT_SQL = """(SELECT metric_id, subject_id, year, value, n, (rank() OVER (PARTIT
 
 def percentiles(t):
     """Registry metrics per season with the share of the season's population beaten."""
-    return O.ecdf(registry_rows(t), ["metric_id", "year"], "value", better=c("higher"))
+    return O.ecdf(registry_rows(t), ["metric_id", "year"], "value", better="higher")
 
 
 @query("J2_percentile_x_sample", f"SELECT p.metric_id, p.subject_id, p.year, round(100 * pct, 6) AS percentile, pa, swings FROM {PCT_SQL} p JOIN @stats s USING (subject_id, year)")

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from ..functions import scalars as X
 from ..operators.joins import latest_per_key
 from ..session import settle
+from ..sources.writes import replace_slice
 
 # Fixed values of the live rules.
 PITCHER_PITCHES = 25
@@ -54,7 +55,7 @@ def merge_latest(table: str, keys: list[str], stamp: list[str], partition: str)
             old = spark.read.parquet(table).join(days, partition, "left_semi")
             fresh = latest_per_key(old.unionByName(fresh.select(*old.columns)), keys, stamp)
         # Settled first: the partitions read are the ones written.
-        settle(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(table)
+        replace_slice(settle(fresh), table, [partition])
 
     return merge
 
