@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as X
 from .joins import asof_anchor, best_per_key
 
 # Fixed values of the detectors.

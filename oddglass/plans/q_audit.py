@@ -9,16 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import audit as A
 from ..operators import coverage as CV
-from ..operators import lenses as L
 from ..operators import ordering as O
-from ..operators import rates as R
-from ..operators import windows as W
-from ..operators.joins import attach_row, latest_per_key
-from ..session import settle, shared_dir
+from ..operators.joins import latest_per_key
+from ..session import shared_dir
 from ..sources import feed, writes
 from . import q_windows as QW
-from .q_detectors import LEAGUE_SQL, LUCK_SQL, team_luck, with_league
-from .q_scalars import PITCHING_SQL, pitching
+from .q_detectors import LUCK_SQL, team_luck, with_league
 from .registry import query
 
 c = F.col
@@ -118,7 +114,7 @@ def c8(t):
 
 @query("C9_reconcile_cross_rank", """SELECT subject_id, asserted, reranked FROM (SELECT subject_id, round(100 * (rank() OVER (ORDER BY hard_hit_percent) - 1) / count(*) OVER (), 0) AS asserted, round(100 * (rank() OVER (ORDER BY brl_percent) - 1) / count(*) OVER (), 0) AS reranked, count(*) OVER () AS n FROM @stats WHERE year = 2001 AND pa >= 50) WHERE n >= 20 AND abs(asserted - reranked) > 18""")
 def c9(t):
-    s = t.stats.where("year = 2001 AND pa >= 50").select("subject_id", "hard_hit_percent", "brl_percent")
+    s = t.stats_in(2001).where("pa >= 50").select("subject_id", "hard_hit_percent", "brl_percent")
     both = O.ecdf(O.ecdf(s, [], "hard_hit_percent", out="a"), [], "brl_percent", out="b", size="n")
     return both.where("n >= 20").select("subject_id", X.rnd(c("a") * 100, 0).alias("asserted"), X.rnd(c("b") * 100, 0).alias("reranked")).where(F.abs(c("asserted") - c("reranked")) > 18)
 

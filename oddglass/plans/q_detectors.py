@@ -12,7 +12,6 @@ from ..operators import ordering as O
 from ..operators import rates as R
 from ..operators import windows as W
 from ..operators.joins import attach_row, best_per_key
-from ..sources.writes import freshness_guard
 from . import q_learn as QE
 from . import q_lenses as QL
 from . import q_scan as QS
@@ -51,7 +50,7 @@ def d2(t):
 @query("D3_leaderboard", """SELECT stat, subject_id, rank, is_focal FROM (SELECT *, min(CASE WHEN is_focal THEN rank END) OVER (PARTITION BY stat) AS f FROM (SELECT stat, subject_id, team = 0 AS is_focal, row_number() OVER (PARTITION BY stat ORDER BY CASE WHEN stat = 'avg_price' THEN v ELSE -v END, subject_id) AS rank
  FROM (UNPIVOT (SELECT subject_id, team, CAST(hr AS DOUBLE) AS hr, CAST(n AS DOUBLE) AS games, CAST(price_c AS DOUBLE) AS total, price_c / n AS avg_price FROM @seasons WHERE year = 2001) ON hr, games, total, avg_price INTO NAME stat VALUE v)) WHERE rank <= 25) WHERE f IS NOT NULL AND rank <= greatest(10, f)""")
 def d3(t):
-    s = t.seasons.where(c("year") == NOW).select("subject_id", "team", c("hr").cast("double").alias("hr"), c("n").cast("double").alias("games"), c("price_c").cast("double").alias("total"), (c("price_c") / c("n")).alias("avg_price"))
+    s = t.seasons_in(NOW).select("subject_id", "team", c("hr").cast("double").alias("hr"), c("n").cast("double").alias("games"), c("price_c").cast("double").alias("total"), (c("price_c") / c("n")).alias("avg_price"))
     long = s.unpivot(["subject_id", "team"], ["hr", "games", "total", "avg_price"], "stat", "v")
     key = F.when(c("stat") == "avg_price", c("v")).otherwise(-c("v"))
     return W.top_with_focal(long, ["stat"], [key, c("subject_id")], c("team") == 0).select("stat", "subject_id", c("rank").cast("bigint").alias("rank"), "is_focal")
@@ -63,7 +62,7 @@ IN_FOCAL = "subject_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)
 
 
 def profile_pct(t):
-    long = t.stats.where(c("year") == NOW).unpivot(["subject_id"], list(PROFILE), "metric_id", "v").where("v IS NOT NULL")
+    long = t.stats_in(NOW).unpivot(["subject_id"], list(PROFILE), "metric_id", "v").where("v IS NOT NULL")
     return O.ecdf(long, ["metric_id"], "v")
 
 
@@ -82,7 +81,7 @@ def first_focal_sql(expr: str, where: str) -> str:
 
 
 def first_focal(t, expr: str, where: str):
-    rows = t.stats.where(c("year") == NOW).where(where).select(F.lit("all").alias("board"), "subject_id", "team", F.expr(expr).alias("v")).withColumn("_o", F.bround("v", 9))
+    rows = t.stats_in(NOW).where(where).select(F.lit("all").alias("board"), "subject_id", "team", F.expr(expr).alias("v")).withColumn("_o", F.bround("v", 9))
     got = W.first_focal_in_top(rows, ["board"], [F.desc("_o"), c("subject_id")], c("team") < 5)
     return got.select("subject_id", c("rank").cast("bigint").alias("rank"), X.r6("v").alias("value"))
 
@@ -104,7 +103,7 @@ def d7(t):
 
 @query("D8_power_cluster", f"SELECT subject_id, round(exit_velocity, 6) AS x, round(brl_percent, 6) AS y, {IN_FOCAL} AS is_focal, round(avg(exit_velocity) OVER (), 6) AS mean_x, round(avg(brl_percent) OVER (), 6) AS mean_y, row_number() OVER (ORDER BY round_even(exit_velocity, 9) DESC, subject_id) AS rank FROM @stats WHERE year = 2001 AND pa >= 50")
 def d8(t):
-    s = t.stats.where((c("year") == NOW) & (c("pa") >= 50)).select("subject_id", "team", "exit_velocity", "brl_percent", (-F.bround("exit_velocity", 9)).alias("_o"))
+    s = t.stats_in(NOW).where((c("pa") >= 50)).select("subject_id", "team", "exit_velocity", "brl_percent", (-F.bround("exit_velocity", 9)).alias("_o"))
     placed = O.ordinal(s, [], ["_o", "subject_id"])
     means = s.agg(F.avg("exit_velocity").alias("mx"), F.avg("brl_percent").alias("my"))
     return attach_row(placed, means).select(
@@ -197,7 +196,7 @@ def d16(t):
 
 @query("D17_weakness", f"SELECT team, subject_id, metric_id, round(pct, 6) AS pct FROM {PROFILE_PCT} p JOIN (SELECT subject_id AS sid, team FROM @stats WHERE year = 2001 AND pa >= 50) ON sid = subject_id WHERE pct * 100 <= 12 QUALIFY row_number() OVER (PARTITION BY team ORDER BY pct, subject_id, metric_id) = 1")
 def d17(t):
-    regular = t.stats.where((c("year") == NOW) & (c("pa") >= 50)).select("subject_id", "team")
+    regular = t.stats_in(NOW).where((c("pa") >= 50)).select("subject_id", "team")
     return D.weakest_tool(profile_pct(t).join(regular, "subject_id"), ["team"], "subject_id").select("team", "subject_id", "metric_id", X.r6("pct").alias("pct"))
 
 
@@ -258,7 +257,7 @@ LUCK_SQL = f"(SELECT team, woba, xwoba, talent, round_even((talent - woba) * 100
 
 
 def with_league(t):
-    s = t.stats.where(c("year") == NOW)
+    s = t.stats_in(NOW)
     return attach_row(s, s.agg((F.sum(c("est_woba") * c("pa")) / F.sum("pa")).alias("league")))
 
 
@@ -310,14 +309,14 @@ def tail_sql(metric: str, sign: str, where: str) -> str:
 
 @query("G5_approach_outlier", f"SELECT team, subject_id, round(pct, 6) AS pct FROM {tail_sql('chase_percent', '-', 'pa >= 50 AND chase_percent IS NOT NULL')} WHERE abs(50 - pct) >= 38 QUALIFY row_number() OVER (PARTITION BY team ORDER BY round_even(abs(50 - pct), 6) DESC, subject_id) = 1")
 def g5(t):
-    s = t.stats.where((c("year") == NOW) & (c("pa") >= 50) & c("chase_percent").isNotNull()).select("team", "subject_id", "chase_percent", "pa")
+    s = t.stats_in(NOW).where((c("pa") >= 50) & c("chase_percent").isNotNull()).select("team", "subject_id", "chase_percent", "pa")
     p = O.ecdf(s, [], "chase_percent", better="false").withColumn("pct", 100 * c("pct")).where(F.abs(50 - c("pct")) >= 38)
     return best_per_key(p.select("team", "subject_id", "pct"), ["team"], F.bround(F.abs(50 - c("pct")), 6), [c("subject_id")]).withColumn("pct", X.r6("pct"))
 
 
 @query("G6_power_outlier", f"SELECT team, subject_id, round(pct, 6) AS pct FROM {tail_sql('brl_percent', '', 'pa >= 50')} WHERE pct >= 88 QUALIFY row_number() OVER (PARTITION BY team ORDER BY round_even(pct, 6) DESC, subject_id) = 1")
 def g6(t):
-    s = t.stats.where((c("year") == NOW) & (c("pa") >= 50)).select("team", "subject_id", "brl_percent")
+    s = t.stats_in(NOW).where((c("pa") >= 50)).select("team", "subject_id", "brl_percent")
     p = O.ecdf(s, [], "brl_percent").withColumn("pct", 100 * c("pct")).where("pct >= 88")
     return best_per_key(p.select("team", "subject_id", "pct"), ["team"], F.bround("pct", 6), [c("subject_id")]).withColumn("pct", X.r6("pct"))
 
@@ -363,7 +362,7 @@ def g11(t):
 @query("G12_panels", f"SELECT 'contact' AS panel, team, subject_id, rank, round(exit_velocity, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY round_even(exit_velocity, 9) DESC, subject_id) AS rank FROM @stats WHERE year = 2001 AND pa >= 40) WHERE rank <= 5")
 def g12(t):
     w = Window.partitionBy("team").orderBy(F.desc(F.bround("exit_velocity", 9)), "subject_id")
-    s = t.stats.where((c("year") == NOW) & (c("pa") >= 40)).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    s = t.stats_in(NOW).where((c("pa") >= 40)).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
     return s.select(F.lit("contact").alias("panel"), "team", "subject_id", c("rank").cast("bigint").alias("rank"), X.r6("exit_velocity").alias("value"))
 
 
@@ -376,7 +375,7 @@ SCOUT_SQL = f"""SELECT 'luck' AS kind, subject_id, round(abs(round_even((woba -
 
 @query("G13_scout", SCOUT_SQL)
 def g13(t):
-    now = t.stats.where((c("year") == NOW) & (c("pa") >= 50))
+    now = t.stats_in(NOW).where((c("pa") >= 50))
     rel = X.reliability(c("pa"))
     gap = c("woba") - c("est_woba")
     luck = now.where(F.abs(F.bround(gap * 1000000, 0)) >= 25000).select(F.lit("luck").alias("kind"), c("subject_id").cast("bigint").alias("subject_id"), X.r6(F.abs(F.bround(gap * 1000, 0)) * rel).alias("interest"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -10,7 +9,7 @@ from ..operators import joins as J
 from ..operators import ordering as O
 from ..operators import rates as R
 from ..sources import tables as S
-from .q_rates import METRIC_SQL, SWUNG, WHIFF, rate_sql
+from .q_rates import METRIC_SQL, rate_sql
 from .registry import query
 from .roles import FOCAL_TEAMS
 from .specs import discover_metrics, load_registry, metric_rows
@@ -87,9 +86,9 @@ REGISTRY_SQL = "(" + " UNION ALL ".join(
     for m, e, h in (("exit_velocity", "exit_velocity", True), ("sprint_speed", "sprint_speed", True), ("brl_percent", "brl_percent", True), ("k_percent", "k_percent", False), ("gap_woba", "est_woba - woba", True))) + ")"
 
 
-def registry_rows(t):
+def registry_rows(t, year: int | None = None):
     reg = load_registry()
-    return metric_rows(t.stats, reg.metrics, ["subject_id", "year"], populations=reg.populations)
+    return metric_rows(t.stats if year is None else t.stats_in(year), reg.metrics, ["subject_id", "year"], populations=reg.populations)
 
 
 @query("F2_load_registry", f"SELECT metric_id, higher, count(*) AS n FROM {REGISTRY_SQL} GROUP BY 1, 2")

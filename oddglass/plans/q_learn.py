@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import board as B
 from ..operators import hypothesis as H
-from ..operators import interest as I
 from ..operators import learn as E
 from ..operators import predict as Q
 from ..operators.joins import attach_row
 from ..sources import writes as S
-from .q_scan import CAND_SQL, SCORE_SQL, cands, scored
+from .q_scan import SCORE_SQL, scored
 from .registry import query
 
 c = F.col
@@ -82,7 +81,7 @@ PRED_SQL = "(SELECT subject_id, team, woba AS baseline, est_woba AS target FROM
 
 
 def findings(t):
-    return t.stats.where("year = 2000").select("subject_id", "team", c("woba").alias("baseline"), c("est_woba").alias("target"))
+    return t.stats_in(2000).select("subject_id", "team", c("woba").alias("baseline"), c("est_woba").alias("target"))
 
 
 @query("Q1_log_predictions", f"SELECT subject_id, team, round(baseline, 6) AS baseline, round(target, 6) AS target, DATE '2001-01-31' AS resolves_by, 'open' AS outcome FROM {PRED_SQL} WHERE subject_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
@@ -102,7 +101,7 @@ def graded(t):
     rows = findings(t).withColumn("resolves_by", due).withColumn("outcome", F.lit("open"))
     micro = lambda k: F.bround(c(k) * 1000000, 0)
     rows = rows.withColumns({"baseline": micro("baseline"), "target": micro("target")})
-    now = t.stats.where("year = 2001").select("subject_id", micro("woba").alias("value"))
+    now = t.stats_in(2001).select("subject_id", micro("woba").alias("value"))
     return Q.grade(rows, now, ["subject_id"], F.lit("2001-12-31").cast("date"), Q.EPSILON["woba"] * 1000000)
 
 

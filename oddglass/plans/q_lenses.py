@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import contrast as C
 from ..operators import lenses as L
-from ..operators import ordering as O
 from ..operators import rates as R
 from ..operators import windows as W
-from .q_joins import COHORT_SQL, PCT_SQL, REGISTRY_SQL, cohort_moves, focal, percentiles, registry_rows
+from .q_joins import COHORT_SQL, PCT_SQL, REGISTRY_SQL, cohort_moves, percentiles, registry_rows
 from .q_rates import METRIC_SQL, MOVES_SQL, rate_sql
 from .q_scalars import confidence_sql, family_sql
 from .q_windows import BASELINE_SQL, W9_SQL, W10_SQL, baseline, event_halves, games_split
@@ -197,7 +196,7 @@ def l16(t):
 @query("L16b_team_surprise", """SELECT team, round(0.8e0 + least(0.7e0, abs((g - m) / sd) / 2.5e0 * 0.7e0), 6) AS multiplier FROM (SELECT team, sum((woba - est_woba) * pa) / sum(pa) AS g FROM @stats WHERE year = 2001 GROUP BY 1), (SELECT avg(woba - est_woba) AS m, stddev_pop(woba - est_woba) AS sd FROM @stats WHERE year = 2001 AND pa >= 40)""")
 def l16b(t):
     from ..operators.joins import attach_row
-    now = t.stats.where("year = 2001").withColumn("g", c("woba") - c("est_woba"))
+    now = t.stats_in(2001).withColumn("g", c("woba") - c("est_woba"))
     league = now.where("pa >= 40").agg(F.avg("g").alias("m"), F.stddev_pop("g").alias("sd"))
     team = R.weighted_mean(now, ["team"], "g", "pa", "g")
     z = (c("g") - c("m")) / c("sd")
@@ -241,7 +240,7 @@ APPROACH_SQL = f"(SELECT *, count(*) OVER () AS cohort, delta / stddev_pop(delta
 
 def approach(t, year: int = 2001):
     # Both years from one scan: the year is a key of the aggregate.
-    two = R.ratio_rate(t.pitches.where(c("season").isin(year, year - 1)), R.CHASE_RATE, ["subject_id", "season"], floor=10)
+    two = R.ratio_rate(t.pitches_in(year - 1, year), R.CHASE_RATE, ["subject_id", "season"], floor=10)
     return L.year_over_year_z(two.where(c("season") == year).drop("season"), two.where(c("season") == year - 1), "subject_id")
 
 

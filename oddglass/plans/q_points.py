@@ -10,7 +10,7 @@ from ..operators import spatial as V
 from ..operators import study as Y
 from ..session import settle
 from .q_lenses import APPROACH_SQL, COMPS_SQL, approach, comps
-from .q_rates import CELL_SQL, MIX_SQL, REGION, SWUNG
+from .q_rates import CELL_SQL, REGION, SWUNG
 from .q_windows import CENTS_SQL, event_cents
 from .registry import query
 
@@ -132,7 +132,7 @@ MIN_PA = 70
 
 def season(t):
     u = lambda e: F.bround(e * 1000000, 0).cast("bigint")
-    s = t.stats.where(c("year") == NOW)
+    s = t.stats_in(NOW)
     return s.select("subject_id", "pa", u(c("est_woba") - c("woba")).alias("gap_u"), F.abs(u(c("est_ba") - c("ba"))).alias("ba_gap_u"),
                     F.abs(u(c("hard_hit_percent") / 100 - c("sprint_speed") / 60)).alias("slg_gap_u"), "exit_velocity", "brl_percent")
 

@@ -19,7 +19,7 @@ from .q_lenses import CONTRAST_LENS_SQL, FAMILY_OF, career_moves, contrasts
 from .q_rates import METRIC_SQL, SIDE_SQL, rate_sql
 from .q_scalars import confidence_sql
 from .registry import query
-from .specs import ScanConfig, load_registry
+from .specs import load_registry
 
 c = F.col
 NOW = 2001
@@ -36,7 +36,7 @@ BEST_SQL = f"(SELECT * FROM {FLOORED} QUALIFY row_number() OVER (PARTITION BY su
 
 
 def now_rows(t):
-    return registry_rows(t).where(c("year") == NOW)
+    return registry_rows(t, NOW)
 
 
 def hits(t):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -11,7 +10,6 @@ from ..operators import ordering as O
 from ..operators import windows as W
 from ..operators.spatial import rolling_mean
 from .q_joins import PAY_SQL, PCT_SQL, REGISTRY_SQL, payroll, percentiles, registry_rows
-from .q_scalars import confidence_sql
 from .registry import query
 
 c = F.col

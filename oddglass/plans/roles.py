@@ -24,6 +24,12 @@ def cents(col):
     return F.floor(F.col(col) * 100 + 0.5) if isinstance(col, str) else F.floor(col * 100 + 0.5)
 
 
+def in_years(df: DataFrame, day: str, first: int, last: int | None = None) -> DataFrame:
+    """Rows of whole calendar years, as day bounds that parquet statistics can use."""
+    at = lambda y: F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz")
+    return df.where((F.col(day) >= at(first)) & (F.col(day) < at((last or first) + 1)))
+
+
 class Tables:
     """Lazy readers of the given tables and of the roles bound to them."""
 
@@ -37,9 +43,16 @@ class Tables:
 
     @cached_property
     def pitches(self) -> DataFrame:
+        return self._pitches(self.lineitem)
+
+    def pitches_in(self, first: int, last: int | None = None) -> DataFrame:
+        """Pitches of the seasons ``first .. last``; the day bounds reach the scan."""
+        return self._pitches(in_years(self.lineitem, "l_shipdate", first, last))
+
+    def _pitches(self, lines: DataFrame) -> DataFrame:
         """Event grain: one row per line, seen as a pitch to a supplier."""
         n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
-        return self.lineitem.select(
+        return lines.select(
             F.col("l_suppkey").alias("subject_id"),
             F.col("l_orderkey").alias("game_pk"),
             n.alias("seq"),
@@ -74,8 +87,14 @@ class Tables:
 
     @cached_property
     def seasons(self) -> DataFrame:
+        return self._seasons(self.orders)
+
+    def seasons_in(self, first: int, last: int | None = None) -> DataFrame:
+        return self._seasons(in_years(self.orders, "o_orderdate", first, last))
+
+    def _seasons(self, orders: DataFrame) -> DataFrame:
         """Season grain: a customer's year, with name and team."""
-        per = self.orders.groupBy(
+        per = orders.groupBy(
             F.col("o_custkey").alias("subject_id"), F.year("o_orderdate").alias("year")
         ).agg(
             F.count(F.lit(1)).alias("n"),
@@ -89,11 +108,17 @@ class Tables:
 
     @cached_property
     def stats(self) -> DataFrame:
+        return self._stats(self.pitches)
+
+    def stats_in(self, first: int, last: int | None = None) -> DataFrame:
+        return self._stats(self.pitches_in(first, last))
+
+    def _stats(self, pitches: DataFrame) -> DataFrame:
         """Season grain: a supplier's year with expected and actual rates."""
         big = lambda c: F.count_if(F.col("price_c") > c * 100)
         swings = F.count_if(F.col("description") != "ball")
         n = F.count(F.lit(1))
-        per = self.pitches.groupBy("subject_id", F.col("season").alias("year")).agg(
+        per = pitches.groupBy("subject_id", F.col("season").alias("year")).agg(
             n.alias("pa"),
             swings.alias("swings"),
             (F.sum("disc_c") * 0.064 / n).alias("woba"),
