@@ -13,7 +13,7 @@ SCOPE_RULES = (
      ("franchise", "all-time", "all time", "ever", "in history", "statcast era", "since 2015")),
     (("statcast era", "since 2015", "since_2015"),
      ("all-time", "all time", "ever", "in history", "in franchise history")),
-    (("franchise record", "franchise history", "best padre"),
+    (("franchise record", "franchise history", "best of the club"),
      ("all-time in mlb", "mlb history", "ever in major league", "ever in baseball history")),
 )
 # What a post should not contain.
@@ -29,7 +29,7 @@ LENS_MODES = {
     "statistician": ("arbitrary_endpoint", "cherry_picked_window", "wrong_denominator", "survivorship_population",
                      "sample_too_small", "multiplicity_unaccounted", "correlated_conjunction"),
     "causal": ("causal_no_control", "confounded_comparison"),
-    "coverage": ("scope_overreach", "stale_source", "coverage_mismatch", "padres_only_as_league"),
+    "coverage": ("scope_overreach", "stale_source", "coverage_mismatch", "one_team_as_league"),
     "editor": ("trivial", "tautological", "filter_artifact"),
     "voice": ("voice_tell", "register_mismatch", "jargon_ungloss"),
 }

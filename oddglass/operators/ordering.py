@@ -138,30 +138,14 @@ def range_totals(
     Points and the two ends of every probe go through one cumulative sum; the
     answer is the difference of the two ends, so no probe meets each point.
     """
-    zero = {name: F.lit(0.0) for name in amounts}
-    base = points.where(F.col(at).isNotNull()).groupBy(*part, F.col(at).cast("double").alias("_at")).agg(
-        F.count(F.lit(1)).cast("double").alias("_cnt"),
-        *[F.sum(F.coalesce(F.col(src).cast("double"), F.lit(0.0))).alias(name) for name, src in amounts.items()],
-    )
-    ends = probes.select(
-        *part, *probe_id,
-        F.explode(F.array(
-            F.struct(F.col(low).cast("double").alias("_at"), F.lit(0).alias("_side")),
-            F.struct(F.col(high).cast("double").alias("_at"), F.lit(2).alias("_side")),
-        )).alias("_e"),
-    ).select(*part, *probe_id, F.col("_e._at").alias("_at"), F.col("_e._side").alias("_side"))
-    spots = ends.select(*part, "_at", "_side").distinct().select(
-        *part, "_at", "_side", F.lit(0.0).alias("_cnt"), *[zero[n].alias(n) for n in amounts]
-    )
-    merged = base.select(*part, "_at", F.lit(1).alias("_side"), "_cnt", *amounts).unionByName(spots)
     names = ["_cnt", *amounts]
-    out = running_totals(merged, part, ["_at", "_side"], {n: n for n in names}, **kw)
-    seen = out.where(F.col("_side") != 1).select(*part, "_at", "_side", *[f"before_{n}" for n in names])
-    return (
-        ends.join(seen, [*part, "_at", "_side"])
-        .groupBy(*part, *probe_id)
-        .agg(*[
-            F.sum(F.when(F.col("_side") == 2, F.col(f"before_{n}")).otherwise(-F.col(f"before_{n}"))).alias("n_in" if n == "_cnt" else n)
-            for n in names
-        ])
-    )
+    base = points.where(f"`{at}` IS NOT NULL").groupBy(*part, F.expr(f"CAST(`{at}` AS DOUBLE) AS _at")).agg(
+        F.expr("CAST(count(1) AS DOUBLE) AS _cnt"), *[F.expr(f"sum(coalesce(CAST({src} AS DOUBLE), 0D)) AS `{n}`") for n, src in amounts.items()])
+    # An end of a probe lies before (0) or behind (2) the points (1) of equal place.
+    ends = probes.selectExpr(*part, *probe_id, f"stack(2, CAST(`{low}` AS DOUBLE), 0, CAST(`{high}` AS DOUBLE), 2) AS (_at, _side)")
+    spots = ends.select(*part, "_at", "_side").distinct().selectExpr(*part, "_at", "_side", *[f"0D AS `{n}`" for n in names])
+    merged = base.selectExpr(*part, "_at", "1 AS _side", *names).unionByName(spots)
+    out = running_totals(merged, part, ["_at", "_side"], {n: f"`{n}`" for n in names}, **kw)
+    seen = out.where("_side <> 1").select(*part, "_at", "_side", *[f"before_{n}" for n in names])
+    return ends.join(seen, [*part, "_at", "_side"]).groupBy(*part, *probe_id).agg(*[
+        F.expr(f"sum(CASE WHEN _side = 2 THEN before_{n} ELSE -before_{n} END) AS {'n_in' if n == '_cnt' else n}") for n in names])

@@ -237,9 +237,8 @@ def feeds(t):
     event = F.struct(
         (c("l_linenumber") % 5 > 0).alias("isPitch"), c("l_quantity").cast("int").alias("pitchNumber"),
         F.when(r == "R", "swinging_strike").when(r == "A", "foul").otherwise("ball").alias("description"), c("l_extendedprice").alias("startSpeed"))
-    plays = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.collect_list(event).alias("playEvents"))
-    play = F.struct(c("l_linenumber").alias("atBatIndex"), c("l_suppkey").alias("pitcherId"), "playEvents")
-    games = plays.groupBy("l_orderkey").agg(F.collect_list(play).alias("allPlays"))
+    play = F.struct(c("l_linenumber").alias("atBatIndex"), c("l_suppkey").alias("pitcherId"), F.array(event).alias("playEvents"))
+    games = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(play).alias("allPlays"))
     return games.select(c("l_orderkey").alias("gamePk"), F.to_json(F.struct(c("l_orderkey").alias("gamePk"), F.lit("Live").alias("status"), F.struct("allPlays").alias("plays"))).alias("feed"))
 
 

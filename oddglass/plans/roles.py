@@ -20,8 +20,9 @@ FOCAL_TEAMS = 5  # focal suppliers: the first five nations
 FOCAL_TEAM = 0  # focal customers: one nation
 
 
-def cents(col):
-    return F.floor(F.col(col) * 100 + 0.5) if isinstance(col, str) else F.floor(col * 100 + 0.5)
+def cents_sql(column: str, name: str) -> str:
+    """A money or rate column as whole hundredths."""
+    return f"floor({column} * 100 + 0.5D) AS {name}"
 
 
 def in_years(df: DataFrame, day: str, first: int, last: int | None = None) -> DataFrame:
@@ -51,27 +52,15 @@ class Tables:
 
     def _pitches(self, lines: DataFrame) -> DataFrame:
         """Event grain: one row per line, seen as a pitch to a supplier."""
-        n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
-        return lines.select(
-            F.col("l_suppkey").alias("subject_id"),
-            F.col("l_orderkey").alias("game_pk"),
-            n.alias("seq"),
-            F.col("l_partkey").alias("part_id"),
-            F.col("l_shipdate").cast("date").alias("game_date"),
-            F.year("l_shipdate").alias("season"),
-            F.col("l_linestatus").alias("hand"),
-            F.when(n <= 2, "FF").when(n <= 4, "SL").when(n <= 6, "CH").otherwise("KN").alias("pitch_type"),
-            F.when(F.col("l_returnflag") == "R", "swinging_strike")
-            .when(F.col("l_returnflag") == "A", "foul").otherwise("ball").alias("description"),
-            F.when(q <= 25, 1 + (q - 1) % 9).otherwise(11 + q % 4).alias("zone"),
-            ((F.col("l_discount") - 0.05) * 30).alias("plate_x"),
-            (0.5 + F.col("l_tax") * 50).alias("plate_z"),
-            (F.col("l_extendedprice") / 1000).alias("speed"),
-            cents("l_extendedprice").alias("price_c"),
-            cents("l_discount").alias("disc_c"),
-            cents("l_tax").alias("tax_c"),
-            q.alias("qty"),
-        )
+        qty = "CAST(l_quantity AS INT)"
+        return lines.selectExpr(
+            "l_suppkey AS subject_id", "l_orderkey AS game_pk", "l_linenumber AS seq", "l_partkey AS part_id",
+            "CAST(l_shipdate AS DATE) AS game_date", "year(l_shipdate) AS season", "l_linestatus AS hand",
+            "CASE WHEN l_linenumber <= 2 THEN 'FF' WHEN l_linenumber <= 4 THEN 'SL' WHEN l_linenumber <= 6 THEN 'CH' ELSE 'KN' END AS pitch_type",
+            "CASE l_returnflag WHEN 'R' THEN 'swinging_strike' WHEN 'A' THEN 'foul' ELSE 'ball' END AS description",
+            f"CASE WHEN {qty} <= 25 THEN 1 + ({qty} - 1) % 9 ELSE 11 + {qty} % 4 END AS zone",
+            "(l_discount - 0.05D) * 30 AS plate_x", "0.5D + l_tax * 50 AS plate_z", "l_extendedprice / 1000 AS speed",
+            cents_sql("l_extendedprice", "price_c"), cents_sql("l_discount", "disc_c"), cents_sql("l_tax", "tax_c"), f"{qty} AS qty")
 
     @cached_property
     def games(self) -> DataFrame:
@@ -79,10 +68,9 @@ class Tables:
         return self.orders.groupBy(
             F.col("o_custkey").alias("subject_id"), F.col("o_orderdate").cast("date").alias("game_date")
         ).agg(
-            F.count(F.lit(1)).alias("ab"),
-            F.count_if(F.col("o_orderstatus") == "F").alias("hits"),
-            F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("bb"),
-            F.sum(cents("o_totalprice")).alias("price_c"),
+            *[F.expr(e) for e in (
+                "count(1) AS ab", "count_if(o_orderstatus = 'F') AS hits", "count_if(o_orderpriority = '1-URGENT') AS bb",
+                "sum(floor(o_totalprice * 100 + 0.5D)) AS price_c")]
         )
 
     @cached_property
@@ -97,9 +85,7 @@ class Tables:
         per = orders.groupBy(
             F.col("o_custkey").alias("subject_id"), F.year("o_orderdate").alias("year")
         ).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("o_orderstatus") == "F").alias("hr"),
-            F.sum(cents("o_totalprice")).alias("price_c"),
+            *[F.expr(e) for e in ("count(1) AS n", "count_if(o_orderstatus = 'F') AS hr", "sum(floor(o_totalprice * 100 + 0.5D)) AS price_c")]
         )
         who = self.customer.select(
             F.col("c_custkey").alias("subject_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("team")
@@ -115,25 +101,16 @@ class Tables:
 
     def _stats(self, pitches: DataFrame) -> DataFrame:
         """Season grain: a supplier's year with expected and actual rates."""
-        big = lambda c: F.count_if(F.col("price_c") > c * 100)
-        swings = F.count_if(F.col("description") != "ball")
-        n = F.count(F.lit(1))
-        per = pitches.groupBy("subject_id", F.col("season").alias("year")).agg(
-            n.alias("pa"),
-            swings.alias("swings"),
-            (F.sum("disc_c") * 0.064 / n).alias("woba"),
-            (F.sum("tax_c") * 0.08 / n).alias("est_woba"),
-            (F.sum("disc_c") * 0.05 / n).alias("ba"),
-            (F.sum("tax_c") * 0.062 / n).alias("est_ba"),
-            (F.sum("qty") / n).alias("sprint_speed"),
-            (F.sum("price_c") / n / 100000.0).alias("exit_velocity"),
-            (100.0 * big(80000) / n).alias("brl_percent"),
-            (100.0 * big(60000) / n).alias("hard_hit_percent"),
-            (100.0 * F.count_if(F.col("description") == "swinging_strike") / n).alias("k_percent"),
-            (100.0 * F.count_if(F.col("description") == "swinging_strike") / F.nullif(swings, F.lit(0))).alias("whiff_percent"),
-            (100.0 * F.count_if((F.col("zone") > 9) & (F.col("description") != "ball"))
-             / F.nullif(F.count_if(F.col("zone") > 9), F.lit(0))).alias("chase_percent"),
-        )
+        swings, k = "count_if(description <> 'ball')", "count_if(description = 'swinging_strike')"
+        per = pitches.groupBy("subject_id", F.col("season").alias("year")).agg(*[F.expr(e) for e in (
+            "count(1) AS pa", f"{swings} AS swings",
+            "sum(disc_c) * 0.064D / count(1) AS woba", "sum(tax_c) * 0.08D / count(1) AS est_woba",
+            "sum(disc_c) * 0.05D / count(1) AS ba", "sum(tax_c) * 0.062D / count(1) AS est_ba",
+            "sum(qty) / count(1) AS sprint_speed", "sum(price_c) / count(1) / 100000.0D AS exit_velocity",
+            "100.0D * count_if(price_c > 8000000) / count(1) AS brl_percent", "100.0D * count_if(price_c > 6000000) / count(1) AS hard_hit_percent",
+            f"100.0D * {k} / count(1) AS k_percent", f"100.0D * {k} / nullif({swings}, 0) AS whiff_percent",
+            "100.0D * count_if(zone > 9 AND description <> 'ball') / nullif(count_if(zone > 9), 0) AS chase_percent",
+        )])
         who = self.supplier.select(
             F.col("s_suppkey").alias("subject_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("team")
         )

@@ -44,8 +44,12 @@ def settle(df: DataFrame) -> DataFrame:
     Used where several branches read one expensive aggregate: every branch then
     sees the very same values, also after an executor was lost.
     """
+    if getattr(df, "_settled", False):
+        return df
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    done._settled = True
+    return done
