@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -26,8 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reachable(spark: SparkSession) -> None:
+    """Workers find this package where the driver found it, also if the driver was started elsewhere."""
+    paths = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if root not in paths.get("PYTHONPATH", "").split(os.pathsep):
+        paths["PYTHONPATH"] = os.pathsep.join(filter(None, [paths.get("PYTHONPATH"), root]))
+
+
 def narrow(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, in their types; other columns, whatever their names, are left behind."""
+    reachable(df.sparkSession)
     return df.select(*[F.col(f"`{k}`").cast(v).alias(k) for k, v in kinds.items()])
 
 
