@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_bpe, q_decontam, q_html, q_lm, q_near_dups, q_quality, q_secrets, q_toxicity  # noqa: F401
+from . import q_bpe, q_decontam, q_html, q_lm, q_near_dups, q_quality, q_repeats, q_secrets, q_toxicity  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
