@@ -13,10 +13,11 @@ its pairs:
 
 1. every node is paired with the bucket's first node; pairs are verified on the full sets and the
    links joined into components;
-2. a node outside the component of the first node meets the other nodes of its bucket, in blocks
-   of about 256; the estimate from one byte per place (six deviations below 0.75) says which of
-   those pairs are verified. Pairs inside one component need no look: no link that would change
-   a component is lost.
+2. buckets with one first node are one group from here on. In a group that still holds several
+   components, the nodes outside the component of the first node meet all others, in blocks of
+   about 256 nodes with their full sets: a product of two incidence matrices has the sizes of all
+   intersections of two blocks, and one link for each two components goes out. Pairs inside one
+   component need no look: no link that would change a component is lost.
 
 Buckets, blocks and links stay in Spark; hot keys are met by aggregates that combine before the
 shuffle, by blocks, and by joins that adaptive execution splits. Candidate ids are broadcast only
@@ -41,9 +42,9 @@ from .graph import components
 SHINGLE = 5
 PLACES, BAND = 128, 4
 SHARE = (75, 100)
-#: Of 128 places at similarity 0.75 as many as this agree but for one chance in 10^9.
-ENOUGH = 66
 BLOCK = 256
+#: Columns of an incidence matrix held at once.
+COLUMNS = 8192
 #: Candidate ids up to this number (some 100 MB in Spark's hash table) are broadcast.
 BROADCAST_IDS = 3_000_000
 KEPT_WORDS = 300_000
@@ -128,12 +129,8 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def place_bytes(h: np.ndarray) -> np.ndarray:
-    return (mix(np.ascontiguousarray(h).view(np.uint64)) >> _U(56)).astype(np.uint8)
-
-
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, f1, f2, bands, places): size and fingerprint of each set; the signature once per set and piece."""
+    """(doc_id, n, f1, f2, bands): size and fingerprint of each set; the keys of its bands once per set and piece."""
 
     def run(batch: pa.RecordBatch):
         hashes = _Hashes()
@@ -146,19 +143,17 @@ def sketches(docs: DataFrame) -> DataFrame:
             if key[0]:
                 first.setdefault(key, i)
         bands: list = [None] * len(sets)
-        places: list = [None] * len(sets)
         todo = list(first.values())
         while todo:
             take, size = [], 0
             while todo and (size < 60_000 or not take):
                 take.append(todo.pop())
                 size += len(sets[take[-1]])
-            h = signatures([sets[i] for i in take])
-            for i, key, place in zip(take, band_keys(h), place_bytes(h)):
-                bands[i], places[i] = key, place.tobytes()
-        return rows(doc_id=batch.column("doc_id"), n=pa.array(n), f1=pa.array(f1), f2=pa.array(f2), bands=pa.array(bands, pa.list_(pa.int64())), places=pa.array(places, pa.binary()))
+            for i, key in zip(take, band_keys(signatures([sets[i] for i in take]))):
+                bands[i] = key
+        return rows(doc_id=batch.column("doc_id"), n=pa.array(n), f1=pa.array(f1), f2=pa.array(f2), bands=pa.array(bands, pa.list_(pa.int64())))
 
-    return map_texts(narrow(docs, doc_id="long", text="string"), run, "doc_id long, n long, f1 long, f2 long, bands array<long>, places binary")
+    return map_texts(narrow(docs, doc_id="long", text="string"), run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def alike(n, m) -> F.Column:
@@ -166,18 +161,23 @@ def alike(n, m) -> F.Column:
     return F.least(n, m) * SHARE[1] >= F.greatest(n, m) * SHARE[0]
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
-    pairs = settled(pairs)
-    ids = settled(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(v, words): the full sets of some documents, read from their whole texts."""
     few = ids.count() <= BROADCAST_IDS
     near = narrow(docs, doc_id="long", text="string").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
-    def sets(batch: pa.RecordBatch):
+    def run(batch: pa.RecordBatch):
         hashes = _Hashes()
         return rows(v=batch.column("doc_id"), words=pa.array([shingles(t, hashes).tobytes() for t in texts(batch)], pa.binary()))
 
-    found = settled(map_texts(near, sets, "v long, words binary"))
+    return settled(map_texts(near, run, "v long, words binary"))
+
+
+def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike enough."""
+    pairs = settled(pairs)
+    ids = settled(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    found = sets_of(ids, docs)
 
     def compare(batches):
         for batch in batches:
@@ -192,38 +192,52 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(compare, "a long, b long")
 
 
-def rest_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components within buckets, of those the estimate does not rule out.
-
-    ``members``: (key, v, n, c, main, places), ``main`` being the component of the bucket's first node.
-    """
-    sizes = members.groupBy("key").agg(F.count("*").alias("all"), F.sum((F.col("c") != F.col("main")).cast("long")).alias("out"))
-    own = members.join(sizes, "key")
-    row = F.struct("v", "n", "c", "places")
-
-    def blocked(df, total):
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted sets, by products of incidence matrices."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    if not x or not y:
+        return out.astype(np.int64)
+    flat = [np.concatenate(s) for s in (x, y)]
+    owner = [np.repeat(np.arange(len(s)), [len(k) for k in s]) for s in (x, y)]
+    shared = np.intersect1d(flat[0], flat[1])
+    place = [np.minimum(np.searchsorted(shared, f), max(0, len(shared) - 1)) for f in flat]
+    good = [shared[p] == f if len(shared) else np.zeros(len(f), bool) for p, f in zip(place, flat)]
+    place, owner = [p[g] for p, g in zip(place, good)], [o[g] for o, g in zip(owner, good)]
+    for at in range(0, len(shared), COLUMNS):
+        sides = []
+        for p, o, n in zip(place, owner, (len(x), len(y))):
+            m = np.zeros((n, min(COLUMNS, len(shared) - at)), np.float32)
+            own = (p >= at) & (p < at + COLUMNS)
+            m[o[own], p[own] - at] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def rest_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) across components within groups: (first, v, c, main, words), ``main`` being the component of the first node."""
+    sizes = members.groupBy("first").agg(F.count("*").alias("all"), F.sum((F.col("c") != F.col("main")).cast("long")).alias("out"))
+    own = members.join(sizes, "first")
+
+    def blocked(df, total, name):
         part = F.pmod(F.xxhash64("v"), F.ceil(F.col(total) / F.lit(BLOCK)).cast("long"))
-        return df.withColumn("part", part).groupBy("key", "part").agg(F.collect_list(row).alias("block")).drop("part")
+        return df.withColumn("part", part).groupBy("first", "part").agg(F.collect_list(F.struct("v", "c", "words")).alias(name)).drop("part")
 
-    left = blocked(own.where("c <> main"), "out").withColumnRenamed("block", "x")
-    right = blocked(own, "all").withColumnRenamed("block", "y")
+    left, right = blocked(own.where("c <> main"), "out", "x"), blocked(own, "all", "y")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                sides = []
-                for name in ("x", "y"):
-                    s = batch.column(name)[i].values
-                    v, n, c, p = (s.field(k) for k in range(4))
-                    sides.append((v.to_numpy(), n.to_numpy(), c.to_numpy(), np.frombuffer(b"".join(p.to_pylist()), np.uint8).reshape(len(v), -1)))
-                (v, n, c, p), (w, m, d, q) = sides
-                for k in range(len(v)):
-                    same = np.count_nonzero(q == p[k], axis=1)
-                    good = (same >= ENOUGH) & (d != c[k]) & (np.minimum(n[k], m) * SHARE[1] >= np.maximum(n[k], m) * SHARE[0])
-                    if good.any():
-                        yield rows(a=np.minimum(v[k], w[good]), b=np.maximum(v[k], w[good]))
+                (v, c, x), (w, d, y) = (
+                    (s.field(0).to_numpy(), s.field(1).to_numpy(), [np.frombuffer(k, np.uint64) for k in s.field(2).to_pylist()])
+                    for s in (batch.column("x")[i].values, batch.column("y")[i].values))
+                both = intersections(x, y)
+                union = np.array([len(k) for k in x])[:, None] + np.array([len(k) for k in y])[None] - both
+                p, q = np.nonzero((both * SHARE[1] >= union * SHARE[0]) & (c[:, None] != d[None]))
+                _, some = np.unique(np.column_stack([c[p], d[q]]), axis=0, return_index=True)
+                yield rows(a=v[p[some]], b=w[q[some]])
 
-    return left.join(right, "key").select("x", "y").mapInArrow(run, "a long, b long").distinct()
+    return left.join(right, "first").select("x", "y").mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -231,20 +245,20 @@ def groups(docs: DataFrame) -> DataFrame:
     sketched = settled(sketches(docs))
     nodes = settled(
         sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2")
-        .agg(F.min("doc_id").alias("v"), F.first("bands", True).alias("bands"), F.first("places", True).alias("places")))
+        .agg(F.min("doc_id").alias("v"), F.first("bands", True).alias("bands")))
     placed = nodes.select("v", "n", F.explode("bands").alias("key"))
     first = placed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("v", "n")).alias("top")).where("size > 1")
-    buckets = settled(placed.join(first.select("key", F.col("top.v").alias("first"), F.col("top.n").alias("first_n")), "key"))
-    stars = buckets.where((F.col("v") != F.col("first")) & alike(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("v").alias("b")).distinct()
+    met = placed.join(first.select("key", F.col("top.v").alias("first"), F.col("top.n").alias("first_n")), "key")
+    grouped = settled(met.groupBy("first", "first_n", "v", "n").agg(F.lit(1).alias("one")).drop("one"))
+    stars = grouped.where((F.col("v") != F.col("first")) & alike(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("v").alias("b"))
     links = settled(verify(stars, docs))
-    grouped = settled(components(links))
-    # buckets that still hold several components
-    comp = grouped.groupBy("v").agg(F.min("c").alias("c"))
-    known = buckets.join(comp, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    mixed = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("c", "v").alias("main")).where("low <> high").select("key", "main")
-    open_rows = known.join(mixed, "key").select("key", "v", "n", "c", "main")
-    members = settled(open_rows.join(nodes.select("v", "places"), "v"))
-    more = settled(verify(rest_pairs(members), docs))
+    comp = settled(components(links)).groupBy("v").agg(F.min("c").alias("c"))
+    # groups that still hold several components
+    known = settled(grouped.join(comp, "v", "left").select("first", "v", F.coalesce("c", "v").alias("c")))
+    mixed = known.groupBy("first").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("c", "v").alias("main")).where("low <> high").select("first", "main")
+    members = settled(known.join(mixed, "first"))
+    sets = sets_of(settled(members.select(F.col("v").alias("doc_id")).distinct()), docs)
+    more = settled(rest_links(members.join(sets, "v")))
     final = components(links.unionAll(more)).groupBy("v").agg(F.min("c").alias("c"))
     named = nodes.select("n", "f1", "f2", "v").join(final, "v", "left").select("n", "f1", "f2", F.coalesce("c", "v").alias("c"))
     out = sketched.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
