@@ -178,6 +178,8 @@ LABELLED = np.array([
     [120, 0.0, 1, 1.0, 4, 0.0, 0, 0, 0, 0, 1], [18, 0.1, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 1], [35, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1],
     [16, 0.0, 0, 0.0, 20, 0.0, 0, 0, 0, 0, 1], [22, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 1], [300, 0.2, 20, 0.0, 12, 0.9, 0, 0, 0, 0, 1],
     [6, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 1], [4, 0.0, 80, 0.0, 70, 0.0, 0, 0, 0, 1, 1], [9, 0.0, 3, 0.0, 45, 0.0, 0, 0, 0, 1, 1],
+    [2, 1.0, 0, 0.0, 48, 0.0, 0, 0, 0, 0, 0], [3, 1.0, 60, 0.0, 60, 0.0, 0, 0, 0, 0, 0], [1, 1.0, 48, 0.0, 0, 0.0, 0, 0, 0, 0, 0],
+    [5, 0.8, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 0], [8, 0.9, 0, 0.0, 90, 0.0, 0, 0, 0, 0, 0], [4, 0.6, 70, 0.0, 55, 0.0, 0, 0, 0, 0, 0],
     [3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1, 0], [2, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 1, 0], [4, 1.0, 10, 0.9, 4, 1.0, 0, 0, 0, 1, 0],
 ])
 

@@ -1,0 +1,80 @@
+"""Base spans by the patterns as they are given, the field on unseen lines, redaction."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from cases import documents, odd_texts
+
+from oddglass.llm import secrets
+
+
+def plain_spans(text):
+    found = [(m.start(), m.end(), 0) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A | re.I) if len(m.group(2)) >= 6]
+    found += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    found += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    return [(a, b, secrets.KINDS[k]) for a, b, k in sorted(found, key=lambda s: (s[0], s[2]))]
+
+
+def test_base_spans():
+    r = random.Random(2)
+    parts = ["token", "API_KEY", "apikey", "=", ":", " ", '"', "'", "abcdef", "x", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "deadbeef", "secret", "passwd", "é", "\n", "ſecret", "toKen"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(12)))
+        assert secrets.base_spans(text) == plain_spans(text), text
+
+
+@pytest.fixture(scope="module")
+def field():
+    return secrets.fit(secrets.generated(2000))
+
+
+def test_field_finds_unseen_forms(field):
+    assert field.separable
+    r = random.Random(77)
+    value = lambda: "q9" + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30))
+    hits = 0
+    for _ in range(50):
+        v = value()
+        text = f"some words before auth: {v} and after it"
+        hits += any(text[a:b] == v for a, b, k in field.spans(text))
+    assert hits >= 45
+    for text in ("call 2669109448945250 now", "on 2024-05-11 at 12:30 we met", "mail une.92@mail6.example.com soon", "see https://abcd.example.org/x/123 for more", "the end: nothing", "room a12 = 7"):
+        assert field.spans(text) == []
+
+
+def test_runs_alone_equal_the_whole_chain(field):
+    r = random.Random(5)
+    words = ["plain", "token", "=", "a1b2c3d4e5f6a7b8c9", "x=12", "key:", "12", "note:", "secret", "Zx9" * 8]
+    whole = secrets.Field(field.index, field.weights, field.moves)
+    whole.separable = False
+    for _ in range(200):
+        text = " ".join(r.choice(words) for _ in range(r.randrange(15)))
+        assert field.spans(text) == whole.spans(text), text
+
+
+def test_whole_table(spark, field):
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.digest(documents(spark), field).collect())
+    want = []
+    for i, t in odd_texts():
+        s = plain_spans(t or "")
+        spelled = ",".join(f"{k}:{a}:{b}" for a, b, k in s)
+        want.append((i is None, i or 0, *(sum(x[2] == k for x in s) for k in secrets.KINDS[:3]), hashlib.sha256(spelled.encode()).hexdigest()))
+    assert got == sorted(want)
+    for r in secrets.scan(documents(spark), field).collect():
+        spans = {(s.start, s.end, s.kind) for s in r.spans}
+        assert {(s.start, s.end, s.kind) for s in r.base} <= spans
+
+
+def test_redaction_and_training(spark):
+    docs = documents(spark)
+    field = secrets.train(docs)
+    out = secrets.redact(docs, field)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = {r.doc_id: r for r in out.where("doc_id IS NOT NULL").collect()}
+    assert got[7].text is None and got[8].text == "" and got[12].text == "one"
+    assert "a1b2c3" not in got[20].text and "hunter22" not in got[20].text and got[20].text.count("[SECRET]") == 3
+    assert got[20].n_chars == len(got[20].text)
+    empty = documents(spark, [])
+    assert secrets.digest(empty, secrets.train(empty)).count() == 0
