@@ -259,7 +259,7 @@ def coverage_phrase(scope: Column) -> Column:
     out = None
     for tag, words in SCOPE_PHRASES.items():
         out = F.when(scope == tag, words) if out is None else out.when(scope == tag, words)
-    since = F.concat(F.lit("since "), F.substring(scope, 7, 1000))
+    since = F.concat(F.lit("since "), F.regexp_replace(scope, "^since_", ""))
     return out.when(scope.startswith("since_"), since).otherwise(F.translate(scope, "_", " "))
 
 

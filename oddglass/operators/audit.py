@@ -40,7 +40,7 @@ CONFIDENCE_FLOOR = 0.6
 def digit_audit(texts: DataFrame, key: str, text: str, facts: str) -> DataFrame:
     """Number tokens of each text that do not occur in its facts (either zero form counts)."""
     token = F.col("token")
-    other = F.when(token.startswith("0."), F.substring(token, 2, 1000)).when(token.startswith("."), F.concat(F.lit("0"), token)).otherwise(token)
+    other = F.when(token.startswith("0."), F.regexp_replace(token, "^0", "")).when(token.startswith("."), F.concat(F.lit("0"), token)).otherwise(token)
     laid = texts.select(key, facts, F.explode(F.array_distinct(X.number_tokens(F.col(text)))).alias("token"))
     return laid.where(~F.col(facts).contains(token) & ~F.col(facts).contains(other)).select(key, "token")
 

@@ -18,6 +18,14 @@ ELITE_PERCENTILE = 85.0
 PROXIMITY = 0.10
 
 
+MOVE_UNITS = 1e9  # moves are summed in whole parts of this size
+
+
+def exact_mean(value: Column) -> Column:
+    """A mean that does not depend on the order of the rows."""
+    return F.sum(F.round(value * MOVE_UNITS).cast("bigint")) / MOVE_UNITS / F.count(value)
+
+
 def extremeness(rows: DataFrame, part: list[str], floor: float = EXTREME_FLOOR) -> DataFrame:
     """Percentile in the population, shrunk toward one half by the subject's own sample."""
     ranked = O.ecdf(rows, part, "value", better="higher")
@@ -97,7 +105,7 @@ def cohort_drift(moves: DataFrame, move: str = "move", least: int = 20) -> DataF
 def career_shift(moves: DataFrame, least_cohort: int = 30, gate: float = 1.8) -> DataFrame:
     """Own move net of the league's, in cohort SDs.  ``moves`` has ``move`` per subject."""
     from .joins import attach_row
-    league = moves.agg(F.avg("move").alias("league_move"), F.stddev_pop("move").alias("sd"), F.count("*").alias("cohort"))
+    league = moves.agg(exact_mean(F.col("move")).alias("league_move"), F.stddev_pop("move").alias("sd"), F.count("*").alias("cohort"))
     net = attach_row(moves, league.where((F.col("cohort") >= least_cohort) & (F.col("sd") > 0)))
     net = net.withColumn("net", F.col("move") - F.col("league_move")).withColumn("z", F.col("net") / F.col("sd"))
     return net.where(F.abs("z") >= gate)
@@ -106,7 +114,7 @@ def career_shift(moves: DataFrame, least_cohort: int = 30, gate: float = 1.8) ->
 def shift_rarity(moves: DataFrame, cap: float = 0.95) -> DataFrame:
     """Share of the cohort that moved less (net of the league), at most ``cap``."""
     from .joins import attach_row
-    league = moves.agg(F.avg("move").alias("league_move"))
+    league = moves.agg(exact_mean(F.col("move")).alias("league_move"))
     sized = attach_row(moves, league).withColumn("_abs", F.round(F.abs(F.col("move") - F.col("league_move")), 9))
     return O.ecdf(sized, [], "_abs", out="_beaten").withColumn("rarity", F.least(F.lit(cap), F.col("_beaten"))).drop("_abs", "_beaten")
 
@@ -126,31 +134,30 @@ def matched_control(
     a subject's own seasons (a few) are then taken out again by an equi-join.
     """
     pairs, probes = settle(pairs), settle(probes)  # each is read by several branches
-    up = pairs.withColumn("up", (F.col("move") > 0).cast("double")).withColumn("part", F.lit("all"))
-    probe = probes.withColumn("part", F.lit("all"))
-    ask = lambda col, within: probe.select(
-        "part", subject, (F.col(col) - within).alias("lo"), (F.col(col) + within).alias("hi"))
-    amounts = {"move_in": "move", "up_in": "up"}
-    treated = O.range_totals(up, ask("gap_u", gap_within), ["part"], "gap_u", amounts, "lo", "hi", [subject])
-    flat = up.where(F.abs("gap_u") <= control_gap)
-    control = O.range_totals(flat, ask("level_u", level_within), ["part"], "level_u", amounts, "lo", "hi", [subject])
-    own = pairs.withColumnsRenamed({"gap_u": "g", "level_u": "l"}).join(probes, subject)
+    # Moves are summed as whole billionths: totals and their differences are exact in any order.
+    up = pairs.withColumns({"up": (F.col("move") > 0).cast("bigint"), "move_n": F.round(F.col("move") * MOVE_UNITS).cast("bigint")})
+    # Both ranges go through one cumulative sum, told apart by the part.
+    points = up.select(F.lit("gap").alias("part"), F.col("gap_u").alias("at"), "move_n", "up").unionAll(
+        up.where(F.abs("gap_u") <= control_gap).select(F.lit("level").alias("part"), F.col("level_u").alias("at"), "move_n", "up"))
+    ask = lambda part, col, within: probes.select(
+        F.lit(part).alias("part"), subject, (F.col(col) - within).alias("lo"), (F.col(col) + within).alias("hi"))
+    asked = ask("gap", "gap_u", gap_within).unionAll(ask("level", "level_u", level_within))
+    got = O.range_totals(points, asked, ["part"], "at", {"move_in": "move_n", "up_in": "up"}, "lo", "hi", [subject], few_parts=True)
+    own = up.withColumnsRenamed({"gap_u": "g", "level_u": "l"}).join(probes, subject)
     near = F.abs(F.col("g") - F.col("gap_u")) <= gap_within
     calm = (F.abs(F.col("l") - F.col("level_u")) <= level_within) & (F.abs("g") <= control_gap)
     mine = own.groupBy(subject).agg(*[
-        F.coalesce(F.sum(F.when(cond, val)), F.lit(0.0)).alias(f"{kind}_{name}")
+        F.coalesce(F.sum(F.when(cond, val)), F.lit(0)).alias(f"{kind}_{name}")
         for kind, cond in (("t", near), ("c", calm))
-        for name, val in (("n", F.lit(1.0)), ("m", F.col("move")), ("u", (F.col("move") > 0).cast("double")))])
-    out = (
-        probes.join(treated.select(subject, F.col("n_in").alias("tn"), F.col("move_in").alias("tm"), F.col("up_in").alias("tu")), subject, "left")
-        .join(control.select(subject, F.col("n_in").alias("cn"), F.col("move_in").alias("cm"), F.col("up_in").alias("cu")), subject, "left")
-        .join(mine, subject, "left")
-    )
-    less = lambda a, b: F.coalesce(F.col(a), F.lit(0.0)) - F.coalesce(F.col(b), F.lit(0.0))
-    out = out.withColumns({"treated_n": F.round(less("tn", "t_n")).cast("bigint"), "control_n": F.round(less("cn", "c_n")).cast("bigint")})
-    mean = lambda a, b, n: X.ratio(less(a, b), F.col(n))
+        for name, val in (("n", F.lit(1)), ("m", F.col("move_n")), ("u", F.col("up")))])
+    one = lambda part, name: F.max(F.when(F.col("part") == part, F.col(name)))
+    wide = got.groupBy(subject).agg(*[one(p, n).alias(k) for p, a in (("gap", "t"), ("level", "c")) for n, k in (("n_in", f"{a}n"), ("move_in", f"{a}m"), ("up_in", f"{a}u"))])
+    out = probes.join(wide, subject, "left").join(mine, subject, "left")
+    less = lambda a, b: F.coalesce(F.col(a), F.lit(0)) - F.coalesce(F.col(b), F.lit(0))
+    out = out.withColumns({"treated_n": less("tn", "t_n").cast("bigint"), "control_n": less("cn", "c_n").cast("bigint")})
+    mean = lambda a, b, n: X.ratio(less(a, b).cast("double"), F.col(n))
     return out.withColumns({
-        "treated_mean": mean("tm", "t_m", "treated_n"), "control_mean": mean("cm", "c_m", "control_n"),
+        "treated_mean": mean("tm", "t_m", "treated_n") / MOVE_UNITS, "control_mean": mean("cm", "c_m", "control_n") / MOVE_UNITS,
         "treated_up": mean("tu", "t_u", "treated_n"), "control_up": mean("cu", "c_u", "control_n"),
     }).select(*probes.columns, "treated_n", "control_n", "treated_mean", "control_mean", "treated_up", "control_up").withColumn(
         "net", F.col("treated_mean") - F.col("control_mean"))

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 PICK_ONE_IN = 4096  # one row in so many may become a cut point
 MOST_CUTS = 256  # cut points kept per partition key
+SPREAD = 32  # tasks a key's rows meet its cut points in
+# Names of columns whose values the driver lists: metric and family names.
+LISTED = {"metric_id", "metric", "family", "lens"}
 
 
 def _names(cols: list[str]) -> str:
@@ -22,12 +25,15 @@ def _names(cols: list[str]) -> str:
 
 def _cut_points(rows: DataFrame, part: list[str], one_in: int, most: int) -> DataFrame:
     # Hashing all columns keeps this branch's plan equal to the row branch below
-    # it, so Spark reuses the shuffle that produced ``rows``.
-    by = f"PARTITION BY {_names(part)}" if part else ""
-    numbered = rows.where(f"pmod(xxhash64({_names(rows.columns)}), {one_in}) = 0").selectExpr(
-        *part, "_k", f"row_number() OVER ({by} ORDER BY _k) AS _i", f"count(1) OVER ({by}) AS _m")
-    thinned = numbered.where(f"_i % ceil(_m / {most}) = 0")
-    return thinned.groupBy(*part).agg(F.expr("sort_array(collect_list(_k)) AS _cuts"))
+    # it, so Spark reuses the shuffle that produced ``rows``.  Of the picked rows at
+    # most ``most`` per key are kept; each task cuts its own down before it sends any.
+    picked = rows.where(f"pmod(xxhash64({_names(rows.columns)}), {one_in}) = 0").select(*part, "_k")
+    if part:
+        by = f"PARTITION BY {_names(part)} ORDER BY xxhash64(_k), _k"
+        few = picked.selectExpr("*", f"row_number() OVER ({by}) AS _i").where(f"_i <= {most}").drop("_i")
+    else:
+        few = picked.orderBy(F.xxhash64("_k"), "_k").limit(most)
+    return few.groupBy(*part).agg(F.expr("sort_array(collect_list(_k)) AS _cuts"))
 
 
 def running_totals(
@@ -36,7 +42,7 @@ def running_totals(
     order: list[str],
     amounts: dict[str, str],
     *,
-    few_parts: bool = True,
+    few_parts: bool | None = None,
     one_in: int = PICK_ONE_IN,
     most: int = MOST_CUTS,
 ) -> DataFrame:
@@ -44,16 +50,26 @@ def running_totals(
     rows, and ``whole_<name>``, the sum over the whole partition key.
 
     ``order`` are ascending columns that are unique and non-null within ``part``.
-    ``few_parts`` says that ``part`` takes values from a list the driver holds
-    (metrics, families), which bounds the cut-point tables to ``most`` entries per
-    listed value; only then are they broadcast.
+    ``few_parts`` says that ``part`` takes values from a list the driver holds, which
+    bounds the cut-point tables to ``most`` entries per listed value; only then are they
+    broadcast by hint.  By default that is so for columns of metric and family names, and
+    without a partition key.  All other tables are left to adaptive execution, and rows meet
+    their cut points in ``SPREAD`` tasks per key.  Sums are taken per key and bucket, so a key
+    that holds half of all rows is spread over its buckets.
     """
+    few = set(part) <= LISTED if few_parts is None else few_parts
     cols = df.columns
     rows = df.selectExpr("*", f"struct({_names(order)}) AS _k")
-    hint = F.broadcast if few_parts else (lambda d: d)
+    hint = F.broadcast if few else (lambda d: d)
     cuts = _cut_points(rows, part, one_in, most)
-    cut = rows.join(hint(cuts), part, "left") if part else rows.withColumn("_cuts", cuts.scalar())
-    placed = cut.selectExpr(*cols, "_k", "CASE WHEN _cuts IS NULL THEN 0 ELSE size(filter(_cuts, c -> c <= _k)) END AS _b")
+    if not part:
+        cut = rows.withColumn("_cuts", cuts.scalar())
+    elif few:
+        cut = rows.join(F.broadcast(cuts), part, "left")
+    else:
+        spread = cuts.selectExpr("*", f"explode(sequence(0, {SPREAD - 1})) AS _s")
+        cut = rows.selectExpr("*", f"CAST(pmod(xxhash64(_k), {SPREAD}) AS INT) AS _s").join(spread, [*part, "_s"], "left")
+    placed = cut.selectExpr(*cols, "_k", "CASE WHEN _cuts IS NULL THEN 0 ELSE size(filter(_cuts, c -> c <= _k)) END AS _b").repartition(*[F.col(c) for c in [*part, "_b"]])
     inside = f"(PARTITION BY {_names([*part, '_b'])} ORDER BY _k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     local = placed.selectExpr("*", *[f"coalesce(sum({a}) OVER {inside}, ({a}) * 0) AS _in_{n}" for n, a in amounts.items()])
     # The hash keeps every column alive, so this branch is the row branch's own
@@ -136,14 +152,15 @@ def range_totals(
     """Per probe, the count and sums over points with ``low <= at <= high``.
 
     Points and the two ends of every probe go through one cumulative sum; the
-    answer is the difference of the two ends, so no probe meets each point.
+    answer is the difference of the two ends, so no probe meets each point.  Amounts
+    are whole numbers, so the differences are exact.
     """
     names = ["_cnt", *amounts]
     base = points.where(f"`{at}` IS NOT NULL").groupBy(*part, F.expr(f"CAST(`{at}` AS DOUBLE) AS _at")).agg(
-        F.expr("CAST(count(1) AS DOUBLE) AS _cnt"), *[F.expr(f"sum(coalesce(CAST({src} AS DOUBLE), 0D)) AS `{n}`") for n, src in amounts.items()])
+        F.expr("count(1) AS _cnt"), *[F.expr(f"sum(coalesce(CAST({src} AS BIGINT), 0L)) AS `{n}`") for n, src in amounts.items()])
     # An end of a probe lies before (0) or behind (2) the points (1) of equal place.
     ends = probes.selectExpr(*part, *probe_id, f"stack(2, CAST(`{low}` AS DOUBLE), 0, CAST(`{high}` AS DOUBLE), 2) AS (_at, _side)")
-    spots = ends.select(*part, "_at", "_side").distinct().selectExpr(*part, "_at", "_side", *[f"0D AS `{n}`" for n in names])
+    spots = ends.select(*part, "_at", "_side").distinct().selectExpr(*part, "_at", "_side", *[f"0L AS `{n}`" for n in names])
     merged = base.selectExpr(*part, "_at", "1 AS _side", *names).unionByName(spots)
     out = running_totals(merged, part, ["_at", "_side"], {n: f"`{n}`" for n in names}, **kw)
     seen = out.where("_side <> 1").select(*part, "_at", "_side", *[f"before_{n}" for n in names])

@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from . import ordering as O
 
 
 def collapse_boards(hits: DataFrame, keys: list[str], score: str, subject: str, at_least: int = 3) -> DataFrame:
-    """Metrics with several focal hits become one ranked row set.
+    """Metrics with several focal hits become one ranked row set: a row per subject with its place.
 
-    Only focal subjects (one roster) reach this step, so a list holds one roster at most.
+    Nothing is collected: places come from ordered buckets, however many subjects a metric has.
     """
-    entry = F.struct((-F.col(score)).alias("s"), F.col(subject).alias("id"))
-    got = hits.groupBy(*keys).agg(F.count("*").alias("hits"), F.array_sort(F.collect_list(entry)).alias("_e"))
-    return got.where(F.col("hits") >= at_least).withColumn(
-        "listed", F.array_join(F.transform("_e", lambda e: e.id.cast("string")), ",")).drop("_e")
+    placed = O.ordinal(hits.withColumn("_o", -F.col(score)), keys, ["_o", subject], out="place", size="hits", few_parts=set(keys) <= O.LISTED)
+    return placed.drop("_o").where(F.col("hits") >= at_least)
+
+
+def boards_of(rows: DataFrame, keys: list[str], subject: str) -> DataFrame:
+    """One row per board: how many subjects it ranks and who leads it."""
+    return rows.groupBy(*keys).agg(F.max("hits").alias("hits"), F.min_by(subject, "place").alias("leader"))
 
 
 def hero_gate(hits: DataFrame, marquee: DataFrame, subject: str, floor: float = 0.95) -> DataFrame:

@@ -22,7 +22,7 @@ def passing_counts(rows: DataFrame, part: list[str], subject: list[str], cut: fl
     """
     turned = rows.withColumn("_t", F.when(F.col("higher"), F.col("value")).otherwise(-F.col("value")))
     cuts = O.quantile_cut(turned.select("metric_id", *part, "_t"), ["metric_id", *part], "_t", cut)
-    joined = turned.join(F.broadcast(cuts), ["metric_id", *part])  # one row per listed metric and period
+    joined = turned.join(cuts, ["metric_id", *part])
     return joined.groupBy(*part, *subject).agg(
         F.count_if(F.col("_t") >= F.col("cut")).alias("passed"), F.count("*").alias("present"))
 
@@ -56,21 +56,15 @@ def conjunctions(hits: DataFrame, part: list[str], subject: str) -> DataFrame:
 def conjunction_peers(groups: DataFrame, rows: DataFrame, part: list[str], subject: str, cut: float = PEER_CUT) -> DataFrame:
     """For each combination of metrics: subjects past the cut in all of them, and the universe.
 
-    Whether a subject passes is one bit per metric, so subjects are counted by their
-    small pass/present sets and the combinations are matched against those counts.
+    A combination is laid out over its (two or three) metrics and meets the subjects of a period
+    by an equi-join on period and metric; only metrics that occur in a combination take part. A
+    subject counts when it has, or passes, as many of them as the combination is long.
     """
     turned = settle(rows).withColumn("_t", F.when(F.col("higher"), F.col("value")).otherwise(-F.col("value")))
     cuts = O.quantile_cut(turned.select("metric_id", *part, "_t"), ["metric_id", *part], "_t", cut)
-    flagged = turned.join(F.broadcast(cuts), ["metric_id", *part])  # one row per listed metric and period
-    sets = flagged.groupBy(*part, subject).agg(
-        F.sort_array(F.collect_set(F.when(F.col("_t") >= F.col("cut"), F.col("metric_id")))).alias("_pass"),
-        F.sort_array(F.collect_set("metric_id")).alias("_have"))
+    flagged = turned.join(cuts, ["metric_id", *part]).select(*part, subject, "metric_id", (F.col("_t") >= F.col("cut")).cast("int").alias("_p"))
     combos = groups.select(*part, "metrics").distinct().withColumn("_m", F.split("metrics", r"\+"))
-
-    def holding(pattern: str, out: str) -> DataFrame:
-        # Distinct patterns are few (subsets of a driver-held metric list), however many subjects.
-        patterns = sets.groupBy(*part, pattern).agg(F.count("*").alias("_c"))
-        covers = F.size(F.array_intersect("_m", pattern)) == F.size("_m")
-        return combos.join(patterns, part).groupBy(*part, "metrics").agg(F.coalesce(F.sum(F.when(covers, F.col("_c"))), F.lit(0)).alias(out))
-
-    return holding("_pass", "qualifying").join(holding("_have", "population"), [*part, "metrics"])
+    wanted = combos.select(*part, "metrics", F.size("_m").alias("_k"), F.explode("_m").alias("metric_id"))
+    seen = flagged.join(wanted, [*part, "metric_id"]).groupBy(*part, "metrics", "_k", subject).agg(F.count("*").alias("_have"), F.sum("_p").alias("_pass"))
+    counted = seen.groupBy(*part, "metrics").agg(F.count_if(F.col("_pass") == F.col("_k")).alias("qualifying"), F.count_if(F.col("_have") == F.col("_k")).alias("population"))
+    return combos.select(*part, "metrics").join(counted, [*part, "metrics"], "left").fillna(0, ["qualifying", "population"])

@@ -27,10 +27,10 @@ def rolling_mean(rows: DataFrame, subject: str, order: list[str], value: str, lo
 
     The window length differs per subject, so the mean is the difference of two
     cumulative sums joined on the row number.  A subject with a large share of all
-    rows is cut into ordered buckets like any other; nothing is held per subject.
+    rows is cut into ordered buckets, each summed in a task of its own.
     """
     cum = O.running_totals(
-        rows.select(subject, *order, value), [subject], order, {"s": value, "i": "1L"}, few_parts=False, **kw
+        rows.select(subject, *order, value), [subject], order, {"s": value, "i": "1L"}, **kw
     )
     n = F.col("whole_i")
     placed = cum.where(n >= shortest).select(

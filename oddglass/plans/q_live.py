@@ -27,7 +27,9 @@ def place(t) -> str:
 @query("R1_live_ingest", "SELECT event_id, user_id, CAST(ts AS DATE) AS day, round(value, 6) AS value FROM @live")
 def r1(t):
     at = place(t)
-    R.ingest(stream(t), f"{at}/table", f"{at}/ck", ["event_id"], ["ts"], "day").awaitTermination()
+    # a user's day stands for a game; the table comes in one poll
+    polled = stream(t).withColumn("poll", F.lit(1))
+    R.ingest(polled, f"{at}/table", f"{at}/ck", ["user_id", "day"], "poll", ["event_id"], "day", tie=["ts"]).awaitTermination()
     return t.spark.read.parquet(f"{at}/table").select("event_id", "user_id", "day", X.r6("value").alias("value"))
 
 
@@ -37,7 +39,7 @@ def r2(t):
     step = R.until_final(f"{at}/table", f"{at}/finals", "user_id", "ts", (c("event_type") == "signup") & (c("value") > 60), "day", ["event_id"])
     q = stream(t).writeStream.foreachBatch(step).option("checkpointLocation", f"{at}/ck").trigger(availableNow=True).start()
     q.awaitTermination()
-    return t.spark.read.parquet(f"{at}/table").select("event_id", "user_id")
+    return R.finished(t.spark, f"{at}/table", f"{at}/finals", "user_id", "ts").select("event_id", "user_id")
 
 
 LINE_SQL = """(SELECT user_id, count(*) AS pitches, count(*) FILTER (event_type = 'error') AS whiffs, count(*) FILTER (event_type = 'view') AS called, count(*) FILTER (event_type = 'purchase' AND value > 60) AS ks, round((count(*) FILTER (event_type = 'error') + count(*) FILTER (event_type = 'view')) * 100e0 / count(*), 4) AS csw, max(value) AS top_speed FROM @live GROUP BY 1)"""
@@ -50,9 +52,9 @@ def lines(rows, keys):
 
 def streamed_lines(t):
     at = place(t)
-    once = R.deduplicated(stream(t), ["event_id"], "ts", "40 days")
-    R.run_updates(lines(once, ["user_id"]), f"{at}/lines", f"{at}/ck").awaitTermination()
-    return R.newest_changes(t.spark, f"{at}/lines", ["user_id"])
+    once = R.deduplicated(stream(t), ["event_id"], "ts").withColumn("start", F.window("ts", "1 day"))
+    R.run_updates(lines(once, ["start", "user_id"]), f"{at}/lines", f"{at}/ck", ["start", "user_id"]).awaitTermination()
+    return R.whole_line(R.newest_changes(t.spark, f"{at}/lines", ["start", "user_id"]), ["user_id"])
 
 
 @query("R3_live_pitcher_line", f"SELECT * FROM {LINE_SQL}")
@@ -72,10 +74,10 @@ MOMENT_SQL = f"(SELECT *, hr * 50e0 + hits * 12e0 + rbi * 8e0 AS score FROM {HIT
 def streamed_hits(t):
     at = place(t)
     e = c("event_type")
-    agg = stream(t).groupBy("user_id", "day").agg(
+    agg = R.windowed(stream(t), "ts").groupBy("start", "user_id", "day").agg(
         F.count_if((e == "purchase") & (c("value") > 150)).alias("hr"), F.count_if(e == "purchase").alias("hits"), F.count_if(e == "click").alias("rbi"), F.max("value").alias("hardest"))
-    R.run_updates(agg, f"{at}/hits", f"{at}/ck").awaitTermination()
-    return R.newest_changes(t.spark, f"{at}/hits", ["user_id", "day"])
+    R.run_updates(agg, f"{at}/hits", f"{at}/ck", ["user_id", "day"]).awaitTermination()
+    return R.newest_changes(t.spark, f"{at}/hits", ["user_id", "day"]).drop("start")
 
 
 @query("R5_hitter_moment", f"SELECT * FROM {MOMENT_SQL}")
@@ -92,14 +94,14 @@ def r6(t):
 @query("R7_busiest_own_pitcher", "SELECT day, user_id, n FROM (SELECT CAST(ts AS DATE) AS day, user_id, count(*) AS n FROM @live WHERE user_id % 2 = 0 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY day ORDER BY n DESC, user_id) = 1")
 def r7(t):
     at = place(t)
-    own = stream(t).where("user_id % 2 = 0").groupBy("day", "user_id").agg(F.count("*").alias("n"))
-    R.run_updates(own, f"{at}/own", f"{at}/ck").awaitTermination()
+    own = R.windowed(stream(t).where("user_id % 2 = 0"), "ts").groupBy("start", "day", "user_id").agg(F.count("*").alias("n"))
+    R.run_updates(own, f"{at}/own", f"{at}/ck", ["day", "user_id"]).awaitTermination()
     return R.busiest(R.newest_changes(t.spark, f"{at}/own", ["day", "user_id"]), ["day"], "user_id", "n")
 
 
 @query("R8_interval_line", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS pitches, count(*) FILTER (value > 100) AS whiffs FROM @live GROUP BY 1, 2")
 def r8(t):
     at = place(t)
-    agg = R.interval_line(stream(t), "ts", "40 days", "1 day", ["event_type"], c("value") > 100)
-    R.run_updates(agg, f"{at}/iv", f"{at}/ck").awaitTermination()
+    agg = R.interval_line(stream(t), "ts", "1 day", ["event_type"], c("value") > 100)
+    R.run_updates(agg, f"{at}/iv", f"{at}/ck", ["start", "event_type"]).awaitTermination()
     return R.newest_changes(t.spark, f"{at}/iv", ["start", "event_type"]).select(c("start").cast("date").alias("day"), "event_type", "pitches", "whiffs")

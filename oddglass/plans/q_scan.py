@@ -148,7 +148,7 @@ LEG1 = "1e0"
 SURPRISE_SQL = "least(1e0, greatest(0e0, greatest(0e0, -log2(greatest(tail_p, 1e-9)) - log2(greatest(search_space, 1e0))) / 6e0))"
 P1_SQL = f"""WITH best AS MATERIALIZED (SELECT * FROM {BEST_SQL}), scoped AS (SELECT * FROM {SCOPED.replace(BEST_SQL, 'best')}), grp AS MATERIALIZED (SELECT * FROM {conj_sql('best')}),
 found AS (SELECT 'scan' AS kind, metric_id AS what, subject_id::VARCHAR AS who, rarity, tier, anchor_period, CASE WHEN lens = 'rank' AND rank IS NOT NULL THEN rank / pop_n ELSE greatest(1 - pct, 1 / pop_n) END AS tail_p, 9e0 AS search_space, 1 AS members FROM scoped WHERE {HERO}
- UNION ALL SELECT 'board', metric_id, string_agg(subject_id::VARCHAR, ',' ORDER BY rarity DESC, subject_id), NULL, NULL, NULL, NULL, NULL, 1 FROM best GROUP BY metric_id HAVING count(*) >= 3
+ UNION ALL SELECT 'board', metric_id, (list(subject_id ORDER BY rarity DESC, subject_id))[1]::VARCHAR, NULL, NULL, NULL, NULL, NULL, 1 FROM best GROUP BY metric_id HAVING count(*) >= 3
  UNION ALL SELECT 'conjunction', g.metrics, subject_id::VARCHAR, rarity, NULL, NULL, qualifying / population, pow(2e0, log2(factorial(9) / (factorial(CAST(members AS INTEGER)) * factorial(CAST(9 - members AS INTEGER))))), members FROM grp g JOIN ({PEERS_SQL.replace('{groups}', 'grp')}) p ON p.metrics = g.metrics AND p.year = g.year),
 s AS (SELECT *, CASE WHEN tail_p IS NULL THEN 0e0 ELSE {SURPRISE_SQL} END AS sp, CASE WHEN tier = 'franchise_record' THEN 0.95e0 ELSE 0e0 END AS st, CASE WHEN anchor_period IS NULL OR {NOW} - anchor_period >= 5 THEN 1e0 ELSE least(1e0, greatest(0.15e0, ({NOW} - anchor_period) / 5e0)) END AS since FROM found)
 SELECT kind, what, who, round(rarity, 6) AS rarity, tier, anchor_period, tail_p, search_space, members, round((greatest(sp, st) + (1 - greatest(sp, st)) * 0.35e0 * least(sp, st)) * (0.55e0 + 0.45e0 * (1 - 0.22e0 * (members - 1))) * since, 6) AS score FROM s ORDER BY score DESC, kind, what, who LIMIT 12"""

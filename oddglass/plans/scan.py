@@ -11,7 +11,7 @@ from ..functions import scalars as X
 from ..operators import interest as I
 from ..operators import lenses as L
 from ..operators.joins import best_per_key
-from ..operators.scan import collapse_boards, hero_gate
+from ..operators.scan import boards_of, collapse_boards, hero_gate
 from ..operators.scope import conjunction_peers, conjunctions, franchise_scope
 from ..session import settle
 from .specs import MetricSpec, ScanConfig
@@ -87,8 +87,9 @@ def run_scan(inputs: ScanInputs, metrics: tuple[MetricSpec, ...], cfg: ScanConfi
         F.lit("scan").alias("kind"), F.col("metric_id").alias("what"), F.col("subject_id").cast("string").alias("who"), "rarity", "tier", "anchor_period",
         F.when(by_count, F.col("rank") / F.col("pop_n")).otherwise(F.greatest(1.0 - F.col("pct"), 1.0 / F.col("pop_n"))).alias("tail_p"),
         F.lit(9.0).alias("search_space"), F.lit(1).alias("members"))
-    boards = collapse_boards(best, ["metric_id", "year"], "rarity", "subject_id", cfg.collapse_at).select(
-        F.lit("board").alias("kind"), F.col("metric_id").alias("what"), F.col("listed").alias("who"), none("double").alias("rarity"), none("string").alias("tier"),
+    ranked_rows = collapse_boards(best, ["metric_id", "year"], "rarity", "subject_id", cfg.collapse_at)
+    boards = boards_of(ranked_rows, ["metric_id", "year"], "subject_id").select(
+        F.lit("board").alias("kind"), F.col("metric_id").alias("what"), F.col("leader").cast("string").alias("who"), none("double").alias("rarity"), none("string").alias("tier"),
         none("int").alias("anchor_period"), none("double").alias("tail_p"), none("double").alias("search_space"), F.lit(1).alias("members"))
     groups = settle(conjunctions(best, ["year"], "subject_id"))
     peers = conjunction_peers(groups, now, ["year"], "subject_id")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +19,7 @@ def get_session(master: str | None = None, app: str = "oddglass", **conf: str) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
@@ -27,15 +28,30 @@ def get_session(master: str | None = None, app: str = "oddglass", **conf: str) -
     return builder.getOrCreate()
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a local one only where none is named."""
+    """The shared scratch folder named in ``spark.checkpoint.dir``.
+
+    Where none is named, a folder of this run under the warehouse, which all executors share as
+    well; it is removed when the driver ends.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="oddglass-", dir=os.environ.get("TMPDIR", "/tmp"))
+    app = sc.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _SCRATCH[app])
+    return _SCRATCH[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has ended and cannot reach its storage
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -13,6 +13,21 @@ from ..operators.joins import latest_per_key
 LEDGER_SCHEMA = "source string, started_at timestamp, finished_at timestamp, complete boolean, rows long, note string"
 
 
+class folder:
+    """A folder of the storage Spark writes to, wherever that is.  Errors of the storage are raised."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        """Names of what lies in it; none where it does not exist."""
+        return [x.getPath().getName() for x in self._fs.listStatus(self._path)] if self._fs.exists(self._path) else []
+
+    def remove(self) -> None:
+        self._fs.delete(self._path, True)
+
+
 def replace_slice(df: DataFrame, path: str, keys: list[str]) -> None:
     """Overwrite only the partitions present in ``df``; a second run changes nothing."""
     # Rebalanced by slice: few files per slice, and a slice with most of the rows is
@@ -57,6 +72,6 @@ def run_steps(spark: SparkSession, steps: list[tuple[str, Callable[[], int]]]) -
         try:
             count, ok, note = int(step() or 0), True, ""
         except Exception as e:  # recorded in the ledger
-            count, ok, note = 0, False, f"{type(e).__name__}: {e}"[:500]
+            count, ok, note = 0, False, f"{type(e).__name__}: {e}"
         rows.append((name, start, dt.datetime.now(dt.timezone.utc), ok, count, note))
     return ledger_rows(spark, rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from oddglass.sources import feed, writes
@@ -43,7 +44,7 @@ def test_second_poll_corrects_and_keeps_four(spark, place):
         pitches = raw.select("poll", "day", F.from_json("feed", feed.FEED_SCHEMA).alias("f")).select("poll", "day", F.col("f.gamePk").alias("game_pk"), F.explode("f.plays.allPlays").alias("p")).select(
             "poll", "day", "game_pk", F.col("p.atBatIndex").alias("at_bat"), F.explode("p.playEvents").alias("e")).where("e.isPitch").select(
             "poll", "day", "game_pk", "at_bat", F.col("e.pitchNumber").alias("n"), F.col("e.description").alias("what"))
-        R.ingest(pitches, f"{place}/table", f"{place}/ck", ["game_pk", "at_bat", "n"], ["poll"], "day").awaitTermination()
+        R.ingest(pitches, f"{place}/table", f"{place}/ck", ["game_pk"], "poll", ["game_pk", "at_bat", "n"], "day").awaitTermination()
         return {r.n: r.what for r in spark.read.parquet(f"{place}/table").collect()}
 
     assert len(poll("a", game(FIRST, 1))) == 4
@@ -51,6 +52,39 @@ def test_second_poll_corrects_and_keeps_four(spark, place):
     got = poll("b", game(fixed, 2))
     assert len(got) == 4 and got[1] == "foul"
     assert poll("c", game(FIRST[:1], 0))[1] == "foul"  # an older copy does not win
+    assert sorted(poll("d", game(FIRST[1:4], 3))) == [2, 3]  # a withdrawn pitch goes
+
+
+def test_a_failing_read_stops_the_batch(spark, place, monkeypatch):
+    df = spark.createDataFrame([(1, 1, 1, "d1"), (1, 2, 1, "d1")], "game int, n int, poll int, day string")
+    merge = R.merge_polls(f"{place}/t", ["game"], "poll", ["game", "n"], "day")
+    merge(df, 0)
+
+    def broken(*_):
+        raise OSError("storage away")
+    monkeypatch.setattr(R.folder, "names", broken)
+    with pytest.raises(OSError):
+        merge(df.where("n = 1").withColumn("poll", F.lit(2)), 1)
+    assert spark.read.parquet(f"{place}/t").count() == 2
+
+
+def test_batches_in_any_order_and_twice(spark, place):
+    rows = [(1, 1, 1, "pitch", "d1"), (2, 1, 5, "pitch", "d2"), (3, 1, 2, "final", "d1"), (4, 2, 1, "pitch", "d1"), (5, 1, 4, "final", "d1")]
+    df = spark.createDataFrame(rows, "id int, game int, at int, what string, day string")
+    for name, order in (("a", [1, 2, 3, 4, 5]), ("b", [5, 3, 2, 4, 1]), ("c", [2, 2, 4, 3, 3, 1, 5])):
+        step = R.until_final(f"{place}/{name}", f"{place}/{name}f", "game", "at", c("what") == "final", "day", ["id"])
+        for k, i in enumerate(order):
+            step(df.where(c("id") == i), k)
+        assert sorted(r.id for r in R.finished(spark, f"{place}/{name}", f"{place}/{name}f", "game", "at").collect()) == [1, 3, 4]
+
+
+def test_changes_are_compacted(spark, place):
+    keep = R.keep_changes(f"{place}/t", ["k"], every=3)
+    for b in [0, 1, 2, 2, 3, 4, 5, 6]:
+        keep(spark.createDataFrame([(b % 2, b), (9, b)], "k int, v int"), b)
+    left = sorted(n for n in os.listdir(f"{place}/t") if not n.startswith((".", "_")))
+    assert left == ["base=5", "batch=6"]
+    assert {r.k: r.v for r in R.newest_changes(spark, f"{place}/t", ["k"]).collect()} == {0: 6, 1: 5, 9: 6}
 
 
 def test_update_stream_equals_batch(spark, place):
@@ -60,7 +94,7 @@ def test_update_stream_equals_batch(spark, place):
         df.where(c("event_id") % 3 == k).write.mode("append").parquet(f"{place}/in")
     src = R.read_files(spark, f"{place}/in", df.schema, per_trigger=1)
     line = lambda d: R.pitcher_line(d, ["user_id"], c("event_type") == "error", c("event_type") == "view", c("value") > 50, c("value"))
-    R.run_updates(line(src), f"{place}/out", f"{place}/ck").awaitTermination()
+    R.run_updates(line(src), f"{place}/out", f"{place}/ck", ["user_id"]).awaitTermination()
     got = R.newest_changes(spark, f"{place}/out", ["user_id"])
     assert sorted(map(tuple, got.select(*line(df).columns).collect())) == sorted(map(tuple, line(df).collect()))
 
@@ -71,7 +105,7 @@ def test_rows_after_the_final_state_are_dropped(spark, place):
         step = R.until_final(f"{place}/t", f"{place}/f", "game", "at", c("what") == "final", "day", ["id"])
         schema = spark.read.parquet(f"{place}/in").schema
         R.read_files(spark, f"{place}/in", schema).writeStream.foreachBatch(step).option("checkpointLocation", f"{place}/ck").trigger(availableNow=True).start().awaitTermination()
-        return sorted(r.id for r in spark.read.parquet(f"{place}/t").collect())
+        return sorted(r.id for r in R.finished(spark, f"{place}/t", f"{place}/f", "game", "at").collect())
     assert land([(1, 1, 1, "pitch", "d1"), (2, 1, 2, "final", "d1"), (3, 2, 1, "pitch", "d1")]) == [1, 2, 3]
     assert land([(4, 1, 3, "pitch", "d1"), (5, 2, 2, "pitch", "d1")]) == [1, 2, 3, 5]
 
