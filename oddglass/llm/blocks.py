@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import map_texts, narrow, rows, settled
 
 #: Text of one block, in bytes; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Keys that one bucket holds, about.
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 1_000_000
 _U = np.uint64
 
 
@@ -54,6 +54,16 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return settled(narrow(docs, doc_id="long", text="string").mapInArrow(run, "block long, docs long, bytes long, payload binary"))
 
 
+def release() -> None:
+    """Hand freed memory back to the system, so that a worker waiting for its next block holds little."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def unpack(payload: bytes) -> pa.RecordBatch:
     """A block's documents: doc_id, text."""
     return next(iter(pa.ipc.open_stream(payload)))

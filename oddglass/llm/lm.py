@@ -27,7 +27,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucket_count, cuts, make_blocks, pack_keys, pack_numbers, unpack, unpack_keys, unpack_numbers
+from .blocks import bucket_count, cuts, make_blocks, pack_keys, pack_numbers, release, unpack, unpack_keys, unpack_numbers
 from .common import rows, settled
 
 FOLDS = 10
@@ -99,6 +99,8 @@ def _sends(blocks: DataFrame, buckets: int) -> DataFrame:
                 yield rows(bucket=pa.array(range(buckets), pa.int32()), block=pa.array([block] * buckets, pa.int64()), tokens=n, docs=d,
                            wk=pa.array([x[0] for x in words], pa.binary()), wc=pa.array([x[1] for x in words], pa.binary()),
                            pk=pa.array([x[0] for x in pairs], pa.binary()), pc=pa.array([x[1] for x in pairs], pa.binary()))
+                del tokens, packed, words, pairs
+                release()
 
     return blocks.select("block", "payload").mapInArrow(run, "bucket int, block long, tokens long, docs long, wk binary, wc binary, pk binary, pc binary")
 
@@ -118,6 +120,8 @@ def _answers(sent: DataFrame) -> DataFrame:
             ends = np.cumsum([len(k) for k in keys])
             out[kind] = [pack_numbers(total[p]) for p in np.split(place, ends[:-1])]
         n = len(blocks)
+        del keys, counts, known, place, total
+        release()
         return pa.table({
             "block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket] * n, pa.int32()),
             "distinct": pa.array([distinct] + [0] * (n - 1), pa.int64()), "tokens": group.column("tokens"), "docs": group.column("docs"),
@@ -191,6 +195,7 @@ def score(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 yield Counted(batch.column("payload")[i].as_py(), batch.column("answers")[i].as_py(), d)
+                release()
 
     def grid(batches):
         for c in each(batches):
