@@ -54,6 +54,8 @@ def window_hashes(x: np.ndarray, s: int) -> np.ndarray:
 
 def _free(marked: np.ndarray, s: int) -> np.ndarray:
     """Starts of runs of ``s`` words without a mark."""
+    if s > len(marked):
+        return np.zeros(0, np.int64)
     run = np.concatenate([[0], np.cumsum(marked)])
     return np.flatnonzero(run[s:] == run[: len(run) - s])
 
