@@ -14,11 +14,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, narrow, rows, settled
+from .common import narrow, pieces, rows, settled
 
 #: Text of one block, in bytes; a longer document is a block of its own.
 BLOCK_BYTES = 6 << 20
@@ -39,14 +40,10 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_batch(batch)
         count[0] += 1
-        raw = pa.compute.sum(pa.compute.binary_length(batch.column("text"))).as_py() or 0
+        raw = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
         return rows(block=pa.array([(part << 32) | count[0]], pa.int64()), docs=pa.array([batch.num_rows], pa.int64()), bytes=pa.array([raw], pa.int64()), payload=pa.array([sink.getvalue().to_pybytes()], pa.binary()))
 
-    import pyarrow.compute  # noqa: F401
-
     def run(batches):
-        from .common import pieces
-
         for batch in batches:
             for piece in pieces(batch, "text", block_bytes):
                 yield pack(piece)
@@ -54,16 +51,6 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return settled(narrow(docs, doc_id="long", text="string").mapInArrow(run, "block long, docs long, bytes long, payload binary"))
 
 
-def release() -> None:
-    """Hand freed memory back to the system, so that a worker waiting for its next block holds little."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def unpack(payload: bytes) -> pa.RecordBatch:
     """A block's documents: doc_id, text."""
     return next(iter(pa.ipc.open_stream(payload)))

@@ -34,7 +34,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
 LATIN = rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Pieces kept per worker, the longest kept piece, and pair tests kept per worker.
-KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 400_000, 48, 500_000
+KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 200_000, 48, 250_000
 
 
 def byte_letters() -> list[str]:
@@ -44,8 +44,29 @@ def byte_letters() -> list[str]:
     return [chr(b if b in visible else next(spare)) for b in range(256)]
 
 
-class Codec:
-    """One vocabulary: ranks of merges, automaton, pair tests and byte strings."""
+class Decoder:
+    """One vocabulary's byte strings, by id."""
+
+    def __init__(self, source: bytes):
+        spec = json.loads(source)
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        table = {i: bytes(byte_of[c] for c in name) for name, i in spec["model"]["vocab"].items()}
+        table |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+        self.table = [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
+
+    def decode(self, ids: list[int]) -> str:
+        top = len(self.table)
+        try:
+            raw = b"".join(map(self.table.__getitem__, ids)) if min(ids, default=0) >= 0 else None
+        except IndexError:
+            raw = None
+        if raw is None:
+            raw = b"".join(self.table[i] for i in ids if 0 <= i < top)
+        return raw.decode("utf-8", "replace")
+
+
+class Encoder:
+    """One vocabulary's merges: ranks, automaton and pair tests."""
 
     def __init__(self, source: bytes):
         import ahocorasick
@@ -68,10 +89,6 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split, self.latin, self.beyond = regex.compile(SPLIT), re.compile(LATIN), re.compile(r"[^\x00-\u017f]")
-        byte_of = {c: b for b, c in enumerate(letters)}
-        table = {i: bytes(byte_of[c] for c in name) for name, i in vocab.items()}
-        table |= {i: name.encode() for name, i in self.special.items()}
-        self.table = [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
         self.pairs: dict[int, bool] = {}  # left rank, 20 bits of right rank
         self.kept: dict[str | tuple[str], bytes] = {}
 
@@ -149,20 +166,15 @@ class Codec:
             del kept[long]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        top = len(self.table)
-        try:
-            raw = b"".join(map(self.table.__getitem__, ids)) if min(ids, default=0) >= 0 else None
-        except IndexError:
-            raw = None
-        if raw is None:
-            raw = b"".join(self.table[i] for i in ids if 0 <= i < top)
-        return raw.decode("utf-8", "replace")
+
+@functools.lru_cache(maxsize=1)
+def encoder(source: bytes) -> Encoder:
+    return Encoder(source)
 
 
-@functools.lru_cache(maxsize=2)
-def codec(source: bytes) -> Codec:
-    return Codec(source)
+@functools.lru_cache(maxsize=1)
+def decoder(source: bytes) -> Decoder:
+    return Decoder(source)
 
 
 def _source(df: DataFrame, vocabulary: str):
@@ -176,8 +188,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     source = _source(df, vocabulary)
 
     def run(batch: pa.RecordBatch):
-        c = codec(source.value)
-        found = c.encode(texts(batch))
+        found = encoder(source.value).encode(texts(batch))
         return rows(doc_id=batch.column("doc_id"), ids=lists(np.concatenate(found), np.array([len(x) for x in found])))
 
     return map_texts(narrow(df.withColumnsRenamed({id_col: "doc_id", text_col: "text"}), doc_id="long", text="string"), run, "doc_id long, ids array<int>")
@@ -189,12 +200,12 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
 
     def run(batches):
         for whole in batches:
-            c = codec(source.value)
+            d = decoder(source.value)
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 ids = batch.column("ids")
                 flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                yield rows(doc_id=batch.column("doc_id"), ids=ids, decoded=pa.array([c.decode(x.tolist()) for x in np.split(flat, ends[:-1])], pa.string()))
+                yield rows(doc_id=batch.column("doc_id"), ids=ids, decoded=pa.array([d.decode(x.tolist()) for x in np.split(flat, ends[:-1])], pa.string()))
 
     return narrow(df.withColumnsRenamed({id_col: "doc_id", ids_col: "ids"}), doc_id="long", ids="array<int>").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -65,11 +66,21 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
             for piece in pieces(batch, column):
                 out = fn(piece)
                 yield from [out] if isinstance(out, pa.RecordBatch) else out
+                del out
+        release()
 
     reachable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Hand freed memory back to the system, so that a worker waiting for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def rows(**columns) -> pa.RecordBatch:
     """A record batch of named Arrow arrays, numpy arrays or lists."""
     made = {k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in columns.items()}

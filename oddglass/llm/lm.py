@@ -27,8 +27,8 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucket_count, cuts, make_blocks, pack_keys, pack_numbers, release, unpack, unpack_keys, unpack_numbers
-from .common import rows, settled
+from .blocks import bucket_count, cuts, make_blocks, pack_keys, pack_numbers, unpack, unpack_keys, unpack_numbers
+from .common import release, rows, settled
 
 FOLDS = 10
 LEVELS = 48
@@ -42,7 +42,7 @@ END, START = _U(0xE4D), _U(0x57A87)
 
 class _Hashes(dict):
     def __missing__(self, word):
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word, seed=7)
         return value

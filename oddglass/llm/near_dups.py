@@ -47,7 +47,7 @@ BLOCK = 256
 COLUMNS = 8192
 #: Candidate ids up to this number (some 100 MB in Spark's hash table) are broadcast.
 BROADCAST_IDS = 3_000_000
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 _U = np.uint64
 
 
