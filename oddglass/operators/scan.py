@@ -18,9 +18,10 @@ def collapse_boards(hits: DataFrame, keys: list[str], score: str, subject: str,
     return placed.drop("_o").where(F.col("hits") >= at_least)
 
 
-def boards_of(rows: DataFrame, keys: list[str], subject: str) -> DataFrame:
-    """One row per board: how many subjects it ranks and who leads it."""
-    return rows.groupBy(*keys).agg(F.max("hits").alias("hits"), F.min_by(subject, "place").alias("leader"))
+def boards_of(rows: DataFrame, keys: list[str], leader: list[str]) -> DataFrame:
+    """One row per board: how many subjects it ranks, and its leader's columns."""
+    top = rows.groupBy(*keys).agg(F.max("hits").alias("hits"), F.min_by(F.struct(*leader), "place").alias("_top"))
+    return top.select(*keys, "hits", "_top.*")
 
 
 def hero_gate(hits: DataFrame, marquee: DataFrame, subject: str, floor: float = 0.95) -> DataFrame:

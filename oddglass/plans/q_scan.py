@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -61,13 +63,19 @@ def p3(t):
     return L.extremeness(rows, ["metric_id", "side"]).join(focal(t), "subject_id", "left_semi").select("metric_id", "side", "subject_id", X.r6("rarity").alias("rarity"))
 
 
-@query("P4_scan_contrasts", f"SELECT metric_id, pair, subject_id, round(rarity, 6) AS rarity FROM {CONTRAST_LENS_SQL} WHERE rarity >= 0.85e0 AND subject_id IN {FOCAL}")
+P4_SQL = f"SELECT metric_id, pair, subject_id, round(rarity, 6) AS rarity FROM {CONTRAST_LENS_SQL} WHERE rarity >= 0.85e0 AND subject_id IN {FOCAL}"
+
+
+@query("P4_scan_contrasts", P4_SQL)
 def p4(t):
     return C.split_contrast_lens(contrasts(t), ["metric_id", "pair"]).join(focal(t), "subject_id", "left_semi").select("metric_id", "pair", "subject_id", X.r6("rarity").alias("rarity"))
 
 
-@query("P5_scan_career", f"""SELECT subject_id, round(net, 6) AS net, round(z, 6) AS z, round(rarity, 6) AS rarity FROM (SELECT subject_id, net, net / sd AS z, n, least(0.95e0, (rank() OVER (ORDER BY round_even(abs(net), 9)) - 1) / count(*) OVER ()) AS rarity
- FROM (SELECT subject_id, move - avg(move) OVER () AS net, stddev_pop(move) OVER () AS sd, count(*) OVER () AS n FROM (SELECT subject_id, max(ba) FILTER (year = 2001) - avg(ba) FILTER (year < 2001) AS move FROM @stats GROUP BY 1 HAVING count(*) FILTER (year < 2001) >= 3 AND max(ba) FILTER (year = 2001) IS NOT NULL))) WHERE n >= 30 AND abs(z) >= 1.0e0 AND subject_id IN {FOCAL}""")
+P5_SQL = f"""SELECT subject_id, round(net, 6) AS net, round(z, 6) AS z, round(rarity, 6) AS rarity FROM (SELECT subject_id, net, net / sd AS z, n, least(0.95e0, (rank() OVER (ORDER BY round_even(abs(net), 9)) - 1) / count(*) OVER ()) AS rarity
+ FROM (SELECT subject_id, move - avg(move) OVER () AS net, stddev_pop(move) OVER () AS sd, count(*) OVER () AS n FROM (SELECT subject_id, max(ba) FILTER (year = 2001) - avg(ba) FILTER (year < 2001) AS move FROM @stats GROUP BY 1 HAVING count(*) FILTER (year < 2001) >= 3 AND max(ba) FILTER (year = 2001) IS NOT NULL))) WHERE n >= 30 AND abs(z) >= 1.0e0 AND subject_id IN {FOCAL}"""
+
+
+@query("P5_scan_career", P5_SQL)
 def p5(t):
     moves = career_moves(t)
     shifts = L.career_shift(moves, gate=1.0)
@@ -146,19 +154,48 @@ def p10(t):
 
 LEG1 = "1e0"
 SURPRISE_SQL = "least(1e0, greatest(0e0, greatest(0e0, -log2(greatest(tail_p, 1e-9)) - log2(greatest(search_space, 1e0))) / 6e0))"
-P1_SQL = f"""WITH best AS MATERIALIZED (SELECT * FROM {BEST_SQL}), scoped AS (SELECT * FROM {SCOPED.replace(BEST_SQL, 'best')}), grp AS MATERIALIZED (SELECT * FROM {conj_sql('best')}),
-found AS (SELECT 'scan' AS kind, metric_id AS what, subject_id::VARCHAR AS who, rarity, tier, anchor_period, CASE WHEN lens = 'rank' AND rank IS NOT NULL THEN rank / pop_n ELSE greatest(1 - pct, 1 / pop_n) END AS tail_p, 9e0 AS search_space, 1 AS members FROM scoped WHERE {HERO}
- UNION ALL SELECT 'board', metric_id, (list(subject_id ORDER BY rarity DESC, subject_id))[1]::VARCHAR, NULL, NULL, NULL, NULL, NULL, 1 FROM best GROUP BY metric_id HAVING count(*) >= 3
- UNION ALL SELECT 'conjunction', g.metrics, subject_id::VARCHAR, rarity, NULL, NULL, qualifying / population, pow(2e0, log2(factorial(9) / (factorial(CAST(members AS INTEGER)) * factorial(CAST(9 - members AS INTEGER))))), members FROM grp g JOIN ({PEERS_SQL.replace('{groups}', 'grp')}) p ON p.metrics = g.metrics AND p.year = g.year),
-s AS (SELECT *, CASE WHEN tail_p IS NULL THEN 0e0 ELSE {SURPRISE_SQL} END AS sp, CASE WHEN tier = 'franchise_record' THEN 0.95e0 ELSE 0e0 END AS st, CASE WHEN anchor_period IS NULL OR {NOW} - anchor_period >= 5 THEN 1e0 ELSE least(1e0, greatest(0.15e0, ({NOW} - anchor_period) / 5e0)) END AS since FROM found)
-SELECT kind, what, who, round(rarity, 6) AS rarity, tier, anchor_period, tail_p, search_space, members, round((greatest(sp, st) + (1 - greatest(sp, st)) * 0.35e0 * least(sp, st)) * (0.55e0 + 0.45e0 * (1 - 0.22e0 * (members - 1))) * since, 6) AS score FROM s ORDER BY score DESC, kind, what, who LIMIT 12"""
-P1_CLEAN = "SELECT kind, what, who, rarity, tier, anchor_period, round(tail_p, 6) AS tail_p, CAST(members AS INTEGER) AS members, score FROM (" + P1_SQL + ")"
+TESTED_SQL = f"""(SELECT *, p <= bh_rank / bh_m * 0.05e0 OR NOT (1 / pop <= 0.05e0 / bh_m) AS survives FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, metric_id, subject_id, year, lens) AS bh_rank, count(*) OVER (PARTITION BY family) AS bh_m, max(pop_n) OVER (PARTITION BY family) AS pop
+ FROM (SELECT *, {FAMILY_OF} AS family, round_even(1 - rarity, 9) AS p FROM {FLOORED})))"""
+
+
+def p1_sql(keep: str) -> str:
+    tail = "CASE WHEN lens = 'rank' AND rank IS NOT NULL THEN rank / pop_n ELSE greatest(1 - pct, 1 / pop_n) END"
+    return f"""WITH best AS MATERIALIZED (SELECT * FROM {TESTED_SQL} WHERE {keep} QUALIFY row_number() OVER (PARTITION BY subject_id, metric_id ORDER BY rarity DESC, lens) = 1),
+scoped AS MATERIALIZED (SELECT *, {tail} AS tail_p FROM {SCOPED.replace(BEST_SQL, 'best')}),
+grp AS MATERIALIZED (SELECT * FROM {conj_sql('scoped')} WHERE rarity >= 0.85e0),
+rest AS MATERIALIZED (SELECT * FROM scoped ANTI JOIN (SELECT subject_id, unnest(string_split(metrics, '+')) AS metric_id FROM grp) USING (subject_id, metric_id)),
+boards AS MATERIALIZED (SELECT * FROM rest QUALIFY count(*) OVER (PARTITION BY metric_id) >= 3 AND row_number() OVER (PARTITION BY metric_id ORDER BY rarity DESC, subject_id) = 1),
+found AS (SELECT 'scan' AS kind, metric_id AS what, subject_id::VARCHAR AS who, rarity, tier, anchor_period, tail_p, 9e0 AS search_space, 1 AS members, survives FROM rest WHERE {HERO} AND metric_id NOT IN (SELECT metric_id FROM boards)
+ UNION ALL SELECT 'board', metric_id, subject_id::VARCHAR, rarity, tier, anchor_period, tail_p, 9e0, 1, survives FROM boards
+ UNION ALL SELECT 'conjunction', g.metrics, subject_id::VARCHAR, rarity, NULL, NULL, qualifying / population, pow(2e0, log2(factorial(9) / (factorial(CAST(members AS INTEGER)) * factorial(CAST(9 - members AS INTEGER))))), members, NULL FROM grp g JOIN ({PEERS_SQL.replace('{groups}', 'grp')}) p ON p.metrics = g.metrics AND p.year = g.year
+ UNION ALL SELECT 'contrast', metric_id || '|' || pair, subject_id::VARCHAR, rarity, NULL, NULL, 1 - rarity, 9e0, 1, NULL FROM ({P4_SQL})
+ UNION ALL SELECT 'shift', 'ba', subject_id::VARCHAR, rarity, NULL, NULL, 1 - rarity, 9e0, 1, NULL FROM ({P5_SQL})),
+s AS (SELECT *, CASE WHEN tail_p IS NULL THEN 0e0 ELSE {SURPRISE_SQL} END AS sp, CASE WHEN tier = 'franchise_record' THEN 0.95e0 ELSE 0e0 END AS st, CASE WHEN anchor_period IS NULL OR {NOW} - anchor_period >= 5 THEN 1e0 ELSE least(1e0, greatest(0.15e0, ({NOW} - anchor_period) / 5e0)) END AS since FROM found),
+top AS (SELECT kind, what, who, round(rarity, 6) AS rarity, tier, anchor_period, tail_p, members, survives, round((greatest(sp, st) + (1 - greatest(sp, st)) * 0.35e0 * least(sp, st)) * (0.55e0 + 0.45e0 * (1 - 0.22e0 * (members - 1))) * since, 6) AS score FROM s ORDER BY score DESC, kind, what, who LIMIT 40)
+SELECT kind, what, who, rarity, tier, anchor_period, round(tail_p, 6) AS tail_p, CAST(members AS INTEGER) AS members, survives, score FROM top"""
+
+
+P1_CLEAN = p1_sql("true")
+P1_LONG = replace(load_registry().scan, top_k=40)  # long enough for findings of every shape
+
+
+def scan_findings(t, cfg):
+    contrast = p4(t).select(F.lit("contrast").alias("kind"), F.concat_ws("|", "metric_id", "pair").alias("what"), c("subject_id").cast("string").alias("who"), "rarity")
+    shift = p5(t).select(F.lit("shift").alias("kind"), F.lit("ba").alias("what"), c("subject_id").cast("string").alias("who"), "rarity")
+    given = replace(inputs(t), others=contrast.unionAll(shift))
+    got = scan.run_scan(given, load_registry().metrics, cfg)
+    return got.select("kind", "what", "who", "rarity", "tier", "anchor_period", X.r6("tail_p").alias("tail_p"), "members", "survives", "score")
 
 
 @query("P1_scan", P1_CLEAN)
 def p1(t):
-    got = scan.run_scan(inputs(t), load_registry().metrics, load_registry().scan)
-    return got.select("kind", "what", "who", "rarity", "tier", "anchor_period", X.r6("tail_p").alias("tail_p"), "members", "score")
+    return scan_findings(t, P1_LONG)
+
+
+@query("P1b_scan_strict", p1_sql("survives"))
+def p1b(t):
+    """Hits that fail the false-discovery control are gone."""
+    return scan_findings(t, replace(P1_LONG, fdr_mode="strict"))
 
 
 @query("P11_emit", f"SELECT metric_id, subject_id, lens, round(rarity, 6) AS rarity FROM {BEST_SQL} WHERE rarity >= 0.25e0 AND subject_id % 2 = 1")

@@ -59,6 +59,7 @@ class ScanInputs:
     marquee: DataFrame   # subject_id
     team: DataFrame      # subject_id, team
     period: int
+    others: DataFrame | None = None  # kind, what, who, rarity: findings of other shapes
 
 
 def strengthen(hits: DataFrame, inputs: ScanInputs) -> DataFrame:
@@ -74,30 +75,38 @@ def strengthen(hits: DataFrame, inputs: ScanInputs) -> DataFrame:
 
 
 def run_scan(inputs: ScanInputs, metrics: tuple[MetricSpec, ...], cfg: ScanConfig = ScanConfig()) -> DataFrame:
-    """Ranked findings: heroes, boards and conjunctions, best first."""
+    """Ranked findings: conjunctions, boards, heroes and the given others, best first.
+
+    Conjunctions come first and spend their members; a metric with several hits left becomes one
+    board and shows no single finding.  ``survives`` is the false-discovery mark of a finding's
+    hit (of a board's leader); in strict mode hits without it are gone before anything is built.
+    """
     now = settle(inputs.rows.where(F.col("year") == inputs.period))  # one population, five readers
     hits = apply_lenses(now, metrics, inputs.focal, cfg.population_floor).where(F.col("rarity") >= cfg.rarity_floor)
-    tested = survivors(hits, cfg)
-    best = settle(best_per_key(tested, ["subject_id", "metric_id", "year"], F.col("rarity"), [F.col("lens")]))
-    scoped = strengthen(best.select(*HIT_COLUMNS), inputs)
-    none = lambda t: F.lit(None).cast(t)
-    hero = hero_gate(scoped, inputs.marquee, "subject_id", cfg.hero_floor)
+    best = best_per_key(survivors(hits, cfg), ["subject_id", "metric_id", "year"], F.col("rarity"), [F.col("lens")]).select(*HIT_COLUMNS, "survives")
     by_count = F.col("rank").isNotNull() & (F.col("lens") == "rank")
-    hero = hero.select(
-        F.lit("scan").alias("kind"), F.col("metric_id").alias("what"), F.col("subject_id").cast("string").alias("who"), "rarity", "tier", "anchor_period",
-        F.when(by_count, F.col("rank") / F.col("pop_n")).otherwise(F.greatest(1.0 - F.col("pct"), 1.0 / F.col("pop_n"))).alias("tail_p"),
-        F.lit(9.0).alias("search_space"), F.lit(1).alias("members"))
-    ranked_rows = collapse_boards(best, ["metric_id", "year"], "rarity", "subject_id", cfg.collapse_at)
-    boards = boards_of(ranked_rows, ["metric_id", "year"], "subject_id").select(
-        F.lit("board").alias("kind"), F.col("metric_id").alias("what"), F.col("leader").cast("string").alias("who"), none("double").alias("rarity"), none("string").alias("tier"),
-        none("int").alias("anchor_period"), none("double").alias("tail_p"), none("double").alias("search_space"), F.lit(1).alias("members"))
-    groups = settle(conjunctions(best, ["year"], "subject_id"))
+    scoped = settle(strengthen(best, inputs).withColumn(
+        "tail_p", F.when(by_count, F.col("rank") / F.col("pop_n")).otherwise(F.greatest(1.0 - F.col("pct"), 1.0 / F.col("pop_n")))))
+    none = lambda t: F.lit(None).cast(t)
+    groups = settle(conjunctions(scoped, ["year"], "subject_id").where(F.col("rarity") >= cfg.rarity_floor))
+    spent = groups.select("subject_id", "year", F.explode(F.split("metrics", r"\+")).alias("metric_id"))
+    left = settle(scoped.join(spent, ["subject_id", "year", "metric_id"], "left_anti"))
+    boards = boards_of(collapse_boards(left, ["metric_id", "year"], "rarity", "subject_id", cfg.collapse_at), ["metric_id", "year"], ["subject_id", "rarity", "tier", "anchor_period", "tail_p", "survives"])
+    finding = ["rarity", "tier", "anchor_period", "tail_p", F.lit(9.0).alias("search_space"), F.lit(1).alias("members"), "survives"]
+    who = F.col("subject_id").cast("string").alias("who")
+    shown = boards.select(F.lit("board").alias("kind"), F.col("metric_id").alias("what"), who, *finding)
+    alone = hero_gate(left.join(boards.select("metric_id", "year"), ["metric_id", "year"], "left_anti"), inputs.marquee, "subject_id", cfg.hero_floor)
+    hero = alone.select(F.lit("scan").alias("kind"), F.col("metric_id").alias("what"), who, *finding)
     peers = conjunction_peers(groups, now, ["year"], "subject_id")
     conj = groups.join(peers, ["year", "metrics"]).select(
-        F.lit("conjunction").alias("kind"), F.col("metrics").alias("what"), F.col("subject_id").cast("string").alias("who"), "rarity", none("string").alias("tier"),
+        F.lit("conjunction").alias("kind"), F.col("metrics").alias("what"), who, "rarity", none("string").alias("tier"),
         none("int").alias("anchor_period"), (F.col("qualifying") / F.col("population")).alias("tail_p"),
-        F.pow(F.lit(2.0), X.choose_bits(9, F.col("members"))).alias("search_space"), F.col("members").cast("int").alias("members"))
-    found = hero.unionByName(boards).unionByName(conj)
+        F.pow(F.lit(2.0), X.choose_bits(9, F.col("members"))).alias("search_space"), F.col("members").cast("int").alias("members"), none("boolean").alias("survives"))
+    found = hero.unionByName(shown).unionByName(conj)
+    if inputs.others is not None:  # contrasts and career shifts: built by their own operators, ranked with the rest
+        found = found.unionByName(inputs.others.select(
+            "kind", "what", "who", "rarity", none("string").alias("tier"), none("int").alias("anchor_period"), (1.0 - F.col("rarity")).alias("tail_p"),
+            F.lit(9.0).alias("search_space"), F.lit(1).alias("members"), none("boolean").alias("survives")))
     raw, search = I.evidence_bits(F.col("tail_p"), F.col("search_space"))
     no = F.lit(None).cast("double")
     score = I.interest(
