@@ -61,6 +61,38 @@ def problem(h: Hypothesis, df: DataFrame, day: str | None) -> str | None:
     return None
 
 
+def check_proposals(proposals: DataFrame, schema: DataFrame, *, windowed: bool = True) -> DataFrame:
+    """Each proposal ``column, how, lens, window_days`` with its ``outcome``, in bulk.
+
+    ``schema`` holds the allowed ``column, type``; a name that is no plain identifier is refused
+    before it is looked up.
+    """
+    known = proposals.join(schema.withColumnRenamed("type", "_type"), "column", "left")
+    name = F.coalesce(F.col("column").rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.lit(False))
+    fits = name & F.coalesce(F.col("_type").isin(*NUMERIC), F.lit(False)) & F.coalesce(F.col("lens").isin(*LENSES) & F.col("how").isin("avg", "sum"), F.lit(False))
+    window = F.col("window_days")
+    outcome = (
+        F.when(~fits | (window.isNotNull() & ~window.between(1, MAX_WINDOW_DAYS)), "invalid")
+        .when(window.isNotNull() & F.lit(not windowed), "unsupported_window").otherwise("runnable"))
+    return known.withColumn("outcome", outcome).drop("_type")
+
+
+def schema_of(df: DataFrame) -> DataFrame:
+    """The table's own columns and types: a handful of rows."""
+    return df.sparkSession.createDataFrame(df.dtypes, "column string, type string")
+
+
+def record_outcomes(ledger: DataFrame, path: str, run: str) -> None:
+    """Write one run's outcomes beside those of earlier runs; a repeated run replaces itself."""
+    ledger.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def outcome_summary(ledger: DataFrame) -> DataFrame:
+    """Per spec: its runs, how many emitted, and the last outcome."""
+    return ledger.groupBy("metric_id").agg(
+        F.count("*").alias("runs"), F.count_if(F.col("outcome") == "emitted").alias("emitted"), F.max_by("outcome", "run").alias("last_outcome"))
+
+
 def catalog(tables: dict[str, DataFrame], days: dict[str, str]) -> DataFrame:
     """Numeric columns of each table with its newest day: what may be proposed."""
     out = None
@@ -104,7 +136,9 @@ def run_specs(df: DataFrame, specs: list[Hypothesis], subject: str, day: str | N
         return ledger.select("metric_id", F.col("refused").alias("outcome"), F.lit(None).cast("bigint").alias("subject_id"), F.lit(None).cast("double").alias("rarity"))
     rows = population_rows(df, good, subject, day, as_of, floor)
     sizes = rows.groupBy("metric_id").agg(F.count("*").alias("pop"))
-    hits = L.extremeness(rows, ["metric_id"])
+    of = lambda lens: rows.where(F.col("metric_id").isin([h.spec_id for h in good if h.lens == lens]))
+    hits = L.extremeness(of("extremeness"), ["metric_id"]).select("metric_id", "subject_id", "rarity").unionAll(
+        L.rank(of("rank"), ["metric_id"]).select("metric_id", "subject_id", "rarity"))
     from .joins import attach_row, best_per_key
     best = best_per_key(hits.select("metric_id", "subject_id", "rarity"), ["metric_id"], F.col("rarity"), [F.col("subject_id")])
     stale = df.agg((F.datediff(as_of, F.max(day).cast("date")) > max_stale_days).alias("stale"))

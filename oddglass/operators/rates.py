@@ -185,7 +185,7 @@ def mix_share(rows: DataFrame, keys: list[str], kind: str, floor: float = 0.02)
 
 
 def windowed_agg(rows: DataFrame, keys: list[str], day: str, value: str, as_of: Column, days: int, floor: int, how: str = "avg") -> DataFrame:
-    """AVG or SUM over the last ``days`` days ending at ``as_of``, floored on the row count."""
-    recent = rows.where((F.col(day) > F.date_sub(as_of, days)) & (F.col(day) <= as_of))
+    """AVG or SUM from ``days`` days before ``as_of`` to ``as_of``, both included, floored on the row count."""
+    recent = rows.where((F.col(day) >= F.date_sub(as_of, days)) & (F.col(day) <= as_of))
     agg = F.sum(value) / F.count(value) if how == "avg" else F.sum(value)
     return recent.groupBy(*keys).agg(agg.alias("value"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= floor)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -10,6 +12,7 @@ from ..operators import hypothesis as H
 from ..operators import learn as E
 from ..operators import predict as Q
 from ..operators.joins import attach_row
+from ..session import shared_dir
 from ..sources import writes as S
 from .q_scan import SCORE_SQL, scored
 from .registry import query
@@ -180,6 +183,7 @@ PROPOSED = [
     H.Hypothesis("nothing", window_days=7),
     H.Hypothesis("value", window_days=400),
     H.Hypothesis("event_type"),
+    H.Hypothesis("value", window_days=21, lens="rank"),
 ]
 
 
@@ -187,12 +191,13 @@ def event_rows(t):
     return t.live.select("user_id", "value", "event_type", c("ts").cast("date").alias("day"))
 
 
-@query("H1_enqueue_dedup", "SELECT event_type, count(DISTINCT user_id % 50) AS queued FROM @live GROUP BY 1")
+@query("H1_enqueue_dedup", """SELECT event_type, count(*) AS queued FROM (SELECT DISTINCT event_type, user_id FROM @live) n ANTI JOIN (SELECT DISTINCT event_type, user_id FROM @live WHERE ts < TIMESTAMP '2024-01-10') p USING (event_type, user_id) GROUP BY 1""")
 def h1(t):
-    """Proposals (one per event) reduced to structures not pending; bulk form of the queue."""
-    specs = t.live.select("event_type", (c("user_id") % 50).alias("bucket"), "event_id")
-    ident = X.stable_id([c("event_type"), c("bucket")], 12)
-    queued = S.insert_if_absent(specs.where("1 = 0").select(ident.alias("spec_id")), specs.select(ident.alias("spec_id"), "event_type", "event_id"), ["spec_id"])
+    """Proposals (one per event) reduced to structures not pending; the pending ones are read from the written queue."""
+    specs = t.live.select(X.stable_id([c("event_type"), c("user_id")], 12).alias("spec_id"), "event_type", "event_id", "ts")
+    at = f"{shared_dir(t.spark)}/queue-{uuid.uuid4().hex[:10]}"
+    specs.where("ts < TIMESTAMP '2024-01-10'").select("spec_id").distinct().write.parquet(at)
+    queued = S.insert_if_absent(t.spark.read.parquet(at), specs.select("spec_id", "event_type", "event_id"), ["spec_id"])
     return queued.groupBy("event_type").agg(F.count("*").alias("queued"))
 
 
@@ -206,11 +211,13 @@ def spec_sql(h: H.Hypothesis) -> str:
     agg = "avg" if h.how == "avg" else "sum"
     sign = "" if h.higher_is_better else "-"
     ranked = f"""SELECT subject_id, n, 0.5e0 + ((rank() OVER (ORDER BY {sign}value) - 1) / count(*) OVER () - 0.5e0) * least(1, n / {h.stabilization_n}) AS rarity, count(*) OVER () AS pop FROM (SELECT user_id AS subject_id, {agg}(value) AS value, count(*) AS n FROM (SELECT user_id, value, CAST(ts AS DATE) AS d FROM @live) WHERE {use} GROUP BY 1 HAVING count(*) >= 8)"""
-    best = f"SELECT subject_id, round(rarity, 6) AS rarity FROM ({ranked}) WHERE pop >= 10 AND n >= greatest(10, {h.stabilization_n // 5}) AND rarity >= 0.8e0 ORDER BY rarity DESC, subject_id LIMIT 1"
+    if h.lens == "rank":
+        ranked = f"SELECT subject_id, n, 1 - (k - 1) / least(15, greatest(1, floor(pop / 4))) AS rarity, pop FROM (SELECT *, row_number() OVER (ORDER BY {sign or '-'}value, subject_id) AS k, count(*) OVER () AS pop FROM (SELECT user_id AS subject_id, {agg}(value) AS value, count(*) AS n FROM (SELECT user_id, value, CAST(ts AS DATE) AS d FROM @live) WHERE {use} GROUP BY 1 HAVING count(*) >= 8))"
+    best = f"SELECT subject_id, round(rarity, 6) AS rarity FROM ({ranked}) ORDER BY rarity DESC, subject_id LIMIT 1" if h.lens == "rank" else f"SELECT subject_id, round(rarity, 6) AS rarity FROM ({ranked}) WHERE pop >= 10 AND n >= greatest(10, {h.stabilization_n // 5}) AND rarity >= 0.8e0 ORDER BY rarity DESC, subject_id LIMIT 1"
     return f"SELECT '{h.spec_id}' AS metric_id, CASE WHEN (SELECT count(*) FROM ({ranked})) < 30 THEN 'no_data' WHEN coalesce(rarity, 0) < 0.85e0 THEN 'below_gate' ELSE 'emitted' END AS outcome, subject_id, rarity FROM (SELECT 1 AS one) LEFT JOIN ({best}) ON true"
 
 
-RUNNABLE = [PROPOSED[0], PROPOSED[2], PROPOSED[3]]
+RUNNABLE = [PROPOSED[0], PROPOSED[2], PROPOSED[3], PROPOSED[7]]
 REFUSED = [PROPOSED[4], PROPOSED[5], PROPOSED[6]]
 
 
@@ -239,7 +246,7 @@ def h3(t):
         name[c("metric_id")].alias("spec"), "subject_id", X.rnd(c("value") / 100, 4).alias("value"), "n")
 
 
-@query("H4_stale_vs_empty", f"SELECT 'fresh' AS day, outcome, count(*) AS n FROM ({ledger_sql()}) GROUP BY 1, 2 UNION ALL SELECT 'late', outcome, count(*) FROM (SELECT CASE WHEN metric_id IN ('{RUNNABLE[0].spec_id}', '{RUNNABLE[2].spec_id}') THEN 'coverage_blocked' ELSE outcome END AS outcome FROM ({ledger_sql()})) GROUP BY 1, 2")
+@query("H4_stale_vs_empty", f"SELECT 'fresh' AS day, outcome, count(*) AS n FROM ({ledger_sql()}) GROUP BY 1, 2 UNION ALL SELECT 'late', outcome, count(*) FROM (SELECT CASE WHEN metric_id IN ('{RUNNABLE[0].spec_id}', '{RUNNABLE[2].spec_id}', '{RUNNABLE[3].spec_id}') THEN 'coverage_blocked' ELSE outcome END AS outcome FROM ({ledger_sql()})) GROUP BY 1, 2")
 def h4(t):
     """The same specs on a day long after the newest row: stale, not merely quiet."""
     fresh = H.run_specs(event_rows(t), H.enqueue([], PROPOSED), "user_id", "day", as_of(t)).withColumn("day", F.lit("fresh"))
@@ -247,10 +254,18 @@ def h4(t):
     return fresh.unionByName(late).groupBy("day", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("H5_outcome_ledger", "SELECT event_type AS source, count(*) AS runs, count(*) FILTER (value > 50) AS emitted, max(ts) AS last_run FROM @live GROUP BY 1")
+LATE_SQL = f"SELECT metric_id, CASE WHEN metric_id IN ('{RUNNABLE[0].spec_id}', '{RUNNABLE[2].spec_id}', '{RUNNABLE[3].spec_id}') THEN 'coverage_blocked' ELSE outcome END AS outcome FROM ({ledger_sql()})"
+
+
+@query("H5_outcome_ledger", f"SELECT metric_id, count(*) AS runs, count(*) FILTER (outcome = 'emitted') AS emitted, arg_max(outcome, run) AS last_outcome FROM (SELECT metric_id, outcome, 1 AS run FROM ({ledger_sql()}) UNION ALL SELECT metric_id, outcome, 2 FROM ({LATE_SQL})) GROUP BY 1")
 def h5(t):
-    led = t.live.select(c("event_type").alias("source"), F.when(c("value") > 50, "emitted").otherwise("below_gate").alias("outcome"), "ts")
-    return led.groupBy("source").agg(F.count("*").alias("runs"), F.count_if(c("outcome") == "emitted").alias("emitted"), F.max("ts").alias("last_run"))
+    """Two runs appended to the written ledger (one of them twice), then read back."""
+    at = f"{shared_dir(t.spark)}/outcomes-{uuid.uuid4().hex[:10]}"
+    run = lambda day: H.run_specs(event_rows(t), H.enqueue([], PROPOSED), "user_id", "day", day)
+    late = F.lit("2024-03-30").cast("date")
+    for name, day in (("1", as_of(t)), ("2", late), ("2", late)):
+        H.record_outcomes(run(day), at, name)
+    return H.outcome_summary(t.spark.read.parquet(at))
 
 
 CAT = {"orders": (("o_orderkey", "o_custkey", "o_totalprice"), "o_orderdate"), "lineitem": (("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"), "l_shipdate"), "part": (("p_partkey", "p_size", "p_retailprice"), None)}
@@ -261,9 +276,16 @@ def h6(t):
     return H.catalog({"orders": t.orders, "lineitem": t.lineitem, "part": t.part}, {"orders": "o_orderdate", "lineitem": "l_shipdate"})
 
 
-@query("H7_column_allowlist", "SELECT outcome, count(*) AS specs, (SELECT count(*) FROM @live) AS n_rows FROM (VALUES ('runnable'), ('runnable'), ('runnable'), ('invalid'), ('invalid'), ('invalid')) v(outcome) GROUP BY 1")
+PROPOSAL_SQL = """(SELECT CASE user_id % 7 WHEN 0 THEN 'value' WHEN 1 THEN 'user_id' WHEN 2 THEN 'event_type' WHEN 3 THEN 'nothing' WHEN 4 THEN 'value; DROP' WHEN 5 THEN 'day' ELSE 'value' END AS col,
+ CASE event_type WHEN 'click' THEN 'sum' WHEN 'error' THEN 'median' ELSE 'avg' END AS how, CASE WHEN event_type = 'view' THEN 'rank' ELSE 'extremeness' END AS lens, CASE WHEN event_id % 3 > 0 THEN event_id % 150 END AS w FROM @live)"""
+
+
+@query("H7_column_allowlist", f"SELECT col AS column, outcome, count(*) AS specs FROM (SELECT *, CASE WHEN col IN ('value', 'user_id') AND how IN ('avg', 'sum') AND (w IS NULL OR w BETWEEN 1 AND 120) THEN 'runnable' ELSE 'invalid' END AS outcome FROM {PROPOSAL_SQL}) GROUP BY 1, 2")
 def h7(t):
-    ev = event_rows(t)
-    said = [(H.problem(h, ev, "day") or "runnable",) for h in H.enqueue([], PROPOSED)]
-    per = t.spark.createDataFrame(said, "outcome string").groupBy("outcome").agg(F.count("*").alias("specs"))
-    return attach_row(per, ev.agg(F.count("*").alias("n_rows")))
+    """One proposal for each event, checked in bulk against the event table's own schema."""
+    k = c("user_id") % 7
+    column = F.when(k == 0, "value").when(k == 1, "user_id").when(k == 2, "event_type").when(k == 3, "nothing").when(k == 4, "value; DROP").when(k == 5, "day").otherwise("value")
+    how = F.when(c("event_type") == "click", "sum").when(c("event_type") == "error", "median").otherwise("avg")
+    asked = t.live.select(column.alias("column"), how.alias("how"), F.when(c("event_type") == "view", "rank").otherwise("extremeness").alias("lens"), F.when(c("event_id") % 3 > 0, c("event_id") % 150).alias("window_days"))
+    said = H.check_proposals(asked, H.schema_of(event_rows(t)))
+    return said.groupBy("column", "outcome").agg(F.count("*").alias("specs"))

@@ -275,7 +275,7 @@ def a24e(t):
 
 
 @query("A25_windowed_agg", """SELECT user_id, round(CAST(sum(c) AS BIGINT) / count(*) / 100, 6) AS value, count(*) AS n FROM (SELECT user_id, CAST(floor(value * 100 + 0.5e0) AS BIGINT) AS c, CAST(ts AS DATE) AS d FROM @live)
- WHERE d > (SELECT CAST(max(ts) AS DATE) - 14 FROM @live) AND d <= (SELECT CAST(max(ts) AS DATE) FROM @live) GROUP BY 1 HAVING count(*) >= 8""")
+ WHERE d >= (SELECT CAST(max(ts) AS DATE) - 14 FROM @live) AND d <= (SELECT CAST(max(ts) AS DATE) FROM @live) GROUP BY 1 HAVING count(*) >= 8""")
 def a25(t):
     ev = t.live.select("user_id", c("ts").cast("date").alias("d"), F.floor(c("value") * 100 + 0.5).alias("v"))
     ev = attach_row(ev, t.live.agg(F.max("ts").cast("date").alias("as_of")))
