@@ -73,10 +73,12 @@ def e4(t):
 
 @query("E5_learn_snapshot", f"SELECT feature, 'run-2' AS run_id, round(multiplier, 6) AS multiplier FROM {STATS_SQL}")
 def e5(t):
+    """Two snapshots written, the newest read back."""
     ts = lambda s: F.lit(s).cast("timestamp")
-    older = E.snapshot(E.feature_stats(observations(t), F.lit("2024-02-01").cast("date")), "run-1", ts("2024-02-01"))
-    runs = older.unionByName(E.snapshot(stats(t), "run-2", ts("2024-03-01")))
-    return E.newest_run(runs).select("feature", "run_id", X.r6("multiplier").alias("multiplier"))
+    at = f"{shared_dir(t.spark)}/learned-{uuid.uuid4().hex[:10]}"
+    S.append_run(E.snapshot(E.feature_stats(observations(t), F.lit("2024-02-01").cast("date")), "run-1", ts("2024-02-01")), at, "1")
+    S.append_run(E.snapshot(stats(t), "run-2", ts("2024-03-01")), at, "2")
+    return E.newest_run(S.read_ledger(t.spark, at)).select("feature", "run_id", X.r6("multiplier").alias("multiplier"))
 
 
 # ---- predictions -----------------------------------------------------------

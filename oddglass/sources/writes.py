@@ -53,6 +53,16 @@ def ledger_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, LEDGER_SCHEMA)
 
 
+def append_run(rows: DataFrame, path: str, run: str) -> None:
+    """Add one run's rows to a written ledger; a repeated run replaces itself, other runs stay."""
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All runs of a written ledger."""
+    return spark.read.parquet(path)
+
+
 def last_complete(ledger: DataFrame) -> DataFrame:
     return ledger.where("complete").groupBy("source").agg(F.max("finished_at").alias("last_complete"))
 
@@ -64,8 +74,11 @@ def freshness_guard(ledger: DataFrame, sources: DataFrame, now: Column, hours: i
     return seen.withColumn("stale", F.coalesce(age > hours, F.lit(True)))
 
 
-def run_steps(spark: SparkSession, steps: list[tuple[str, Callable[[], int]]]) -> DataFrame:
-    """Run named actions in order; a failing one is recorded and the rest go on."""
+def run_steps(spark: SparkSession, steps: list[tuple[str, Callable[[], int]]], ledger: str | None = None, run: str = "1") -> DataFrame:
+    """Run named actions in order; a failing one is recorded and the rest go on.
+
+    With ``ledger`` the outcome rows are appended there and read back.
+    """
     rows = []
     for name, step in steps:
         start = dt.datetime.now(dt.timezone.utc)
@@ -74,4 +87,8 @@ def run_steps(spark: SparkSession, steps: list[tuple[str, Callable[[], int]]]) -
         except Exception as e:  # recorded in the ledger
             count, ok, note = 0, False, f"{type(e).__name__}: {e}"
         rows.append((name, start, dt.datetime.now(dt.timezone.utc), ok, count, note))
-    return ledger_rows(spark, rows)
+    done = ledger_rows(spark, rows)
+    if ledger is None:
+        return done
+    append_run(done, ledger, run)
+    return read_ledger(spark, ledger).where(F.col("run").cast("string") == run).drop("run")
