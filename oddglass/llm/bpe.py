@@ -34,7 +34,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
 LATIN = rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Pieces kept per worker, the longest kept piece, and pair tests kept per worker.
-KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 200_000, 48, 250_000
+KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 150_000, 48, 150_000
 
 
 def byte_letters() -> list[str]:
@@ -210,10 +210,22 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
     return narrow(df.withColumnsRenamed({id_col: "doc_id", ids_col: "ids"}), doc_id="long", ids="array<int>").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text) -> (doc_id, ids, decoded): ``decode`` of ``encode`` in one pass, so that the ids reach one worker only."""
+    source = _source(df, vocabulary)
+
+    def run(batch: pa.RecordBatch):
+        found = encoder(source.value).encode(texts(batch))
+        d = decoder(source.value)
+        decoded = pa.array([d.decode(x.tolist()) for x in found], pa.string())
+        return rows(doc_id=batch.column("doc_id"), ids=lists(np.concatenate(found), np.array([len(x) for x in found])), decoded=decoded)
+
+    return map_texts(narrow(df.withColumnsRenamed({id_col: "doc_id", text_col: "text"}), doc_id="long", text="string"), run, "doc_id long, ids array<int>, decoded string")
+
+
 def digest(df: DataFrame, vocabulary: str) -> DataFrame:
     """Encode, then decode, each text; count and hash what came out."""
-    back = decode(encode(df, vocabulary), vocabulary)
-    return back.select(
+    return round_trip(df, vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

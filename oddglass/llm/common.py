@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Lower-casing of A-Z only, as bytes.lower() and str.translate do it.
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Text taken at once inside a task, in bytes.
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -58,3 +58,9 @@ def test_whole_table(spark):
         want.setdefault(i, []).append((len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert bpe.digest(documents(spark, []), PATH).count() == 0
+
+
+def test_one_pass_equals_two(spark):
+    docs = documents(spark)
+    two = sorted((r.doc_id or 0, r.ids, r.decoded) for r in bpe.decode(bpe.encode(docs, PATH), PATH).collect())
+    assert two == sorted((r.doc_id or 0, r.ids, r.decoded) for r in bpe.round_trip(docs, PATH).collect())
