@@ -206,11 +206,20 @@ def linear_decay(age_days: Column, per_day: float = 0.02, cap: float = 0.80) ->
     return 1.0 - F.least(F.greatest(age_days, F.lit(0)) * per_day, F.lit(cap))
 
 
+# Facts that change from run to run and are no part of an identity.
+VOLATILE = ("as_of", "subtitle")
+
+
 def stable_id(facts: list[Column], length: int = 16) -> Column:
-    """Hash of the named facts as one sorted JSON object."""
+    """Hash of the facts, in the order given, as one JSON object."""
     return F.substring(F.sha2(F.to_json(F.struct(*facts)), 256), 1, length)
 
 
+def finding_id(facts: dict[str, Column], length: int = 16) -> Column:
+    """Identity of a finding: its facts by sorted name, without those that change from run to run."""
+    return stable_id([facts[k].alias(k) for k in sorted(facts) if k not in VOLATILE], length)
+
+
 def claim_key(facts: Column, drop: tuple[str, ...]) -> Column:
     """Identity of a claim: its fact map without the dated entries, in key order."""
     kept = F.map_filter(facts, lambda k, _v: ~k.isin(*drop))

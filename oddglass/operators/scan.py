@@ -44,3 +44,14 @@ def tail_evidence(pct, pop):
 def conjunction_evidence(qualifying, population, members):
     return F.struct(F.lit("conjunction").alias("kind"), qualifying.cast("bigint").alias("qualifying"), population.cast("bigint").alias("population"),
                     X.ratio(qualifying, population).alias("tail_p"), F.pow(F.lit(2.0), X.choose_bits(9, members)).alias("search_space"))
+
+
+def emit(findings: DataFrame, existing: DataFrame, members: DataFrame, subject: str, threshold: float) -> DataFrame:
+    """Findings to write: of enough interest, and new by their ``finding_id``, each once.
+
+    A finding about somebody outside ``members`` is a fault of its detector and stops the run.
+    """
+    known = findings.join(members.select(subject).distinct().withColumn("_in", F.lit(True)), subject, "left")
+    checked = known.withColumn("_ok", F.when(F.col("_in").isNull(), F.raise_error(F.concat(F.lit("not a member: "), F.col(subject).cast("string"))).cast("boolean")).otherwise(True))
+    good = checked.where(F.col("_ok") & (F.col("interest") >= threshold)).drop("_in", "_ok")
+    return good.join(existing.select("finding_id").distinct(), "finding_id", "left_anti").dropDuplicates(["finding_id"])

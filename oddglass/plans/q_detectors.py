@@ -12,6 +12,7 @@ from ..operators import ordering as O
 from ..operators import rates as R
 from ..operators import windows as W
 from ..operators.joins import attach_row, best_per_key
+from ..sources import writes
 from . import q_learn as QE
 from . import q_lenses as QL
 from . import q_scan as QS
@@ -48,11 +49,15 @@ def d2(t):
 
 
 @query("D3_leaderboard", """SELECT stat, subject_id, rank, is_focal FROM (SELECT *, min(CASE WHEN is_focal THEN rank END) OVER (PARTITION BY stat) AS f FROM (SELECT stat, subject_id, team = 0 AS is_focal, row_number() OVER (PARTITION BY stat ORDER BY CASE WHEN stat = 'avg_price' THEN v ELSE -v END, subject_id) AS rank
- FROM (UNPIVOT (SELECT subject_id, team, CAST(hr AS DOUBLE) AS hr, CAST(n AS DOUBLE) AS games, CAST(price_c AS DOUBLE) AS total, price_c / n AS avg_price FROM @seasons WHERE year = 2001) ON hr, games, total, avg_price INTO NAME stat VALUE v)) WHERE rank <= 25) WHERE f IS NOT NULL AND rank <= greatest(10, f)""")
+ FROM (UNPIVOT (SELECT subject_id, team, CAST(hr AS DOUBLE) AS hr, CAST(n AS DOUBLE) AS games, CAST(price_c AS DOUBLE) AS total, price_c / n AS avg_price FROM @seasons WHERE year = 2001) ON hr, games, total, avg_price INTO NAME stat VALUE v)) WHERE rank <= 25) WHERE f IS NOT NULL AND rank <= greatest(10, f) AND coalesce((SELECT max(o_orderdate) FROM orders WHERE o_orderstatus = 'F') >= TIMESTAMP '2001-08-02' - INTERVAL 48 HOUR, false)""")
 def d3(t):
     s = t.seasons_in(NOW).select("subject_id", "team", c("hr").cast("double").alias("hr"), c("n").cast("double").alias("games"), c("price_c").cast("double").alias("total"), (c("price_c") / c("n")).alias("avg_price"))
     long = s.unpivot(["subject_id", "team"], ["hr", "games", "total", "avg_price"], "stat", "v")
     key = F.when(c("stat") == "avg_price", c("v")).otherwise(-c("v"))
+    # no board from a source whose last complete load is over 48 hours old
+    loads = t.orders.select(F.lit("seasons").alias("source"), (c("o_orderstatus") == "F").alias("complete"), c("o_orderdate").alias("finished_at"))
+    fresh = writes.freshness_guard(loads, t.spark.createDataFrame([("seasons",)], "source string"), F.lit("2001-08-02").cast("timestamp_ntz")).where("NOT stale")
+    long = long.withColumn("source", F.lit("seasons")).join(F.broadcast(fresh.select("source")), "source", "left_semi").drop("source")  # one source
     return W.top_with_focal(long, ["stat"], [key, c("subject_id")], c("team") == 0).select("stat", "subject_id", c("rank").cast("bigint").alias("rank"), "is_focal")
 
 

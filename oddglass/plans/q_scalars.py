@@ -175,7 +175,7 @@ def x13(t):
 SELECT substr(sha256('{"detector":"season","subject":' || subject_id || ',"year":' || year || '}'), 1, 16) AS id, subject_id, year FROM @seasons""")
 def x14(t):
     return t.seasons.select(
-        X.stable_id([F.lit("season").alias("detector"), F.col("subject_id").alias("subject"), F.col("year")]).alias("id"), "subject_id", "year")
+        X.finding_id({"year": F.col("year"), "subtitle": F.col("name"), "subject": F.col("subject_id"), "detector": F.lit("season"), "as_of": F.col("n")}).alias("id"), "subject_id", "year")
 
 
 @query("X15_claim_key", """

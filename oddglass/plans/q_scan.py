@@ -14,7 +14,6 @@ from ..operators import rates as R
 from ..operators import scan as S
 from ..operators import scope as P
 from ..operators.joins import best_per_key
-from ..sources.writes import insert_if_absent
 from . import scan
 from .q_joins import REGISTRY_SQL, focal, registry_rows
 from .q_lenses import CONTRAST_LENS_SQL, FAMILY_OF, career_moves, contrasts
@@ -198,13 +197,18 @@ def p1b(t):
     return scan_findings(t, replace(P1_LONG, fdr_mode="strict"))
 
 
-@query("P11_emit", f"SELECT metric_id, subject_id, lens, round(rarity, 6) AS rarity FROM {BEST_SQL} WHERE rarity >= 0.25e0 AND subject_id % 2 = 1")
+P11_TAIL = "CASE WHEN lens = 'rank' THEN rank / pop_n ELSE greatest(1 - coalesce(pct, 0.9e0), 1 / pop_n) END"
+
+
+@query("P11_emit", f"""SELECT metric_id, subject_id, lens, round(interest, 6) AS interest FROM (SELECT *, {SURPRISE_SQL} AS interest FROM (SELECT *, {P11_TAIL} AS tail_p, 9e0 AS search_space FROM {BEST_SQL})) WHERE interest >= 0.25e0 AND NOT (lens = 'rank' AND subject_id % 2 = 0)""")
 def p11(t):
-    fresh = best_hits(t).where(c("rarity") >= I.EMIT_THRESHOLD)
-    outside = fresh.join(focal(t), "subject_id", "left_anti")  # must be empty: a finding about a non-member
-    known = t.supplier.where("s_suppkey % 2 = 0").select(c("s_suppkey").alias("subject_id"))
-    keep = insert_if_absent(known, fresh.join(outside.select("subject_id").distinct(), "subject_id", "left_anti").groupBy("subject_id").agg(F.collect_list(F.struct("metric_id", "lens", "rarity")).alias("h")), ["subject_id"])
-    return keep.select("subject_id", F.inline("h")).select("metric_id", "subject_id", "lens", X.r6("rarity").alias("rarity"))
+    """Best hits scored by their surprise; those of even subjects found by rank were written earlier."""
+    ids = X.finding_id({"detector": F.lit("scan"), "metric": c("metric_id"), "subject": c("subject_id"), "year": c("year"), "as_of": F.current_date().cast("string")})
+    tail = F.when(c("lens") == "rank", c("rank") / c("pop_n")).otherwise(F.greatest(1.0 - F.coalesce("pct", F.lit(0.9)), 1.0 / c("pop_n")))
+    raw, search = I.evidence_bits(tail, F.lit(9.0))
+    found = best_hits(t).withColumn("interest", I.surprise(raw, search)).withColumn("finding_id", ids)
+    earlier = found.where("lens = 'rank' AND subject_id % 2 = 0").select("finding_id")
+    return S.emit(found, earlier, focal(t), "subject_id", I.EMIT_THRESHOLD).select("metric_id", "subject_id", "lens", X.r6("interest").alias("interest"))
 
 
 # ---- interest ------------------------------------------------------------------
