@@ -54,19 +54,12 @@ def prior_holders(history: DataFrame, team: str, period: str, subject: str, valu
     """
     sign = 1 if higher else -1
     ranked = history.where(F.col(value).isNotNull()).groupBy(team, period, subject).agg(F.max(F.col(value) * sign).alias("_v"))
-    key = F.struct(F.col("_v").alias("v"), (-F.col(subject)).alias("o"))
-    first = ranked.groupBy(team, period).agg(F.max(key).alias("_f"))
-    # The best holder other than the best one: once the best is known, one more
-    # partial aggregate over the rest.
-    second = (
-        ranked.join(first, [team, period]).where(F.col(subject) != -F.col("_f.o"))
-        .groupBy(team, period).agg(F.max(key).alias("_s"))
-    )
-    per = first.join(second, [team, period], "left")
-    entry = F.struct(
-        F.col(period).alias("period"), (-F.col("_f.o")).alias("id1"), F.col("_f.v").alias("v1"),
-        (-F.col("_s.o")).alias("id2"), F.col("_s.v").alias("v2"),
-    )
+    # The best two of a team's period; each task cuts its own rows down before it sends any.
+    place = F.row_number().over(Window.partitionBy(team, period).orderBy(F.desc("_v"), subject))
+    top = ranked.withColumn("_k", place).where(F.col("_k") <= 2)
+    of = lambda k, col: F.max(F.when(F.col("_k") == k, F.col(col)))
+    per = top.groupBy(team, period).agg(of(1, subject).alias("id1"), of(1, "_v").alias("v1"), of(2, subject).alias("id2"), of(2, "_v").alias("v2"))
+    entry = F.struct(F.col(period).alias("period"), "id1", "v1", "id2", "v2")
     return per.groupBy(team).agg(F.array_sort(F.collect_list(entry)).alias("_hist"))
 
 

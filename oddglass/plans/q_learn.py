@@ -160,22 +160,6 @@ def b5(t):
     return B.apply_transitions(moves, "src", "dst").groupBy("src", "dst", "legal").agg(F.count("*").alias("n"))
 
 
-@query("B6_daily_briefing", f"SELECT 'grade' AS source, true AS complete, count(*) AS rows FROM {GRADED_SQL} UNION ALL SELECT 'learn', true, count(*) FROM {STATS_SQL} UNION ALL SELECT 'leads', true, count(DISTINCT user_id) FROM @live WHERE CAST(ts AS DATE) > (SELECT CAST(max(ts) AS DATE) - 2 FROM @live) UNION ALL SELECT 'log', true, count(*) FROM {PRED_SQL} WHERE subject_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
-def b6(t):
-    """Grade, learn, find and log in order; each step writes its table, failures are recorded."""
-    from ..session import shared_dir
-    base = f"{shared_dir(t.spark)}/briefing-{t.sf_dir.strip('/').replace('/', '_')}"
-
-    def write(name, df):
-        def act():
-            df().write.mode("overwrite").parquet(f"{base}/{name}")
-            return t.spark.read.parquet(f"{base}/{name}").count()
-        return name, act
-
-    steps = [write("grade", lambda: graded(t)), write("learn", lambda: stats(t)), write("leads", lambda: b2(t)), write("log", lambda: q1(t))]
-    return S.run_steps(t.spark, steps).select("source", "complete", "rows")
-
-
 # ---- hypotheses ----------------------------------------------------------------
 PROPOSED = [
     H.Hypothesis("value", window_days=14, rationale="spending lately"),
@@ -291,3 +275,33 @@ def h7(t):
     asked = t.live.select(column.alias("column"), how.alias("how"), F.when(c("event_type") == "view", "rank").otherwise("extremeness").alias("lens"), F.when(c("event_id") % 3 > 0, c("event_id") % 150).alias("window_days"))
     said = H.check_proposals(asked, H.schema_of(event_rows(t)))
     return said.groupBy("column", "outcome").agg(F.count("*").alias("specs"))
+
+
+# ---- the daily run -------------------------------------------------------------
+FLAGGED_SQL = "(SELECT DISTINCT subject_id FROM @seasons WHERE subject_id % 100 = 0)"
+BRIEF = {
+    "grade": f"SELECT count(*) FROM {GRADED_SQL}", "learn": f"SELECT count(*) FROM {STATS_SQL}", "hypothesis": f"SELECT count(*) FROM ({ledger_sql()})",
+    "discover": f"SELECT {sum(len(k) for k, _ in CAT.values())}", "leads": "SELECT count(DISTINCT user_id) FROM @live WHERE CAST(ts AS DATE) > (SELECT CAST(max(ts) AS DATE) - 2 FROM @live)",
+    "verify": "SELECT count(*) FROM @seasons WHERE subject_id % 100 = 0", "log": f"SELECT count(*) FROM {PRED_SQL} WHERE subject_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) AND subject_id NOT IN {FLAGGED_SQL}",
+}
+
+
+@query("B6_daily_briefing", " UNION ALL ".join(f"SELECT '{k}' AS source, true AS complete, ({v}) AS rows" for k, v in BRIEF.items()))
+def b6(t):
+    """Grade, learn, test hypotheses, discover, find, verify against the source and log what verified; each
+    step writes its table in the run's own folder, failures are recorded."""
+    from .q_audit import c6
+    base = f"{shared_dir(t.spark)}/briefing-{uuid.uuid4().hex[:10]}"
+
+    def write(name, df):
+        def act():
+            df().write.mode("overwrite").parquet(f"{base}/{name}")
+            return t.spark.read.parquet(f"{base}/{name}").count()
+        return name, act
+
+    def verified():
+        flagged = t.spark.read.parquet(f"{base}/verify").select("subject_id").distinct()
+        return q1(t).join(flagged, "subject_id", "left_anti")
+
+    steps = [write("grade", lambda: graded(t)), write("learn", lambda: stats(t)), write("hypothesis", lambda: h2(t)), write("discover", lambda: h6(t)), write("leads", lambda: b2(t)), write("verify", lambda: c6(t)), write("log", verified)]
+    return S.run_steps(t.spark, steps, f"{base}/ledger").select("source", "complete", "rows")
