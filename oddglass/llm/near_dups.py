@@ -43,6 +43,8 @@ SHINGLE = 5
 PLACES, BAND = 128, 4
 SHARE = (75, 100)
 BLOCK = 256
+#: Shingles of one block, about.
+BLOCK_SHINGLES = 1 << 17
 #: Columns of an incidence matrix held at once.
 COLUMNS = 8192
 #: Candidate ids up to this number (some 100 MB in Spark's hash table) are broadcast.
@@ -216,11 +218,14 @@ def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 def rest_links(members: DataFrame) -> DataFrame:
     """Links (a, b) across components within groups: (first, v, c, main, words), ``main`` being the component of the first node."""
-    sizes = members.groupBy("first").agg(F.count("*").alias("all"), F.sum((F.col("c") != F.col("main")).cast("long")).alias("out"))
+    def blocks(keep):
+        return F.ceil(F.greatest(F.count_if(keep) / BLOCK, F.sum(F.when(keep, F.length("words") / 8)) / BLOCK_SHINGLES)).cast("long")
+
+    sizes = members.groupBy("first").agg(blocks(F.lit(True)).alias("all"), blocks(F.col("c") != F.col("main")).alias("out"))
     own = members.join(sizes, "first")
 
     def blocked(df, total, name):
-        part = F.pmod(F.xxhash64("v"), F.ceil(F.col(total) / F.lit(BLOCK)).cast("long"))
+        part = F.pmod(F.xxhash64("v"), F.col(total))
         return df.withColumn("part", part).groupBy("first", "part").agg(F.collect_list(F.struct("v", "c", "words")).alias(name)).drop("part")
 
     left, right = blocked(own.where("c <> main"), "out", "x"), blocked(own, "all", "y")
