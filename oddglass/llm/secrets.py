@@ -11,8 +11,8 @@ word the lead of "outside" is held larger than any gain by transitions: the best
 there, the text falls into separate runs of the other words, and Viterbi on those alone has the
 very same result. With weights that do not have this lead, Viterbi runs over every word.
 
-Null and empty texts have no spans. Spans of the field that touch a base span are left out, so
-base spans always stay. Texts are scanned whole inside Spark's own partitions, without a shuffle;
+Null and empty texts have no spans. Base spans always stay; a span of the field is left out only
+where base spans hold all of it, and masking covers the union. Texts are scanned whole inside Spark's own partitions, without a shuffle;
 rows are kept one for one, repeated rows and null ids included.
 """
 
@@ -226,15 +226,15 @@ class Field:
 
 
 def all_spans(text: str, field: Field | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and base spans with those of the field that touch none of them."""
+    """Base spans, and base spans with those of the field that say more than they do."""
     base = base_spans(text)
     more = []
     if field is not None:
-        reach, k = 0, 0
+        k, reach = 0, -1  # how far base spans that start up to a place reach without a gap
         for a, b, kind in field.spans(text):
-            while k < len(base) and base[k][0] < b:
+            while k < len(base) and base[k][0] <= max(a, reach):
                 reach, k = max(reach, base[k][1]), k + 1
-            if reach <= a:
+            if reach < b:
                 more.append((a, b, kind))
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
