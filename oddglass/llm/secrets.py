@@ -6,10 +6,11 @@ finds the best tags. It is fitted in numpy by its likelihood on (a) words of a b
 documents, tagged by the base spans, and (b) generated lines in which known random secrets stand
 in many forms beside look-alikes (numbers, dates, addresses, links).
 
-A word without a digit, ``=`` or ``:`` has the same scores wherever it stands. For such a
-word the lead of "outside" is held larger than any gain by transitions: the best path is outside
-there, the text falls into separate runs of the other words, and Viterbi on those alone has the
-very same result. With weights that do not have this lead, Viterbi runs over every word.
+A word of letters in usual case, under LONG of them, without a sign inside, and neither after a
+sign nor within two words of a name such as "token", has the same scores wherever it stands. Where
+the fitted weights make every path better that is outside at such a word, the text falls into
+separate runs of the other words, and Viterbi on those alone has the very same result. With weights
+that do not, Viterbi runs over every word. The fit is not altered for this.
 
 Null and empty texts have no spans. Base spans always stay; a span of the field is left out only
 where base spans hold all of it, and masking covers the union. Texts are scanned whole inside Spark's own partitions, without a shuffle;
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, narrow, rows, sample_by_hash, texts
+from .common import LOWER, map_texts, narrow, rows, sample_by_hash, texts
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -35,11 +36,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run is matched whole, so short runs can
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "crf")
 
-TRIGGER = re.compile(r"[0-9=:]")
+#: Letters of a long word; signs that ordinary words do not hold between letters.
+LONG = 16
+TRIGGER = re.compile(r"[0-9=:]|[a-z][A-Z]|(?<![A-Za-z])[A-Za-z]{%d}|[A-Za-z][!#$%%^&*~@+_|\\<>?;]+[A-Za-z]" % LONG)
 SPACE = " \t\n\x0b\x0c\r"
 NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 NAMES = {"password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "credentials", "access_key", "client_secret", "private_key"}
+#: Every name holds one of these.
+NAME_PARTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential")
 B, I, O = 0, 1, 2
+SIGNS = ("=", ":")
 STRIP = "\"'`,;.!?()[]{}<>#*%&$|"
 
 
@@ -78,7 +84,15 @@ def shape(core: str) -> str:
         if re.search("[a-z]", core) and re.search("[A-Z]", core):
             return "mixed"
         return "letters+digits"
-    return "name" if core.lower() in NAMES else "word"
+    if core.lower() in NAMES:
+        return "name"
+    if re.search(r"[A-Za-z0-9][!#$%^&*~+_|\\<>?;=:/-]+[A-Za-z0-9]", core) and re.search("[0-9]", core):
+        return "signs+digits"
+    if re.search(r"[A-Za-z][!#$%^&*~+_|\\<>?;]+[A-Za-z]", core):
+        return "signs"
+    if re.search("[a-z][A-Z]", core):
+        return "cased" if len(re.findall("[a-z][A-Z]", core)) < 3 else "often cased"
+    return "long" if re.search(r"(?<![A-Za-z])[A-Za-z]{%d}" % LONG, core) else "word"
 
 
 def describe(word: str) -> tuple[str, ...]:
@@ -94,7 +108,7 @@ def describe(word: str) -> tuple[str, ...]:
             break
     kind = shape(core)
     own = [kind, f"{kind}:{min(len(core) // 6, 6)}"]
-    if word in ("=", ":"):
+    if word in SIGNS:
         own.append("sign")
     elif word[-1] in "=:":
         own.append("ends in sign")
@@ -104,33 +118,66 @@ def describe(word: str) -> tuple[str, ...]:
 
 
 PLAIN = ("word",)
+#: Kinds of words that are plain where nothing before them announces a value.
+PLAIN_KINDS = ("word", "name", "none", "mail", "link")
+
+
+def context(described: list[tuple[str, ...]], i: int) -> str:
+    """What stands before word ``i`` and may announce a value."""
+    last = described[i - 1] if i else PLAIN
+    older = described[i - 2] if i > 1 else PLAIN
+    if last[-1] == "sign" or "ends in sign" in last:
+        return f"after {older[0] if last[-1] == 'sign' else last[0]} and sign"
+    if last[0] == "name":
+        return "after name"
+    return "one after name" if older[0] == "name" else ""
 
 
 def word_features(described: list[tuple[str, ...]], i: int, whole: tuple[str, ...]) -> list[str]:
     """Features of word ``i``; ``described`` has the neighbours too. Plain words have no context."""
     own = described[i]
-    if own == PLAIN or own[0] == "name" and len(own) < 3:
+    before_it = context(described, i)
+    if not before_it and own[0] in PLAIN_KINDS and own[-1] not in ("sign", "ends in sign"):
         return ["0 plain", *(f"plain {x}" for x in whole)]
     out = [f"0 {x}" for x in own] + [f"{own[0]} {x}" for x in whole]
     for k in (-2, -1, 1):
         near = described[i + k] if 0 <= i + k < len(described) else PLAIN
         out.append(f"{k} {near[0]}")
         out += [f"{k} {x}" for x in near if x in ("sign", "ends in sign")]
-    if i >= 2 and described[i - 1][-1] == "sign":
-        out.append(f"after {described[i - 2][0]} and sign: {own[0]}")
+    if before_it:
+        out += [f"{before_it}: {own[0]}", f"{before_it}: {own[min(1, len(own) - 1)]}"]
     return out
 
 
 def hits(text: str) -> list[tuple[int, int]]:
-    """Words with a digit or a sign."""
-    out, at = [], 0
+    """Words that are not plain: by themselves, or by what stands before them."""
+    out, at = set(), 0
     while m := TRIGGER.search(text, at):
         a = m.start()
         while a > 0 and text[a - 1] not in SPACE:
             a -= 1
         at = NOT_SPACE.match(text, a).end()
-        out.append((a, at))
-    return out
+        out.add((a, at))
+        if (word := text[a:at])[-1] in "=:" and (near := NOT_SPACE.search(text, at)):
+            if word in SIGNS or "ends in sign" in describe(word):
+                out.add(near.span())
+    low = text.lower()
+    if len(low) != len(text):
+        low = text.translate(LOWER)
+    for name in NAME_PARTS:
+        at = low.find(name)
+        while at >= 0:
+            a = at
+            while a > 0 and text[a - 1] not in SPACE:
+                a -= 1
+            end = stop = NOT_SPACE.match(text, a).end()
+            if describe(text[a:end])[0] == "name":
+                for _ in range(2):
+                    if near := NOT_SPACE.search(text, end):
+                        out.add(near.span())
+                        end = near.end()
+            at = low.find(name, stop)
+    return sorted(out)
 
 
 def runs(text: str) -> list[list[tuple[int, int]]]:
@@ -164,7 +211,7 @@ def described_run(text: str, places: list[tuple[int, int]]) -> tuple[list[tuple[
     left = before(text, places[0][0], 2)
     right = NOT_SPACE.search(text, places[-1][1])
     words = [*left, *(text[a:b] for a, b in places), *([right.group()] if right else [])]
-    return [d if d[0] != "word" else PLAIN for d in map(describe, words)], len(left)
+    return list(map(describe, words)), len(left)
 
 
 class Field:
@@ -172,12 +219,11 @@ class Field:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.index, self.weights, self.moves = index, weights, moves
-        lead = []
-        for whole in ((), ("file:names",)):
-            e = self.emission(word_features([PLAIN], 0, whole))
-            lead.append(e[O] - max(e[B], e[I]))
-        self.lead = float(min(lead))
-        self.separable = self.lead > 2 * float(moves.max() - moves.min())
+        plain = [self.emission(word_features([PLAIN], 0, whole)) for whole in ((), ("file:names",))]
+        self.lead = float(min(e[O] - max(e[B], e[I]) for e in plain))
+        # turning a plain word's tag to outside gains, whatever the tags beside it
+        lost = max(float((moves[:, t, None] + moves[t][None] - moves[:, O, None] - moves[O][None]).max()) for t in (B, I))
+        self.separable = self.lead > lost + 1e-9
 
     def emission(self, features: list[str]) -> np.ndarray:
         own = [self.index[f] for f in features if f in self.index]
@@ -269,14 +315,28 @@ def generated(count: int, seed: int = 11) -> list[tuple[list[list[str]], list[in
     for _ in range(count):
         name = r.choice(sorted(NAMES))
         value = r.choice((lambda: "a1" + pick("0123456789abcdef", r.randrange(14, 62)), lambda: "A1b" + pick(dense, r.randrange(14, 50)), lambda: "x7" + pick(letters + "0123456789", r.randrange(14, 40))))()
+        form = r.random()  # also values without a digit, and with signs
+        if form < 0.12:
+            value = pick(letters, r.randrange(12, 30))
+        elif form < 0.24:
+            value = "".join(pick(letters, 1).upper() + pick(letters, 1) for _ in range(r.randrange(5, 16)))
+        elif form < 0.3:
+            value = "".join(r.choice((str.upper, str.lower))(c) for c in "aB" * 3 + pick(letters, r.randrange(6, 24)))
+        elif form < 0.42:
+            value = "Ab" + pick(dense, r.randrange(3, 8)) + r.choice("!#$%^&*~") + pick(dense, r.randrange(4, 12)) + "z7"
+        elif form < 0.5:
+            value = "pQ" + pick(letters, r.randrange(2, 6)) + r.choice("!#$%^&*~") + pick(letters, r.randrange(5, 12))
+        bare = form < 0.12  # small letters alone need a sign before them
         fill = [pick(letters, r.randrange(2, 9)) for _ in range(6)]
         number = pick("123456789", r.randrange(1, 17))
         date = f"20{r.randrange(10, 30)}-0{r.randrange(1, 10)}-1{r.randrange(10)}"
         mail = f"{pick(letters, 6)}.{r.randrange(99)}@{pick(letters, 5)}{r.randrange(9)}.example.com"
         link = f"https://{pick(letters, 8)}.example.org/{pick(letters, 5)}/{r.randrange(9999)}"
         code = pick(letters, r.randrange(1, 8)) + pick("0123456789", r.randrange(1, 4))
-        secret = r.choice(([name, "=", f'"{value}"'], [name + ":", value], [f"{name}={value}"], [name, value], [name, "is", value], [f'"{name}":', f'"{value}",']))
-        other = r.choice(([number], [date], [mail], [link], [code], ["page", number], ["x", "=", number], ["note:", fill[0]], ["the", code + "."], ["tel:", number], [f"{fill[0]}={number}"], ["at", f"{r.randrange(24)}:{r.randrange(10, 60)}"]))
+        secret = r.choice(([name, "=", f'"{value}"'], [name + ":", value], [f"{name}={value}"], *([] if bare else [[name, value], [name, "is", value]]), [f'"{name}":', f'"{value}",']))
+        other = r.choice(([number], [date], [mail], [link], [code], ["page", number], ["x", "=", number], ["note:", fill[0]], ["the", code + "."], ["tel:", number], [f"{fill[0]}={number}"], ["at", f"{r.randrange(24)}:{r.randrange(10, 60)}"],
+                          [name, fill[0]], [name, "is", fill[1]], [fill[0] + ":", pick(letters, r.randrange(1, 20))], [fill[0], "=", fill[1]], [pick(letters, r.randrange(14, 30))], [name, pick(letters, r.randrange(9, 16))],
+                          [name + ":", pick(letters, r.randrange(1, 6))], [name, "=", pick(letters, r.randrange(1, 6))], [fill[0].title() + fill[1].title() + fill[2].title()], [f"{fill[0]}_{fill[1]}"], [f"{fill[0]}&{fill[1]}"]))
         core = secret if r.random() < 0.5 else other
         words = [*fill[:3], *core, *fill[3:]]
         text = " ".join(words)
@@ -285,7 +345,7 @@ def generated(count: int, seed: int = 11) -> list[tuple[list[list[str]], list[in
             described, first = described_run(text, places)
             tags = [B if core is secret and value in text[a:b] else O for a, b in places]
             out.append(([word_features(described, first + i, whole) for i in range(len(places))], tags))
-        out.append(([word_features([PLAIN], 0, whole)], [O]))
+        out += [([word_features([PLAIN], 0, whole)], [O])] * 4
     return out
 
 
@@ -353,11 +413,6 @@ def fit(sequences: list[tuple[list[list[str]], list[int]]], rounds: int = 150, r
             b += 0.01 * grad * grad
             value -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
         weights[none] = 0
-    # a plain word is never a secret: where the fit leaves this open, its lead outside is made wide enough
-    plain = index.get("0 plain")
-    if plain is not None:
-        field = Field(index, weights, moves)
-        weights[plain, O] += max(0.0, 2 * (moves.max() - moves.min()) + 1 - field.lead)
     return Field(index, weights, moves)
 
 

@@ -96,3 +96,27 @@ def test_field_spans_beyond_a_base_span_stay(spark, field):
     assert secrets.all_spans(text, Fixed())[1] == [(0, 6, "crf"), (6, 18, "assign"), (9, 40, "crf"), (26, 46, "access")]
     out = secrets.redact(documents(spark, [(1, "then password=Abc123!Def456xyz and more")]), field).collect()[0]
     assert out.text == "then [SECRET] and more" and out.n_chars == len(out.text)
+
+
+def test_values_without_digits_and_with_signs(field):
+    assert field.separable
+    for name, value in (("pwd:", "correcthorsebattery"), ("auth =", "QwErTyUiOpAsDf"), ("bearer", "AbCdEfGhIjKlMnOpQrSt"), ("auth:", "Abc123!Def456xyz"), ("credential is", "xYab!Kqwertyu")):
+        text = f"some words before {name} {value} and after it"
+        assert any(text[a:b] == value for a, b, _ in field.spans(text)), text
+    for text in ("the secret garden is open", "a key point was made", "donaudampfschifffahrt came by", "the token economy and JavaScript too", "note: nothing here", "auth: none yet"):
+        assert field.spans(text) == [], text
+    assert any(secrets.B in tags for _, tags in secrets.tagged("now token: abcdefghij here"))  # a base span of letters only
+
+
+def test_odd_runs_alone_equal_the_whole_chain(field):
+    r = random.Random(6)
+    words = ["plain", "token", "=", ":", "==", "pwd:", "key", "...", "www.abc", "a.@b", "aBcDeFgH", "x!y", "abcdefghijklmnopqrst", "İkey", "Secret", "is", "note:", "auth=abc", "a1b2c3d4e5f6a7b8c9", "tokens", "=>", "ſecret"]
+    whole = secrets.Field(field.index, field.weights, field.moves)
+    whole.separable = False
+    for _ in range(1500):
+        text = r.choice(" \n").join(r.choice(words) for _ in range(r.randrange(12)))
+        assert field.spans(text) == whole.spans(text), text
+
+
+def test_names_in_one_long_word():
+    assert secrets.hits("token" * 200_000 + " x") == [(0, 1_000_000)]
