@@ -1,10 +1,11 @@
 """Quality: a compression classifier.
 
-Two zstandard dictionaries are built, one from texts labelled good and one from texts labelled
-bad. A text is compressed with both, in blocks short enough that the dictionary matters for all
+Two zstandard dictionaries are built, one from half of the texts labelled good and one from half
+of those labelled bad, picked by hash: shares of 512 bytes at even distances over all their bytes.
+A text is compressed with both, in blocks short enough that the dictionary matters for all
 of it; good text comes out smaller with the good dictionary. The difference of the two sizes over
 their sum is turned into a score by a calibrated curve: a logistic fit over the difference and
-over the mean size per byte, on training rows that gave no text to the dictionaries.
+over the mean size per byte, on all training rows that gave no text to the dictionaries.
 
 Fitting takes at most ``bound`` labelled rows (a documented parameter). Scoring reads whole texts
 inside Spark's own partitions, without a shuffle. Null and empty texts have difference and size
@@ -70,42 +71,67 @@ def _expand(x: np.ndarray) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Newton's method; a step that makes the loss larger is halved, or it may swing and never settle."""
     w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    loss = lambda w: float((np.logaddexp(0, x @ w) - y * (x @ w)).sum() + ridge * (w @ w) / 2)
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while size > 1e-9 and loss(w + size * step) > now:
+            size /= 2
+        if size <= 1e-9:
+            break
+        w = w + size * step
+        now = loss(w)
+        if np.abs(size * step).max() < 1e-8:
             break
     return w
 
 
-def _material(docs: list[str], size: int) -> bytes:
-    """Raw dictionary content: equal shares from as many texts as fit, evenly spread."""
-    docs = [d for d in docs if d]
-    share = 512
-    wanted = max(1, size // share)
-    out = []
-    for k in range(wanted):
-        doc = docs[k % len(docs)].encode("utf-8", "replace")
-        at = (k // len(docs)) * share % max(1, len(doc))
-        out.append(doc[at:at + share])
-    return b"\n".join(out)[-size:]
+SHARE = 512
+
+
+def _material(docs: list[str], size: int) -> tuple[bytes, set[int]]:
+    """Raw dictionary content, and the texts it is from: shares at even distances over all bytes of all texts."""
+    raw = [d.encode("utf-8", "replace") for d in docs]
+    ends = np.cumsum([len(x) for x in raw])
+    total, out, used = int(ends[-1]) if len(raw) else 0, [], set()
+    if total <= size:
+        return b"\n".join(raw)[-size:], set(range(len(raw)))
+    many = max(1, size // (SHARE + 1))
+    for k in range(many):
+        at = k * total // many
+        while at < (k * total // many) + SHARE and at < total:  # a share may go on in the next text
+            i = int(np.searchsorted(ends, at, "right"))
+            a = at - int(ends[i]) + len(raw[i])
+            part = raw[i][a:a + SHARE - (at - k * total // many)]
+            out.append(part)
+            used.add(i)
+            at += len(part)
+    return b"\n".join(out)[-size:], used
 
 
 def fit(docs: list[str], label: np.ndarray) -> Model:
+    """``docs`` stand in an order that says nothing of them: the first half of each label gives the dictionary."""
     good, bad = (np.flatnonzero(label == v) for v in (1, 0))
     if len(good) < 4 or len(bad) < 4:
         return Model(b"", b"", np.zeros(0), (len(good) + 1) / (len(docs) + 2))
-    take = {int(i) for own in (good, bad) for i in own[: len(own) // 2]}
-    model = Model(*[_material([docs[i] for i in own[: len(own) // 2]], DICTIONARY) for own in (good, bad)], np.zeros(0))
+    made, take = [], set()
+    for own in (good, bad):
+        half = own[: len(own) // 2]
+        text, used = _material([docs[i] for i in half], DICTIONARY)
+        made.append(text)
+        take |= {int(half[i]) for i in used}
+    model = Model(*made, np.zeros(0))
     rest = [i for i in range(len(docs)) if i not in take]
     model.curve = _logistic(_expand(model.features([docs[i] for i in rest])), label[rest].astype(float))
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 4_000) -> Model:
-    got = training_rows(docs, labels, label, bound).toArrow().sort_by("doc_id")
+    got = training_rows(docs, labels, label, bound).withColumn("place", F.xxhash64("doc_id")).toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
     return fit([x or "" for x in got.column("text").to_pylist()], got.column("label").to_numpy())
 
 

@@ -73,3 +73,24 @@ def test_windows_do_not_cross_documents():
     flat, starts, gaps = toxicity._laid_out([np.array([5, 6]), np.zeros(0, np.int64), np.array([7])])
     assert flat[starts].tolist() == [5, toxicity.PAD, 7] and len(gaps) == 6
     assert set(flat[gaps].tolist()) == {toxicity.PAD}
+
+
+def test_dictionary_shares_come_from_all_texts():
+    texts = [chr(65 + i % 26) * 400 + f" {i} " + "end of the text " * 100 for i in range(600)]
+    made, used = quality._material(texts, quality.DICTIONARY)
+    assert len(made) <= quality.DICTIONARY and len(made) > 0.95 * quality.DICTIONARY
+    assert max(used) > 590 and min(used) < 10 and np.diff(sorted(used)).max() < 10  # not the first 128 texts only
+    assert b"end of the text" in made and made.count(b"end of the text") > 1000  # nor only the start of each
+    few, used = quality._material(["one", "", "two"], 64)
+    assert few == b"one\n\ntwo" and used == {0, 1, 2}
+    one, used = quality._material(["x" * 300_000, ""], quality.DICTIONARY)
+    assert used == {0} and len(one) > 0.95 * quality.DICTIONARY
+
+
+def test_texts_not_in_the_dictionary_calibrate(monkeypatch):
+    docs, _, good = corpus(2000, 4)
+    docs = [t for _, t in docs]
+    seen = []
+    monkeypatch.setattr(quality, "_logistic", lambda x, y: seen.append(len(y)) or np.zeros(x.shape[1]))
+    quality.fit([t * 3 for t in docs], np.array(good))
+    assert seen[0] > 1_400
