@@ -92,11 +92,13 @@ def _sends(blocks: DataFrame, buckets: int) -> DataFrame:
                 tokens = Tokens(payload.as_py())
                 for keys, _, counts in tokens.keys():
                     at = cuts(keys, buckets)
-                    packed.append([(pack_keys(keys[a:b]), pack_numbers(counts[a:b])) for a, b in zip(at, at[1:])])
-                words, pairs = packed
-                n = pa.array([int(tokens.training.sum())] + [0] * (buckets - 1), pa.int64())
-                d = pa.array([int((~tokens.held).sum())] + [0] * (buckets - 1), pa.int64())
-                yield rows(bucket=pa.array(range(buckets), pa.int32()), block=pa.array([block] * buckets, pa.int64()), tokens=n, docs=d,
+                    packed.append([(pack_keys(keys[a:b]), pack_numbers(counts[a:b]), int(b - a)) for a, b in zip(at, at[1:])])
+                # Only buckets that some key falls in, and the first, which carries the block's own counts.
+                full = [b for b in range(buckets) if b == 0 or any(kind[b][2] for kind in packed)]
+                words, pairs = ([kind[b] for b in full] for kind in packed)
+                n = pa.array([int(tokens.training.sum())] + [0] * (len(full) - 1), pa.int64())
+                d = pa.array([int((~tokens.held).sum())] + [0] * (len(full) - 1), pa.int64())
+                yield rows(bucket=pa.array(full, pa.int32()), block=pa.array([block] * len(full), pa.int64()), tokens=n, docs=d,
                            wk=pa.array([x[0] for x in words], pa.binary()), wc=pa.array([x[1] for x in words], pa.binary()),
                            pk=pa.array([x[0] for x in pairs], pa.binary()), pc=pa.array([x[1] for x in pairs], pa.binary()))
                 del tokens, packed, words, pairs
