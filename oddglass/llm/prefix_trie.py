@@ -51,7 +51,7 @@ LONG_CONVERSATION = 100_000
 HOT_ROWS = 1_000
 HOT_KEYS = 1_000
 #: Weight, and so the most nodes, of a component that is split inside one task.
-LOCAL_WEIGHT = 8_192
+LOCAL_WEIGHT = 1_024
 #: Entries of a table that may be broadcast.
 MOST_BROADCAST = 1_000_000
 #: Nodes that a task splits at once, and bytes of a list of ids in one row.
