@@ -1,6 +1,10 @@
 """Main text of pages."""
 
+import random
+import time
+
 import numpy as np
+import pytest
 
 from oddglass.llm import html_text as H
 
@@ -38,7 +42,71 @@ def test_broken_markup():
 
 def test_tree_fits_its_table():
     assert (H.tree().predict(H.LABELLED[:, :-1]) == H.LABELLED[:, -1]).all()
-    assert len(H.LABELLED) < 200 and set(np.unique(H.LABELLED[:, -1])) == {0, 1}
+    assert len(H.ROWS) < 200 and set(np.unique(H.LABELLED[:, -1])) == {0, 1}
+
+
+LONG = " ".join(["plain words of a longer paragraph"] * 8)
+
+
+@pytest.mark.parametrize("body", [
+    '<div class="content has-sidebar">{}</div>', '<div id="page" class="site sidebar-right"><article>{}</article></div>', '<form id="aspnetForm"><div id="content">{}</div></form>',
+    '<div id="newsletter-archive"><article>{}</article></div>', '<div class="reply-to article">{}</div>', '<div class="widget-area"><main>{}</main></div>', '<div class="site-header-wrap">{}</div>',
+])
+def test_an_element_that_holds_the_page_is_no_menu(body):
+    inner = f"<h1>The title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    around = "<nav><a href='/'>Home</a></nav>{}<aside>Something else to read, said here at some length.</aside><footer>All rights</footer>"
+    assert H.main_texts([page(around.format(body.format(inner)))]) == [f"The title\n{LONG}\nShort.\n{LONG}"]
+
+
+def test_headers_and_notices_inside_the_text():
+    body = f'<article><div class="post-header"><h1>The title</h1></div><p class="notice">Note this well.</p><p>{LONG}</p><div class="newsletter">Sign up for many letters now</div><div class="related"><p>Other things to read today</p></div></article>'
+    assert H.main_texts([page(body)]) == [f"The title\nNote this well.\n{LONG}"]
+
+
+def test_comments_and_teasers_in_articles_of_their_own():
+    own = "".join(f'<article class="comment-body"><p>{LONG}</p></article>' for _ in range(6))
+    teasers = '<div class="related"><article class="post"><h2>Other</h2><p>A teaser of some words.</p></article></div>'
+    body = f'<article><h1>Title</h1><p>{LONG} {LONG}</p></article>{teasers}<section id="comments">{own}</section>'
+    assert H.main_texts([page(body)]) == [f"Title\n{LONG} {LONG}"]
+
+
+def test_short_blocks_between_long_ones_without_a_main_part():
+    items = "<ul><li>First item</li><li>Second item</li></ul>"
+    fourteen, fifteen = " ".join(["word"] * 14), " ".join(["word"] * 15)
+    body = f"<div><a href='/'>Home</a></div><div><p>{LONG}</p>{items}<p>{LONG}</p><p>{fourteen}</p><p>{fifteen}</p><p>{LONG}</p></div><div><a href='/x'>About us</a></div>"
+    assert H.main_texts([page(body)]) == ["\n".join([LONG, "First item", "Second item", LONG, fourteen, fifteen, LONG])]
+
+
+def test_an_unclosed_button_ends_at_the_next_block():
+    assert H.main_texts([f"<article><p>{LONG}</p><button>Share<p>{LONG}</p><button>Other</button></article>"]) == [f"{LONG}\n{LONG}"]
+    assert H.main_texts([f"<article><p>before<button>x</button>after</p></article>"]) == ["before after"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a href=\"", "<a '", "<div>", "</section>", "<div></p>", "<!", "<!--", "<svg>", "<button><p>", "<p class='ad'>", "<a b=\"<\" ", "<script", "&amp", "<select><div>"])
+def test_time_grows_with_the_length(piece):
+    """However a page is broken, twice the length is about twice the work: 1 MB in seconds."""
+    text = piece * ((1 << 20) // len(piece))
+    start = time.time()
+    H.main_texts([text + "</button>"])
+    assert time.time() - start < 8
+
+
+def test_features_against_a_plain_reading():
+    """Word counts, link densities and neighbours of simple pages, counted without the reader."""
+    r = random.Random(4)
+    for _ in range(20):
+        parts = []
+        for _ in range(r.randrange(1, 9)):
+            words = [("w", r.random() < 0.3) for _ in range(r.randrange(1, 12))]
+            parts.append(words)
+        body = "".join("<p>" + " ".join(f"<a href='/'>{w}</a>" if linked else w for w, linked in p) + "</p>" for p in parts)
+        x = H.features(H.blocks(body))
+        n = [len(p) for p in parts]
+        links = [sum(q for _, q in p) / len(p) for p in parts]
+        plain = [k if q < 0.5 else 0 for k, q in zip(n, links)]
+        for i in range(len(parts)):
+            want = [n[i], links[i], n[i - 1] if i else 0, links[i - 1] if i else 0, n[i + 1] if i + 1 < len(n) else 0, links[i + 1] if i + 1 < len(n) else 0, 0, 0, 0, 0]
+            assert x[i].tolist() == pytest.approx([*want, max(plain[max(0, i - 2):i], default=0), max(plain[i + 1:i + 3], default=0)])
 
 
 def test_whole_table(spark):
