@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..session import shared_dir
 from ..streaming import live as R
+from ..streaming import watch as WT
 from .registry import query
 
 c = F.col
@@ -20,6 +21,9 @@ def stream(t):
     return raw.select("event_id", "user_id", "event_type", "value", c("ts").cast("timestamp").alias("ts")).withColumn("day", c("ts").cast("date"))
 
 
+LIVE_BUCKETS = 2  # a day of the given tables is small
+
+
 def place(t) -> str:
     return f"{shared_dir(t.spark)}/live-{uuid.uuid4().hex[:10]}"
 
@@ -33,6 +37,37 @@ def r1(t):
     return t.spark.read.parquet(f"{at}/table").select("event_id", "user_id", "day", X.r6("value").alias("value"))
 
 
+@query("R1b_live_polls", """SELECT event_id, user_id, day, round(CASE WHEN sent THEN value ELSE value - 5 END, 6) AS value FROM (SELECT *, bool_or(stays) OVER (PARTITION BY user_id, day) AS sent FROM (SELECT *, CAST(ts AS DATE) AS day, event_id % 10 <> 3 OR event_id % 3 = 0 AS stays FROM @live)) WHERE stays OR NOT sent""")
+def r1b(t):
+    """Three polls of every game, one a batch: a first one with wrong values, the newest one, which lacks
+    rows that were withdrawn (games that lost all their rows are not in it), and an old copy that comes last."""
+    at = place(t)
+    rows = t.live.withColumn("ts", c("ts").cast("timestamp"))
+    rows = rows.select("event_id", "user_id", "ts", "value", c("ts").cast("date").alias("day"))
+    polls = [(1, rows.withColumn("value", c("value") + 5)), (3, rows.where("event_id % 10 <> 3 OR event_id % 3 = 0")), (2, rows.withColumn("value", c("value") - 5))]
+    for k, (poll, sent) in enumerate(polls):
+        sent.withColumn("poll", F.lit(poll)).write.parquet(f"{at}/in/step={k}")
+    schema = t.spark.read.parquet(f"{at}/in/step=0").schema
+    for k in range(len(polls)):
+        landed = R.bucketed(R.read_files(t.spark, f"{at}/in/step={k}", schema), ["user_id", "day"], LIVE_BUCKETS)
+        R.ingest(landed, f"{at}/table", f"{at}/ck{k}", ["user_id", "day"], "poll", ["event_id"], ["day", "bucket"], tie=["ts"]).awaitTermination()
+    return t.spark.read.parquet(f"{at}/table").select("event_id", "user_id", "day", X.r6("value").alias("value"))
+
+
+WATCH_SQL = """SELECT user_id, opened, closed, reason, k AS polls FROM (
+ SELECT *, CASE WHEN reason = 'silence' THEN polled + 28800000 ELSE polled END AS closed FROM (SELECT *, CASE WHEN fin THEN 'final' WHEN k = 40 THEN 'polls' WHEN nxt IS NULL OR nxt - polled > 28800000 THEN 'silence' END AS reason FROM (
+  SELECT user_id, epoch_us(ts) // 1000 AS polled, event_type = 'signup' AND value > 60 AS fin, row_number() OVER w AS k, lead(epoch_us(ts) // 1000) OVER w AS nxt, first(epoch_us(ts) // 1000) OVER w AS opened, max(epoch_us(ts) // 1000) OVER () - 172800000 AS mark FROM @live WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id)))
+ WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k) = 1) WHERE closed <= mark"""
+
+
+@query("R2b_watch_capped", WATCH_SQL)
+def r2b(t):
+    """Each user's game until a signup over 60, forty polls, or eight hours without one."""
+    at = place(t)
+    WT.watch(stream(t), f"{at}/closed", f"{at}/ck", "user_id", "ts", "event_id", (c("event_type") == "signup") & (c("value") > 60), R.LATENESS, 40, 8 * 3600 * 1000).awaitTermination()
+    return WT.first_closings(t.spark, f"{at}/closed").withColumnRenamed("game", "user_id")
+
+
 @query("R2_watch_until_final", "SELECT e.event_id, e.user_id FROM @live e LEFT JOIN (SELECT user_id AS u, min(ts) AS done FROM @live WHERE event_type = 'signup' AND value > 60 GROUP BY 1) ON u = e.user_id WHERE done IS NULL OR ts <= done")
 def r2(t):
     at = place(t)

@@ -28,6 +28,8 @@ HITTER_WEIGHTS = {"hr": 50.0, "hits": 12.0, "rbi": 8.0}
 
 #: How late a row may be, by event time, before it is dropped; every windowed operator takes its own.
 LATENESS = "2 days"
+#: Buckets of games in a day of the live table: as many as make a bucket a file of good size.
+BUCKETS = 64
 #: Change folders between two compactions.
 COMPACT_EVERY = 20
 
@@ -51,26 +53,37 @@ def newest_poll(rows: DataFrame, game: list[str], poll: str, keys: list[str], ti
     return latest_per_key(kept, keys, [poll, *tie]).select(*rows.columns)
 
 
-def merge_polls(table: str, game: list[str], poll: str, keys: list[str], partition: str, tie: list[str] = ()) -> Callable[[DataFrame, int], None]:
+def parts_of(partition: str | list[str]) -> list[str]:
+    return [partition] if isinstance(partition, str) else list(partition)
+
+
+def bucketed(rows: DataFrame, game: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Rows with ``bucket``, by their game: a partition finer than a day, so that a batch rewrites the
+    buckets of the games it touches and not whole days."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*game), F.lit(buckets)).cast("int"))
+
+
+def merge_polls(table: str, game: list[str], poll: str, keys: list[str], partition: str | list[str], tie: list[str] = ()) -> Callable[[DataFrame, int], None]:
     """Batch function: each game as its newest poll has it, rewriting only the touched partitions.
 
     The same batch twice, or two batches in either order, give the same table.  A game stays in its
     partition.
     """
+    parts = parts_of(partition)
 
     def merge(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
         both = batch
         if written(spark, table):
-            old = spark.read.parquet(table).join(batch.select(partition).distinct(), partition, "left_semi")
+            old = spark.read.parquet(table).join(batch.select(*parts).distinct(), parts, "left_semi")
             both = old.unionByName(batch.select(*old.columns))
         # Settled first: the partitions read are the ones written.
-        replace_slice(settle(newest_poll(both, game, poll, keys, tie)), table, [partition])
+        replace_slice(settle(newest_poll(both, game, poll, keys, tie)), table, parts)
 
     return merge
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str, game: list[str], poll: str, keys: list[str], partition: str, trigger: dict | None = None, tie: list[str] = ()) -> StreamingQuery:
+def ingest(stream: DataFrame, table: str, checkpoint: str, game: list[str], poll: str, keys: list[str], partition: str | list[str], trigger: dict | None = None, tie: list[str] = ()) -> StreamingQuery:
     """Start the live ingest; ``trigger`` defaults to everything available, then stop."""
     return (
         stream.writeStream.foreachBatch(merge_polls(table, game, poll, keys, partition, tie))
@@ -88,7 +101,7 @@ def up_to_end(rows: DataFrame, ended: DataFrame, game: str, stamp: str) -> DataF
     return rows.join(ended, game, "left").where(F.col("_end").isNull() | (F.col(stamp) <= F.col("_end"))).select(*rows.columns)
 
 
-def until_final(table: str, finals: str, game: str, stamp: str, final: Column, partition: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+def until_final(table: str, finals: str, game: str, stamp: str, final: Column, partition: str | list[str], keys: list[str]) -> Callable[[DataFrame, int], None]:
     """Batch function: keep what a game sent up to its final state, drop later rows.
 
     The ends a batch brings are written to a folder of that batch, beside the main table, so a
@@ -96,6 +109,7 @@ def until_final(table: str, finals: str, game: str, stamp: str, final: Column, p
     the end was known leave the partitions that are written again; ``finished`` leaves them out
     wherever they lie, so the result does not depend on the order of the batches.
     """
+    parts = parts_of(partition)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -103,10 +117,10 @@ def until_final(table: str, finals: str, game: str, stamp: str, final: Column, p
         ended = ends_of(spark, finals, game)
         both = batch
         if written(spark, table):
-            old = spark.read.parquet(table).join(batch.select(partition).distinct(), partition, "left_semi")
+            old = spark.read.parquet(table).join(batch.select(*parts).distinct(), parts, "left_semi")
             both = old.unionByName(batch.select(*old.columns))
         kept = up_to_end(latest_per_key(both, keys, [stamp]).select(*both.columns), ended, game, stamp)
-        replace_slice(settle(kept), table, [partition])
+        replace_slice(settle(kept), table, parts)
 
     return step
 
