@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import joins as J
 from ..operators import ordering as O
 from ..operators import rates as R
+from ..session import shared_dir
 from ..sources import tables as S
+from ..sources.contracts import CONTRACTS
 from .q_rates import METRIC_SQL, rate_sql
 from .registry import query
 from .roles import FOCAL_TEAMS
@@ -25,6 +29,27 @@ def s1(t):
     return S.conform(S.conform(t.seasons, S.CONTRACT["season_totals"]), wider)
 
 
+BROKEN = (("seasons", 1, "note", "added", False), ("seasons", 1, "war", "narrowed", True), ("games", 1, "bb", "missing", True), ("games", 1, "hits", "widened", False),
+          ("games", 2, "ab", "narrowed", True), ("games", 2, "bb", "missing", True), ("live", 1, "ts", "narrowed", True), ("live", 2, "ts", "narrowed", True), ("live", 2, "props", "missing", True))
+
+
+@query("S1b_contract_versions", f"SELECT v.role, version, path, kind, breaking, n FROM (VALUES {', '.join(map(str, BROKEN))}) v(role, version, path, kind, breaking) JOIN (SELECT 'seasons' AS role, count(*) AS n FROM @seasons UNION ALL SELECT 'games', count(*) FROM @games UNION ALL SELECT 'live', count(*) FROM @live) k ON k.role = v.role")
+def s1b(t):
+    """Written tables against all versions of their contracts: an added, a narrowed, a widened and a missing column."""
+    at = f"{shared_dir(t.spark)}/contracts-{uuid.uuid4().hex[:10]}"
+    sent = {
+        "seasons": t.seasons.withColumn("note", F.lit("n")).withColumn("war", c("war").cast("float")), "games": t.games.drop("bb").withColumn("ab", c("ab").cast("int")),
+        "live": t.live.drop("props").withColumn("ts", c("ts").cast("date"))}
+    for role, df in sent.items():
+        df.write.parquet(f"{at}/{role}")
+    back = {role: t.spark.read.parquet(f"{at}/{role}") for role in sent}
+    counts = None
+    for role, df in back.items():
+        n = df.agg(F.count("*").alias("n")).select(F.lit(role).alias("role"), "n")
+        counts = n if counts is None else counts.unionAll(n)
+    return CONTRACTS.violations(t.spark, back).join(F.broadcast(counts), "role")  # one row for each role
+
+
 @query("S2_resolve_source", "SELECT year, count(*) AS n FROM @seasons GROUP BY 1")
 def s2(t):
     fresh = t.seasons.where("year > 2900")
