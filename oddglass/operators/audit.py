@@ -13,7 +13,7 @@ SCOPE_RULES = (
      ("franchise", "all-time", "all time", "ever", "in history", "statcast era", "since 2015")),
     (("statcast era", "since 2015", "since_2015"),
      ("all-time", "all time", "ever", "in history", "in franchise history")),
-    (("franchise record", "franchise history", "best of the club"),
+    (("franchise record", "franchise history"),
      ("all-time in mlb", "mlb history", "ever in major league", "ever in baseball history")),
 )
 # What a post should not contain.
@@ -45,11 +45,15 @@ def digit_audit(texts: DataFrame, key: str, text: str, facts: str) -> DataFrame:
     return laid.where(~F.col(facts).contains(token) & ~F.col(facts).contains(other)).select(key, "token")
 
 
-def scope_upgrades(texts: DataFrame, key: str, framing: str, caption: str) -> DataFrame:
-    """Phrases of a wider scope than the finding's own."""
+def scope_upgrades(texts: DataFrame, key: str, framing: str, caption: str, club_marks: tuple[str, ...] = ()) -> DataFrame:
+    """Phrases of a wider scope than the finding's own.
+
+    ``club_marks`` are further framings of the last, club-wide rule, such as the club's own name.
+    """
     f, c = F.lower(framing), F.lower(caption)
     found = []
     for i, (marks, phrases) in enumerate(SCOPE_RULES):
+        marks = (*marks, *[m.lower() for m in club_marks]) if i == len(SCOPE_RULES) - 1 else marks
         within = F.lit(False)
         for m in marks:
             within = within | f.contains(m)
@@ -118,3 +122,24 @@ def packet_gaps(population: Column, coverage_ok: Column, season: Column, members
     return F.array_compact(F.array(
         F.when(population.isNull(), "population"), F.when(~coverage_ok, "coverage"), F.when(season.isNull(), "season"),
         F.when((members > 1) & peers.isNull(), "peers"), F.lit("park"), F.lit("defense")))
+
+
+def stat_tokens(stats: Column) -> Column:
+    """The written forms in which a finding's numbers may appear: whole, one and two places, and a rate's three."""
+    forms = lambda x: F.array(
+        F.format_string("%.0f", F.bround(x["value"], 0)), F.format_string("%.1f", X.rnd(x["value"], 1)), F.format_string("%.2f", X.rnd(x["value"], 2)),
+        F.when(x["unit"] == "rate", F.regexp_replace(F.format_string("%.3f", X.rnd(x["value"], 3)), "^0", "")))
+    return F.array_compact(F.flatten(F.transform(stats, forms)))
+
+
+def unbacked(text: Column, stats: Column) -> Column:
+    """Number tokens of a text that no stat stands behind, compared as whole tokens: 5 is not backed by 150."""
+    return F.array_except(X.number_tokens(text), stat_tokens(stats))
+
+
+def angle_audit(angles: DataFrame, key: list[str], headline: str, stats: str, reliability: str, tier: str, caveats: str) -> DataFrame:
+    """One row per broken check of a finding: its tier, its reliability, its headline's numbers, its corpus."""
+    own = F.col(reliability)
+    return violations(angles, key, {
+        "tier": F.col(tier) == X.reliability_tier(own), "reliability": own.between(0.0, 1.0) & ~F.isnan(own),
+        "headline": F.size(unbacked(F.col(headline), F.col(stats))) == 0, "corpus": F.size(stats) > 0, "caveat": F.size(caveats) > 0})

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,24 +158,21 @@ def diversity_board(rows: DataFrame, limit: int = 12, per_detector: int = 3, per
     det = Window.partitionBy("detector").orderBy(*best)
     blocked = per_subject * (limit // per_subject)
     trimmed = a.withColumn("_k", F.row_number().over(det)).where(F.col("_k") <= per_detector + blocked).drop("_k")
-    schema = "slot long, id string, detector string, subject string, score double, rank_value double, explored int"
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["explored", "rank_value", "id"], ascending=[False, False, True])
-        used: dict[tuple[str, str], int] = {}
-        kept = []
-        for row in pdf.itertuples(index=False):
-            d, s = ("d", row.detector), ("s", row.subject)
-            if used.get(d, 0) >= per_detector or (row.subject and used.get(s, 0) >= per_subject):
-                continue
-            used[d] = used.get(d, 0) + 1
-            used[s] = used.get(s, 0) + 1
-            kept.append(row)
-            if len(kept) == limit:
-                break
-        out = pd.DataFrame(kept, columns=list(pdf.columns))
-        out["slot"] = range(1, len(out) + 1)
-        return out[["slot", "id", "detector", "subject", "score", "rank_value", "explored"]]
-
-    few = trimmed.select("id", "detector", "subject", "score", "rank_value", "explored").withColumn("_g", F.lit(0))
-    return few.groupBy("_g").applyInPandas(lambda pdf: walk(pdf.drop(columns="_g")), schema)
+    return _walk(trimmed, limit, per_detector, per_subject)
+
+
+def _walk(rows: DataFrame, limit: int, per_detector: int, per_subject: int) -> DataFrame:
+    """The greedy walk as a fold over one ordered array, its state the used counts and the rows kept.
+
+    ``rows`` are the few that the cuts before it leave; a subject that is empty or unknown has no limit.
+    """
+    entry = "struct(-explored AS e, -rank_value AS r, id, detector, coalesce(subject, '') AS subject, score, rank_value, explored)"
+    ordered = rows.selectExpr(f"{entry} AS entry").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+    element = "struct<e: int, r: double, id: string, detector: string, subject: string, score: double, rank_value: double, explored: int>"
+    start = f"named_struct('d', CAST(map() AS map<string, int>), 's', CAST(map() AS map<string, int>), 'kept', CAST(array() AS array<{element}>))"
+    used = lambda m, k: f"coalesce(try_element_at(a.{m}, x.{k}), 0)"
+    more = lambda m, k: f"map_concat(map_filter(a.{m}, (k, v) -> k <> x.{k}), map(x.{k}, {used(m, k)} + 1))"
+    full = f"size(a.kept) >= {limit} OR {used('d', 'detector')} >= {per_detector} OR (x.subject <> '' AND {used('s', 'subject')} >= {per_subject})"
+    step = f"CASE WHEN {full} THEN a ELSE named_struct('d', {more('d', 'detector')}, 's', {more('s', 'subject')}, 'kept', concat(a.kept, array(x))) END"
+    kept = ordered.selectExpr(f"posexplode(aggregate(CAST(entries AS array<{element}>), {start}, (a, x) -> {step}, a -> a.kept)) AS (at, x)")
+    return kept.selectExpr("CAST(at + 1 AS BIGINT) AS slot", "x.id", "x.detector", "x.subject", "x.score", "x.rank_value", "x.explored")

@@ -127,11 +127,29 @@ def c10(t):
     return A.rows_differ(stated, again)
 
 
-@query("C11_angle_audit", f"SELECT team, owed, CASE WHEN pa / (pa + 220) >= 0.7e0 THEN 'high' WHEN pa / (pa + 220) >= 0.45e0 THEN 'moderate' ELSE 'low' END AS tier, contains('[' || pa || ']', CAST(abs(owed) AS BIGINT)::VARCHAR) AS backed FROM {LUCK_SQL}")
+@query("C11_angle_audit", f"SELECT team, owed, CASE WHEN pa / (pa + 220) >= 0.7e0 THEN 'high' WHEN pa / (pa + 220) >= 0.45e0 THEN 'moderate' ELSE 'low' END AS tier, abs(owed) = pa AS backed FROM {LUCK_SQL}")
 def c11(t):
+    """Is the shown number one of the finding's numbers, as a whole token?"""
     shown = F.abs("owed").cast("bigint").cast("string")
     facts = F.concat(F.lit("["), c("pa").cast("string"), F.lit("]"))
-    return team_luck(t).select("team", "owed", X.reliability_tier(X.reliability(c("pa"))).alias("tier"), facts.contains(shown).alias("backed"))
+    return team_luck(t).select("team", "owed", X.reliability_tier(X.reliability(c("pa"))).alias("tier"), F.array_contains(X.number_tokens(facts), shown).alias("backed"))
+
+
+@query("C11b_angle_checks", f"""SELECT team, "check" FROM (SELECT team, unnest(CASE team % 7 WHEN 0 THEN ['headline'] WHEN 1 THEN ['tier'] WHEN 2 THEN ['caveat'] WHEN 3 THEN ['headline', 'corpus'] WHEN 5 THEN ['reliability'] ELSE [] END) AS "check" FROM {LUCK_SQL})""")
+def c11b(t):
+    """Findings with a spoiled headline, tier, reliability, corpus or caveat, by team; the others are sound."""
+    luck = team_luck(t).withColumn("reliability", X.reliability(c("pa")))
+    k = c("team") % 7
+    stat = lambda v, unit: F.struct(v.cast("double").alias("value"), F.lit(unit).alias("unit"))
+    stats = F.array(stat(F.abs("owed"), "points"), stat(c("pa"), "count"), stat(c("talent"), "rate"))
+    # the spoiled number holds the right one: a comparison inside numbers would pass it
+    head = F.format_string("owed %d points over %d chances, true rate %s", F.abs("owed").cast("bigint"), F.when(k == 0, c("pa") * 10 + 7).otherwise(c("pa")), F.regexp_replace(F.format_string("%.3f", X.rnd("talent", 3)), "^0", ""))
+    reliability = F.when(k == 5, 1.5).otherwise(c("reliability"))
+    tier = X.reliability_tier(F.when(k == 5, 1.5).otherwise(c("reliability")))
+    angles = luck.select(
+        "team", head.alias("headline"), F.when(k == 3, F.filter(stats, lambda x: F.lit(False))).otherwise(stats).alias("stats"), reliability.alias("reliability"),
+        F.when(k == 1, "certain").otherwise(tier).alias("tier"), F.when(k == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("one year"))).alias("caveats"))
+    return A.angle_audit(angles, ["team"], "headline", "stats", "reliability", "tier", "caveats")
 
 
 # ---- review ------------------------------------------------------------------

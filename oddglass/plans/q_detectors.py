@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,12 @@ from . import q_learn as QE
 from . import q_lenses as QL
 from . import q_scan as QS
 from . import q_windows as QW
+from . import scan
 from .q_joins import REGIME_SQL, WAR_SQL, payroll, regimes, trade_output
 from .q_rates import a13
 from .q_scalars import PITCHING_SQL, pitching
 from .registry import query
+from .specs import load_registry
 
 c = F.col
 NOW = 2001
@@ -246,9 +250,30 @@ def d23(t):
     return top.join(known, F.lower("name") == c("k"), "left").select("subject_id", "n", "rate", F.coalesce("_p", F.lit(False)).alias("prospect"))
 
 
-@query("D24_scan", QS.P1_CLEAN)
+# The whole scan: splits beside contrasts and shifts, what was learned about each finding's features,
+# and slots kept for the best raw scores.  Shapes stand for the event types the reviews are about.
+SHAPES = {"scan": "view", "board": "click", "conjunction": "purchase", "contrast": "signup", "shift": "error", "split": "error"}
+SCAN_SLOTS, SCAN_EXPLORED = 60, 4
+SHAPE_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SHAPES.items()) + " END"
+
+
+def scan_sql() -> str:
+    split = f" UNION ALL SELECT 'split', metric_id || '|' || side, subject_id::VARCHAR, rarity, NULL, NULL, 1 - rarity, 9e0, 1, NULL FROM ({QS.P3_SQL}) WHERE rarity >= 0.85e0"
+    return f"""WITH f AS MATERIALIZED (SELECT *, kind || '|' || what || '|' || who AS item FROM ({QS.p1_sql("true", split, "")})), l AS MATERIALIZED (SELECT * FROM {QE.STATS_SQL} WHERE multiplier <> 1),
+ p AS (SELECT item, CASE WHEN avg(ln(multiplier)) IS NULL THEN 1e0 ELSE least(1.4e0, greatest(0.7e0, exp(avg(ln(multiplier))))) END AS prior FROM (SELECT item, unnest(['detector:' || {SHAPE_SQL}, 'user:' || who]) AS feature FROM f) LEFT JOIN l USING (feature) GROUP BY 1),
+ a AS MATERIALIZED (SELECT *, round(score * prior, 6) AS adjusted FROM f JOIN p USING (item)), x AS (SELECT *, row_number() OVER (ORDER BY score DESC, item) <= {SCAN_EXPLORED} AS explored, row_number() OVER (ORDER BY adjusted DESC, item) AS ra FROM a)
+ SELECT kind, what, who, rarity, score, adjusted, slot, explored FROM (SELECT *, row_number() OVER (ORDER BY explored DESC, CASE WHEN explored THEN -score ELSE -adjusted END, item) AS slot FROM x WHERE explored OR ra <= {SCAN_SLOTS}) WHERE slot <= {SCAN_SLOTS}"""
+
+
+@query("D24_scan", scan_sql())
 def d24(t):
-    return QS.p1(t)
+    split = QS.p3(t).where("rarity >= 0.85D").select(F.lit("split").alias("kind"), F.concat_ws("|", "metric_id", "side").alias("what"), c("subject_id").cast("string").alias("who"), "rarity")
+    shape = F.create_map(*[F.lit(x) for pair in SHAPES.items() for x in pair])
+    features = F.array(F.concat(F.lit("detector:"), shape[c("kind")]), F.concat(F.lit("user:"), c("who")))
+    given = replace(QS.inputs(t), others=QS.other_shapes(t).unionAll(split))
+    cfg = replace(QS.P1_LONG, top_k=SCAN_SLOTS, exploration=SCAN_EXPLORED)
+    got = scan.run_scan_learned(given, load_registry().metrics, cfg, features, QE.stats(t))
+    return got.select("kind", "what", "who", "rarity", "score", "adjusted", c("slot").cast("bigint").alias("slot"), "explored")
 
 
 @query("D25_hypothesis", QE.emitted_sql())

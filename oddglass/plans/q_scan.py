@@ -54,8 +54,11 @@ SPLITS_SQL = "(" + " UNION ALL ".join(
     for m, d in METRIC_SQL.items() for s, w in SIDE_SQL.items() if not (s.startswith("zone_bucket") and m in ("chase_rate", "zone_contact"))) + ")"
 
 
-@query("P3_scan_splits", f"""SELECT metric_id, side, subject_id, round(rarity, 6) AS rarity FROM (SELECT *, 0.5e0 + (pct - 0.5e0) * least(1, n / stab) AS rarity FROM (SELECT *, (rank() OVER (PARTITION BY metric_id, side ORDER BY CASE WHEN higher THEN value ELSE -value END) - 1) / count(*) OVER (PARTITION BY metric_id, side) AS pct, count(*) OVER (PARTITION BY metric_id, side) AS pop_n FROM {SPLITS_SQL})
- WHERE pop_n >= 10 AND n >= greatest(10, floor(stab / 5))) WHERE rarity >= 0.8e0 AND subject_id IN {FOCAL}""")
+P3_SQL = f"""SELECT metric_id, side, subject_id, round(rarity, 6) AS rarity FROM (SELECT *, 0.5e0 + (pct - 0.5e0) * least(1, n / stab) AS rarity FROM (SELECT *, (rank() OVER (PARTITION BY metric_id, side ORDER BY CASE WHEN higher THEN value ELSE -value END) - 1) / count(*) OVER (PARTITION BY metric_id, side) AS pct, count(*) OVER (PARTITION BY metric_id, side) AS pop_n FROM {SPLITS_SQL})
+ WHERE pop_n >= 10 AND n >= greatest(10, floor(stab / 5))) WHERE rarity >= 0.8e0 AND subject_id IN {FOCAL}"""
+
+
+@query("P3_scan_splits", P3_SQL)
 def p3(t):
     tied = [m.id for m in R.AGG_METRICS if m.denominator_columns]
     rows = R.all_rates(t.pitches, sides=R.split_sides()).where(~(c("metric_id").isin(*tied) & c("side").startswith("zone_bucket")))
@@ -157,7 +160,7 @@ TESTED_SQL = f"""(SELECT *, p <= bh_rank / bh_m * 0.05e0 OR NOT (1 / pop <= 0.05
  FROM (SELECT *, {FAMILY_OF} AS family, round_even(1 - rarity, 9) AS p FROM {FLOORED})))"""
 
 
-def p1_sql(keep: str) -> str:
+def p1_sql(keep: str, more: str = "", limit: str = "ORDER BY score DESC, kind, what, who LIMIT 40") -> str:
     tail = "CASE WHEN lens = 'rank' AND rank IS NOT NULL THEN rank / pop_n ELSE greatest(1 - pct, 1 / pop_n) END"
     return f"""WITH best AS MATERIALIZED (SELECT * FROM {TESTED_SQL} WHERE {keep} QUALIFY row_number() OVER (PARTITION BY subject_id, metric_id ORDER BY rarity DESC, lens) = 1),
 scoped AS MATERIALIZED (SELECT *, {tail} AS tail_p FROM {SCOPED.replace(BEST_SQL, 'best')}),
@@ -168,9 +171,9 @@ found AS (SELECT 'scan' AS kind, metric_id AS what, subject_id::VARCHAR AS who,
  UNION ALL SELECT 'board', metric_id, subject_id::VARCHAR, rarity, tier, anchor_period, tail_p, 9e0, 1, survives FROM boards
  UNION ALL SELECT 'conjunction', g.metrics, subject_id::VARCHAR, rarity, NULL, NULL, qualifying / population, pow(2e0, log2(factorial(9) / (factorial(CAST(members AS INTEGER)) * factorial(CAST(9 - members AS INTEGER))))), members, NULL FROM grp g JOIN ({PEERS_SQL.replace('{groups}', 'grp')}) p ON p.metrics = g.metrics AND p.year = g.year
  UNION ALL SELECT 'contrast', metric_id || '|' || pair, subject_id::VARCHAR, rarity, NULL, NULL, 1 - rarity, 9e0, 1, NULL FROM ({P4_SQL})
- UNION ALL SELECT 'shift', 'ba', subject_id::VARCHAR, rarity, NULL, NULL, 1 - rarity, 9e0, 1, NULL FROM ({P5_SQL})),
+ UNION ALL SELECT 'shift', 'ba', subject_id::VARCHAR, rarity, NULL, NULL, 1 - rarity, 9e0, 1, NULL FROM ({P5_SQL}){more}),
 s AS (SELECT *, CASE WHEN tail_p IS NULL THEN 0e0 ELSE {SURPRISE_SQL} END AS sp, CASE WHEN tier = 'franchise_record' THEN 0.95e0 ELSE 0e0 END AS st, CASE WHEN anchor_period IS NULL OR {NOW} - anchor_period >= 5 THEN 1e0 ELSE least(1e0, greatest(0.15e0, ({NOW} - anchor_period) / 5e0)) END AS since FROM found),
-top AS (SELECT kind, what, who, round(rarity, 6) AS rarity, tier, anchor_period, tail_p, members, survives, round((greatest(sp, st) + (1 - greatest(sp, st)) * 0.35e0 * least(sp, st)) * (0.55e0 + 0.45e0 * (1 - 0.22e0 * (members - 1))) * since, 6) AS score FROM s ORDER BY score DESC, kind, what, who LIMIT 40)
+top AS (SELECT kind, what, who, round(rarity, 6) AS rarity, tier, anchor_period, tail_p, members, survives, round((greatest(sp, st) + (1 - greatest(sp, st)) * 0.35e0 * least(sp, st)) * (0.55e0 + 0.45e0 * (1 - 0.22e0 * (members - 1))) * since, 6) AS score FROM s {limit})
 SELECT kind, what, who, rarity, tier, anchor_period, round(tail_p, 6) AS tail_p, CAST(members AS INTEGER) AS members, survives, score FROM top"""
 
 
@@ -178,11 +181,14 @@ P1_CLEAN = p1_sql("true")
 P1_LONG = replace(load_registry().scan, top_k=40)  # long enough for findings of every shape
 
 
-def scan_findings(t, cfg):
+def other_shapes(t):
     contrast = p4(t).select(F.lit("contrast").alias("kind"), F.concat_ws("|", "metric_id", "pair").alias("what"), c("subject_id").cast("string").alias("who"), "rarity")
     shift = p5(t).select(F.lit("shift").alias("kind"), F.lit("ba").alias("what"), c("subject_id").cast("string").alias("who"), "rarity")
-    given = replace(inputs(t), others=contrast.unionAll(shift))
-    got = scan.run_scan(given, load_registry().metrics, cfg)
+    return contrast.unionAll(shift)
+
+
+def scan_findings(t, cfg):
+    got = scan.run_scan(replace(inputs(t), others=other_shapes(t)), load_registry().metrics, cfg)
     return got.select("kind", "what", "who", "rarity", "tier", "anchor_period", X.r6("tail_p").alias("tail_p"), "members", "survives", "score")
 
 

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import interest as I
 from ..operators import lenses as L
 from ..operators.joins import best_per_key
+from ..operators.learn import combined_prior
 from ..operators.scan import boards_of, collapse_boards, hero_gate
 from ..operators.scope import conjunction_peers, conjunctions, franchise_scope
+from ..operators.windows import topk_with_exploration
 from ..session import settle
 from .specs import MetricSpec, ScanConfig
 
@@ -74,8 +76,8 @@ def strengthen(hits: DataFrame, inputs: ScanInputs) -> DataFrame:
         *hits.columns, "tier", "anchor_period")
 
 
-def run_scan(inputs: ScanInputs, metrics: tuple[MetricSpec, ...], cfg: ScanConfig = ScanConfig()) -> DataFrame:
-    """Ranked findings: conjunctions, boards, heroes and the given others, best first.
+def scored_findings(inputs: ScanInputs, metrics: tuple[MetricSpec, ...], cfg: ScanConfig = ScanConfig()) -> DataFrame:
+    """All findings with their score: conjunctions, boards, heroes and the given others.
 
     Conjunctions come first and spend their members; a metric with several hits left becomes one
     board and shows no single finding.  ``survives`` is the false-discovery mark of a finding's
@@ -112,5 +114,21 @@ def run_scan(inputs: ScanInputs, metrics: tuple[MetricSpec, ...], cfg: ScanConfi
     score = I.interest(
         I.surprise(raw, search), I.stakes(F.coalesce("tier", F.lit("")), no, no, no, F.lit(False), no, no), F.lit(0.0), F.lit(0.0),
         X.clamp(1.0 - 0.22 * (F.col("members") - 1), 0.1, 1.0), I.since_factor(F.lit(inputs.period), F.col("anchor_period")), F.lit(False))
-    ranked = found.withColumn("score", X.r6(score)).withColumn("rarity", X.r6("rarity"))
-    return ranked.orderBy(F.desc("score"), "kind", "what", "who").limit(cfg.top_k)
+    return found.withColumn("score", X.r6(score)).withColumn("rarity", X.r6("rarity"))
+
+
+def run_scan(inputs: ScanInputs, metrics: tuple[MetricSpec, ...], cfg: ScanConfig = ScanConfig()) -> DataFrame:
+    """The ``top_k`` findings by score."""
+    return scored_findings(inputs, metrics, cfg).orderBy(F.desc("score"), "kind", "what", "who").limit(cfg.top_k)
+
+
+def run_scan_learned(inputs: ScanInputs, metrics: tuple[MetricSpec, ...], cfg: ScanConfig, features: Column, learned: DataFrame) -> DataFrame:
+    """The ``top_k`` findings by score times what was learned about their features.
+
+    ``learned`` has a multiplier per feature; ``exploration`` slots go to the best raw scores first,
+    so that findings of an unloved kind are still seen.  Adds prior, adjusted, slot and explored.
+    """
+    found = settle(scored_findings(inputs, metrics, cfg).withColumn("item", F.concat_ws("|", "kind", "what", "who")))
+    prior = combined_prior(found.select("item", features.alias("features")), "item", learned)
+    ranked = found.join(prior, "item").withColumn("adjusted", X.r6(F.col("score") * F.col("prior")))
+    return topk_with_exploration(settle(ranked), "item", "adjusted", "score", cfg.top_k, cfg.exploration)
