@@ -45,6 +45,8 @@ SHARE = (75, 100)
 BLOCK = 256
 #: Shingles of one block, about.
 BLOCK_SHINGLES = 1 << 17
+#: Blocks of a mixed group that one task compares with the rest of the group.
+TOGETHER = 4
 #: Columns of an incidence matrix held at once.
 COLUMNS = 8192
 #: Candidate ids up to this number (some 100 MB in Spark's hash table) are broadcast.
@@ -217,7 +219,12 @@ def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def rest_links(members: DataFrame) -> DataFrame:
-    """Links (a, b) across components within groups: (first, v, c, main, words), ``main`` being the component of the first node."""
+    """Links (a, b) across components within groups: (first, v, c, main, words), ``main`` being the component of the first node.
+
+    Nodes outside the first one's component meet all nodes of the group, in blocks of sets. The
+    blocks on the left are dealt out ``TOGETHER`` to a task, and each task gets the group's other
+    blocks, so a large mixed group is many tasks' work, not one's.
+    """
     def blocks(keep):
         return F.ceil(F.greatest(F.count_if(keep) / BLOCK, F.sum(F.when(keep, F.length("words") / 8)) / BLOCK_SHINGLES)).cast("long")
 
@@ -226,9 +233,11 @@ def rest_links(members: DataFrame) -> DataFrame:
 
     def blocked(df, total, name):
         part = F.pmod(F.xxhash64("v"), F.col(total))
-        return df.withColumn("part", part).groupBy("first", "part").agg(F.collect_list(F.struct("v", "c", "words")).alias(name)).drop("part")
+        tasks = F.ceil(F.max("out") / TOGETHER).cast("int")
+        return df.withColumn("part", part).groupBy("first", "part").agg(F.collect_list(F.struct("v", "c", "words")).alias(name), tasks.alias("tasks"))
 
-    left, right = blocked(own.where("c <> main"), "out", "x"), blocked(own, "all", "y")
+    left = blocked(own.where("c <> main"), "out", "x").select("first", F.floor(F.col("part") / TOGETHER).cast("int").alias("task"), "x")
+    right = blocked(own, "all", "y").where("tasks > 0").select("first", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "y")
 
     def run(batches):
         for batch in batches:
@@ -242,7 +251,7 @@ def rest_links(members: DataFrame) -> DataFrame:
                 _, some = np.unique(np.column_stack([c[p], d[q]]), axis=0, return_index=True)
                 yield rows(a=v[p[some]], b=w[q[some]])
 
-    return left.join(right, "first").select("x", "y").mapInArrow(run, "a long, b long")
+    return left.join(right, ["first", "task"]).select("x", "y").mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame) -> DataFrame:

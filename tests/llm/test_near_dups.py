@@ -65,6 +65,21 @@ def test_chains_families_and_shared_passages(spark, monkeypatch):
     check(spark, found)
 
 
+def test_one_mixed_group_of_thousands(spark, monkeypatch):
+    """A passage stands in all texts: one group, some of whose pairs are alike; its blocks are dealt over tasks."""
+    monkeypatch.setattr(near_dups, "BLOCK", 64)
+    monkeypatch.setattr(near_dups, "TOGETHER", 2)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, tails, found = [word() for _ in range(70)], [[word() for _ in range(50)] for _ in range(25)], []
+    for i in range(1200):
+        tail = list(r.choice(tails)) if r.random() < 0.4 else [word() for _ in range(r.randrange(30, 60))]
+        if tail and r.random() < 0.5:
+            tail[r.randrange(len(tail))] = word()
+        found.append((i, " ".join(base + tail)))
+    check(spark, found)
+
+
 def test_components(spark):
     r = random.Random(9)
     links = [(i, i + 1) for i in range(0, 60)] + [(200, 200 + k) for k in range(1, 50)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(70)]
