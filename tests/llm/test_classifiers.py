@@ -77,20 +77,47 @@ def test_windows_do_not_cross_documents():
 
 def test_dictionary_shares_come_from_all_texts():
     texts = [chr(65 + i % 26) * 400 + f" {i} " + "end of the text " * 100 for i in range(600)]
-    made, used = quality._material(texts, quality.DICTIONARY)
-    assert len(made) <= quality.DICTIONARY and len(made) > 0.95 * quality.DICTIONARY
-    assert max(used) > 590 and min(used) < 10 and np.diff(sorted(used)).max() < 10  # not the first 128 texts only
-    assert b"end of the text" in made and made.count(b"end of the text") > 1000  # nor only the start of each
-    few, used = quality._material(["one", "", "two"], 64)
-    assert few == b"one\n\ntwo" and used == {0, 1, 2}
-    one, used = quality._material(["x" * 300_000, ""], quality.DICTIONARY)
-    assert used == {0} and len(one) > 0.95 * quality.DICTIONARY
-
-
-def test_texts_not_in_the_dictionary_calibrate(monkeypatch):
-    docs, _, good = corpus(2000, 4)
-    docs = [t for _, t in docs]
-    seen = []
-    monkeypatch.setattr(quality, "_logistic", lambda x, y: seen.append(len(y)) or np.zeros(x.shape[1]))
-    quality.fit([t * 3 for t in docs], np.array(good))
-    assert seen[0] > 1_400
+    distance = sum(map(len, texts)) // (quality.DICTIONARY // (quality.SHARE + 1))
+    drawn = [(7919 * i, k, part) for i, t in enumerate(texts) for k, part in enumerate(quality.shares(t, 7919 * i, distance))]
+    assert len({i for i, _, _ in drawn}) > 150 and all(bytes([65 + i]) * 50 in quality.dictionary(drawn) for i in range(26))
+    assert 0.8 * quality.DICTIONARY < len(quality.dictionary(drawn)) <= quality.DICTIONARY
+    assert quality.shares("short", 3, 0) == [b"short"] and quality.shares("", 3, 0) == [b""] and quality.shares("", 3, 600) == []
+    long = quality.shares("x" * 300_000, 5, 600)
+    assert len(long) == 500 and all(len(p) <= quality.SHARE for p in long)
+
+
+def plain_differences(model, docs):
+    """Sizes of every block with each dictionary, compressed one by one."""
+    import zstandard as zstd
+
+    def size(text, block):
+        d = zstd.ZstdCompressionDict(text, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        return len(zstd.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(block))
+
+    out = []
+    for raw in (t.encode("utf-8", "replace") for t in docs):
+        blocks = [raw[at:at + quality.BLOCK] for at in range(0, len(raw), quality.BLOCK)]
+        out.append(sum(size(model.bad, b) - size(model.good, b) for b in blocks) / max(1, len(raw)))
+    return out
+
+
+def test_scores_are_a_curve_of_the_size_difference(spark):
+    """Every score of the query is the calibrated curve at the plainly computed difference, and rises with it."""
+    made = corpus(400, 7)
+    every = made[0] + [(1000 + i, t) for i, (_, t) in enumerate(odd_texts())]
+    docs = documents(spark, every)
+    model = quality.train(docs, labels(spark, *made))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    want = plain_differences(model, [t or "" for _, t in every])
+    a, b, c = model.curve
+    assert all(abs(got[i] - 1 / (1 + np.exp(-(a + b * d * 10 + c * max(d, 0) * 10)))) < 1e-9 for (i, _), d in zip(every, want))
+    order = np.argsort(want)
+    rising = np.array([got[every[i][0]] for i in order])
+    assert b >= 0 and b + c > 0 and (np.diff(rising) >= -1e-12).all()
+
+
+def test_very_long_labelled_texts_stay_in_the_tasks(spark):
+    made = corpus(120, 9)
+    docs = [(i, t * 4000 if i % 20 == 0 else t) for i, t in made[0]]
+    got = quality.classify(documents(spark, docs), labels(spark, docs, made[1], made[2])).collect()
+    assert len(got) == 120 and np.mean([r.predicted == made[2][r.doc_id] for r in got]) > 0.85
