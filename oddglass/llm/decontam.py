@@ -33,6 +33,8 @@ LEAST = 5
 FIRST = 20
 COVERAGE = 0.5
 BLOCK_CHARS = 16 << 20
+#: Pairs of equal windows looked at together.
+PAIRS = 1 << 20
 _P = pow(0x9E3779B97F4A7C15, 1)
 _Q = pow(_P, -1, 1 << 64)
 
@@ -96,20 +98,34 @@ def _matches(doc, item, doc_marked, item_marked, s):
     hi, ii = hi[order], ii[order]
     left, right = np.searchsorted(hi, hd, "left"), np.searchsorted(hi, hd, "right")
     longest = 0
-    for k in np.flatnonzero(right > left):
-        d = int(di[k])
-        for i in ii[left[k]:right[k]].tolist():
-            if d and i and doc[d - 1] == item[i - 1] and not doc_marked[d - 1] and not item_marked[i - 1]:
-                continue  # inside a run that began earlier
-            n, most = 0, min(len(doc) - d, len(item) - i)
-            differ = (doc[d:d + most] != item[i:i + most]) | doc_marked[d:d + most] | item_marked[i:i + most]
-            n = int(differ.argmax()) if differ.any() else most
-            if n >= s:
-                found.setdefault(n, []).append((d, i))
-                longest = max(longest, n)
+    for d, i in _starts(doc, item, doc_marked, item_marked, di, ii, left, right):
+        most = min(len(doc) - d, len(item) - i)
+        differ = (doc[d:d + most] != item[i:i + most]) | doc_marked[d:d + most] | item_marked[i:i + most]
+        n = int(differ.argmax()) if differ.any() else most
+        if n >= s:
+            found.setdefault(n, []).append((d, i))
+            longest = max(longest, n)
     return found, longest
 
 
+def _starts(doc, item, doc_marked, item_marked, di, ii, left, right):
+    """Pairs of equal windows that no run before them holds. In texts that repeat themselves most pairs lie
+    inside a run that began earlier; they are left out together, so much at once."""
+    some = np.flatnonzero(right > left)
+    many = (right - left)[some]
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(some):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        own, n = some[at:stop], many[at:stop]
+        owner = np.repeat(own, n)
+        d, i = di[owner], ii[left[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)]
+        inside = (d > 0) & (i > 0)
+        inside &= (doc[d - 1] == item[i - 1]) & ~doc_marked[d - 1] & ~item_marked[i - 1]
+        yield from zip(d[~inside].tolist(), i[~inside].tolist())
+        at = stop
+
+
 class Block:
     """Some items: their words as numbers, and their seeds."""
 

@@ -61,3 +61,13 @@ def test_empty_tables(spark):
     assert decontam.overlaps(documents(spark, []), benchmark(spark, [(1, PLAIN)])).count() == 0
     assert decontam.overlaps(documents(spark), benchmark(spark, [])).count() == 0
     assert decontam.clean(documents(spark), benchmark(spark, [])).count() == len(odd_texts())
+
+
+def test_texts_that_repeat_themselves():
+    """Equal and periodic words: the same tiles as before in a fraction of the pairs, and in bounded time."""
+    import time
+
+    start = time.time()
+    assert sum(n for *_, n in decontam.tiles(np.zeros(20_000, np.int64), np.zeros(1_000, np.int64))) == 1_000
+    assert sum(n for *_, n in decontam.tiles(np.arange(20_000) % 7, np.arange(1_000) % 7)) == 1_000
+    assert time.time() - start < 6
