@@ -79,7 +79,7 @@ def test_dictionary_shares_come_from_all_texts():
     texts = [chr(65 + i % 26) * 400 + f" {i} " + "end of the text " * 100 for i in range(600)]
     distance = sum(map(len, texts)) // (quality.DICTIONARY // (quality.SHARE + 1))
     drawn = [(7919 * i, k, part) for i, t in enumerate(texts) for k, part in enumerate(quality.shares(t, 7919 * i, distance))]
-    assert len({i for i, _, _ in drawn}) > 150 and sum(bytes([65 + i]) * 50 in quality.dictionary(drawn) for i in range(26)) > 12
+    assert len({i for i, _, _ in drawn}) > 150 and sum(bytes([65 + i]) * 50 in quality.dictionary(drawn) for i in range(26)) > 8
     assert 0.8 * quality.DICTIONARY < len(quality.dictionary(drawn)) <= quality.DICTIONARY
     assert quality.shares("short", 3, 0) == [b"short"] and quality.shares("", 3, 0) == [b""] and quality.shares("", 3, 600) == []
     long = quality.shares("x" * 300_000, 5, 600)
@@ -121,3 +121,11 @@ def test_very_long_labelled_texts_stay_in_the_tasks(spark):
     docs = [(i, t * 4000 if i % 20 == 0 else t) for i, t in made[0]]
     got = quality.classify(documents(spark, docs), labels(spark, docs, made[1], made[2])).collect()
     assert len(got) == 120 and np.mean([r.predicted == made[2][r.doc_id] for r in got]) > 0.85
+
+
+def test_the_sample_is_bounded_in_words(spark, monkeypatch):
+    made = corpus(160, 11)
+    docs = [(i, t * 3000 if i == 3 else t) for i, t in made[0]]
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda ids, label, lang: seen.append(sum(map(len, ids))) or len(ids))
+    assert toxicity.train(documents(spark, docs), labels(spark, docs, made[1], made[2]), words=5_000) < 160 and 3_000 < seen[0] <= 5_000
