@@ -35,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder named in ``spark.checkpoint.dir``.
 
     Where none is named, a folder of this run under the warehouse, which all executors share as
-    well; it is removed when the driver ends.
+    well; it is removed when the driver ends.  A warehouse on the driver's own disk is shared by
+    nobody: on a cluster that stops the run with a message.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -43,6 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     app = sc.applicationId
     if app not in _SCRATCH:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if not sc.master.startswith("local") and (base.startswith("file:") or "://" not in base):
+            raise RuntimeError(f"spark.checkpoint.dir is not set and the warehouse {base} is a local folder: name a folder that all executors share")
         _SCRATCH[app] = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _SCRATCH[app])
     return _SCRATCH[app]

@@ -13,11 +13,16 @@ plays STRUCT<allPlays: ARRAY<STRUCT<atBatIndex: INT, pitcherId: BIGINT, batterId
   result: STRUCT<hits: INT, runs: INT, homeRuns: INT>,
   playEvents: ARRAY<STRUCT<isPitch: BOOLEAN, pitchNumber: INT, description: STRING, startSpeed: DOUBLE>>>>>
 """
+# What the pitch rows need; the parser skips all else.
+PITCH_SCHEMA = """
+gamePk BIGINT, status STRING,
+plays STRUCT<allPlays: ARRAY<STRUCT<atBatIndex: INT, pitcherId: BIGINT, playEvents: ARRAY<STRUCT<isPitch: BOOLEAN, pitchNumber: INT, description: STRING, startSpeed: DOUBLE>>>>>
+"""
 
 
 def flatten(feeds: DataFrame, column: str) -> DataFrame:
     """One row per pitch with its swing, whiff and in-play flags; other events are skipped."""
-    play = feeds.select(F.from_json(column, FEED_SCHEMA).alias("f")).select(
+    play = feeds.select(F.from_json(column, PITCH_SCHEMA).alias("f")).select(
         F.col("f.gamePk").alias("game_pk"), F.col("f.status").alias("status"), F.explode("f.plays.allPlays").alias("p"))
     event = play.select("game_pk", "status", F.col("p.atBatIndex").alias("at_bat"), F.col("p.pitcherId").alias("pitcher_id"), F.explode("p.playEvents").alias("e"))
     d = F.col("e.description")
