@@ -417,7 +417,11 @@ def fit(sequences: list[tuple[list[list[str]], list[int]]], rounds: int = 150, r
 
 
 def train(docs: DataFrame, bound: int = 5_000, longest: int = 40, lines: int = 3_000) -> Field:
-    """Fit on runs of at most ``bound`` documents (by id hash), none over ``longest`` words, and on generated lines."""
+    """Fit on runs of at most ``bound`` documents (by id hash), none over ``longest`` words, and on generated lines.
+
+    These are bounds of the training sample alone: a run of one and the same words counts at most 50
+    times, so that copies of one document do not outweigh all others. Scanning has no bound.
+    """
 
     own = narrow(docs, doc_id="long", text="string").where("doc_id IS NOT NULL")
     ids = sample_by_hash(own.select("doc_id").distinct(), bound)
