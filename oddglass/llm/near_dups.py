@@ -47,6 +47,8 @@ BLOCK = 256
 BLOCK_SHINGLES = 1 << 17
 #: Blocks of a mixed group that one task compares with the rest of the group.
 TOGETHER = 4
+#: Tasks in which the rows of one group meet what is known of it.
+SPREAD = 32
 #: Columns of an incidence matrix held at once.
 COLUMNS = 8192
 #: Candidate ids up to this number (some 100 MB in Spark's hash table) are broadcast.
@@ -218,6 +220,13 @@ def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """``left`` with its one row of ``right``: the rows of a key meet it in ``SPREAD`` tasks."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int").alias("_salt")
+    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return left.withColumn("_salt", salt).join(many, [key, "_salt"]).drop("_salt")
+
+
 def rest_links(members: DataFrame) -> DataFrame:
     """Links (a, b) across components within groups: (first, v, c, main, words), ``main`` being the component of the first node.
 
@@ -229,7 +238,7 @@ def rest_links(members: DataFrame) -> DataFrame:
         return F.ceil(F.greatest(F.count_if(keep) / BLOCK, F.sum(F.when(keep, F.length("words") / 8)) / BLOCK_SHINGLES)).cast("long")
 
     sizes = members.groupBy("first").agg(blocks(F.lit(True)).alias("all"), blocks(F.col("c") != F.col("main")).alias("out"))
-    own = members.join(sizes, "first")
+    own = spread_join(members, sizes, "first", "v")
 
     def blocked(df, total, name):
         part = F.pmod(F.xxhash64("v"), F.col(total))
@@ -270,7 +279,7 @@ def groups(docs: DataFrame) -> DataFrame:
     # groups that still hold several components
     known = settled(grouped.join(comp, "v", "left").select("first", "v", F.coalesce("c", "v").alias("c")))
     mixed = known.groupBy("first").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("c", "v").alias("main")).where("low <> high").select("first", "main")
-    members = settled(known.join(mixed, "first"))
+    members = settled(spread_join(known, mixed, "first", "v"))
     sets = sets_of(settled(members.select(F.col("v").alias("doc_id")).distinct()), docs)
     more = settled(rest_links(members.join(sets, "v")))
     final = components(links.unionAll(more)).groupBy("v").agg(F.min("c").alias("c"))
