@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from ..session import shared_dir
 from .registry import ORACLES, QUERIES, _same_rounding
 from .roles import Tables
 
+#: Detectors whose jobs are in the scheduler together.
+AT_ONCE = 4
 SCHEMA = "candidate_id string, subject string, kind string, payload map<string, string>, interest double, evidence string, detector string"
 
 
@@ -57,19 +60,25 @@ def candidate_rows(detector: Detector, t: Tables) -> DataFrame:
         F.sha2(F.concat_ws("|", F.lit(detector.name), "subject", "evidence"), 256).alias("candidate_id"), "subject", F.lit(detector.kind).alias("kind"), "payload", "interest", "evidence")
 
 
-def run_all(t: Tables, path: str, names: Iterable[str] | None = None) -> DataFrame:
-    """Write every detector's candidates under ``path`` and return the ledger: detector, complete, error."""
-    ledger = []
-    for name in sorted(DETECTORS) if names is None else names:
-        error = None
+def run_all(t: Tables, path: str, names: Iterable[str] | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """Write every detector's candidates under ``path`` and return the ledger: detector, complete, error.
+
+    Detectors do not wait for each other: ``at_once`` of them have their jobs in the scheduler, so that
+    the small last stages of one leave no executor idle.
+    """
+
+    def one(name: str) -> tuple[str, bool, str | None]:
         try:
             candidate_rows(get_detector(name), t).write.mode("overwrite").parquet(f"{path}/detector={name}")
+            return name, True, None
         except Exception as e:  # recorded in the ledger; the other detectors still run
-            error = f"{type(e).__name__}: {str(e).splitlines()[0][:300] if str(e) else ''}"
             # what a failed write left behind holds no finished part
             at = t.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/detector={name}")
             at.getFileSystem(t.spark._jsc.hadoopConfiguration()).delete(at, True)
-        ledger.append((name, error is None, error))
+            return name, False, f"{type(e).__name__}: {str(e).splitlines()[0][:300] if str(e) else ''}"
+
+    with ThreadPoolExecutor(at_once) as pool:
+        ledger = list(pool.map(one, sorted(DETECTORS) if names is None else list(names)))
     return t.spark.createDataFrame(ledger, "detector string, complete boolean, error string")
 
 
