@@ -54,6 +54,36 @@ def test_better_than_single_words(spark):
     assert sum(x.score for x in own) > 0.5 * sum(x.base_score for x in own)  # both are negative
 
 
+def plain_scores(found):
+    """The mixture, token by token: every training token deleted in turn, weights by context level from plain EM."""
+    docs = [(i, [*WORD.findall((t or "").translate(LOWER)), None]) for i, t in found]
+    trained = [ws for i, ws in docs if not held(i)]
+    one, two = Counter(w for ws in trained for w in ws), Counter((a, w) for ws in trained for a, w in zip(["<start>", *ws], ws))
+    n, v = sum(one.values()), len(one)
+    context = lambda a: len(trained) if a == "<start>" else one[a]
+    start = {k: [0.1, 0.4, 0.5] if k else [0.2, 0.8, 0.0] for k in range(lm.LEVELS)}
+    weight = dict(start)
+    seen = [((context(a) - 1).bit_length(), [1 / (v + 1), (one[w] - 1) / max(n - 1, 1), (two[a, w] - 1) / max(context(a) - 1, 1)]) for ws in trained for a, w in zip(["<start>", *ws], ws)]
+    for _ in range(lm.ROUNDS):
+        got = {k: [x / 2 for x in start[k]] for k in start}
+        for k, share in seen:
+            part = [x * y for x, y in zip(weight[k], share)]
+            for j in range(3):
+                got[k][j] += part[j] / sum(part)
+        got[0][2] = 0.0
+        weight = {k: [x / sum(g) for x in g] for k, g in got.items()}
+    return [(i, sum(math.log10(sum(x * y for x, y in zip(weight[context(a).bit_length()], [1 / (v + 1), one[w] / max(n, 1), two[a, w] / max(context(a), 1)]))) for a, w in zip(["<start>", *ws], ws))) for i, ws in docs]
+
+
+def test_scores_against_a_plain_mixture(spark):
+    """The grid of estimates that the tasks add up moves a score by less than half a percent."""
+    r = random.Random(8)
+    words = [f"w{int(r.paretovariate(0.8)) % 300}" for _ in range(6000)]
+    found = [(i, " ".join(words[k:k + r.randrange(1, 60)])) for i, k in enumerate(range(0, 5900, 25))] + [(5000 + k, t) for k, (_, t) in enumerate(odd_texts())]
+    got = {x.doc_id: x.score for x in check(spark, found)}
+    assert all(math.isclose(got[i], want, rel_tol=5e-3, abs_tol=5e-3) for i, want in plain_scores(found))
+
+
 def test_mixture_sums_to_one():
     w = lm.weights(np.array([[3, 50, 20.0, 5.0], [0, 7, 0.0, 1.0], [1, 9, 0.0, 0.4]]), 30)
     assert np.allclose(w.sum(1), 1) and w[0, 2] == 0
