@@ -1,6 +1,7 @@
 """Quality and toxicity: held-out accuracy, odd rows, missing labels."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -69,6 +70,29 @@ def test_text_alone_decides(spark, module, which):
     assert all(0 <= got[1000 + i] <= 1 for i in range(len(odd)))
 
 
+def plain_toxicity(model, text):
+    """One text through the network, window by window and filter by filter."""
+    words = toxicity.WORDS.findall((text or "").lower())
+    row = [int(model.remap[zlib.crc32(w.encode("utf-8", "replace")) & ((1 << toxicity.BITS) - 1)]) for w in words] or [toxicity.PAD]
+    total = model.offset
+    k = 0
+    for own, bias in zip(model.filters, model.bias):
+        for f in range(len(bias)):
+            best = max(sum(float(model.embedding[row[at + j] if at + j < len(row) else toxicity.PAD] @ tap[:, f]) for j, tap in enumerate(own)) for at in range(len(row)))
+            total += max(best + float(bias[f]), 0.0) * float(model.weights[k])
+            k += 1
+    language = int(np.argmax(sum(model.languages[r].astype(float) for r in row)))
+    return 1 / (1 + np.exp(-(total - model.thresholds[language])))
+
+
+def test_scores_against_the_plain_network(spark):
+    made = corpus(240, 5)
+    every = made[0][:60] + [(1000 + i, t) for i, (_, t) in enumerate(odd_texts()) if i not in (11, 12)]
+    model = toxicity.train(documents(spark, made[0]), labels(spark, *made))
+    got = {r.doc_id: r.score for r in toxicity.score(documents(spark, every), model).collect()}
+    assert all(abs(got[i] - plain_toxicity(model, t)) < 1e-4 for i, t in every)
+
+
 def test_windows_do_not_cross_documents():
     flat, starts, gaps = toxicity._laid_out([np.array([5, 6]), np.zeros(0, np.int64), np.array([7])])
     assert flat[starts].tolist() == [5, toxicity.PAD, 7] and len(gaps) == 6
