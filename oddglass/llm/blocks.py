@@ -10,6 +10,7 @@ a key that stands in a third of all documents is one entry for each block.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -67,32 +68,32 @@ def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, starts), [len(keys)]])
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as compressed differences, byte by byte."""
+@functools.lru_cache(maxsize=1)
+def _packer():
+    """A worker's own compressor and decompressor: a new one for every piece would cost more than the piece."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences, byte by byte."""
     step = np.diff(keys, prepend=_U(0)) if len(keys) else keys
     planes = np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _packer()[0](planes.tobytes())
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    raw = np.frombuffer(_packer()[1](data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(raw.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def pack_numbers(values: np.ndarray) -> bytes:
     """Whole numbers, mostly small, byte by byte."""
-    import zstandard
-
     planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _packer()[0](planes.tobytes())
 
 
 def unpack_numbers(data: bytes) -> np.ndarray:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    raw = np.frombuffer(_packer()[1](data), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(raw.T).view("<i8").ravel()
