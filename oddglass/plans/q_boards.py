@@ -30,6 +30,7 @@ class Board:
     low: bool = False
 
 
+# Names of the statistics, and how each is written.
 BOARDS = (
     Board("hits", "hitting", "hits", "whole"), Board("atBats", "hitting", "ab", "whole"), Board("walks", "hitting", "bb", "whole"), Board("games", "hitting", "days", "whole"),
     Board("battingAverage", "hitting", "hits / ab", "average"), Board("onBasePercentage", "hitting", "(hits + bb) / (ab + bb)", "average"),
@@ -73,6 +74,7 @@ def d3b(t):
 
 
 # ---- panels -------------------------------------------------------------------
+# The bars' statistics and labels, and whether more is better.
 BARS = (("est_woba", "xwOBA", True), ("hard_hit_percent", "Hard-Hit%", True), ("brl_percent", "Barrel%", True), ("chase_percent", "Chase%", False), ("k_percent", "K%", False))
 DAILY = 12
 BAR_SQL = " UNION ALL ".join(f"SELECT subject_id, team, '{label}' AS label, {i} AS place, {'' if high else '-'}{m} AS v FROM @stats WHERE year = {NOW} AND pa >= 40 AND {m} IS NOT NULL" for i, (m, label, high) in enumerate(BARS, 1))

@@ -135,13 +135,13 @@ def j15b(t):
     return ranked.select("team", "year", X.r6("inherited").alias("inherited"), X.r6("pct").alias("pct"), "delta", "drop_rank")
 
 
-@query("G3b_manager_cohort", f"""SELECT team, delta, f AS fell_further, k AS level_with, n AS cohort_n, CASE WHEN f = 0 THEN 'no one fell further' WHEN f = 1 THEN 'only one fell further' ELSE 'it has happened before' END AS title FROM (
+@query("G3b_manager_cohort", f"""SELECT team, delta, f AS fell_further, k AS level_with, n AS cohort_n, CASE WHEN f = 0 THEN 'none' WHEN f = 1 THEN 'one' ELSE 'several' END AS precedents FROM (
  SELECT team, delta, (SELECT count(*) FROM {REFERENCE_SQL} x WHERE x.delta < o.delta) AS f, (SELECT count(*) FROM {REFERENCE_SQL} x WHERE x.delta = o.delta) AS k, (SELECT count(*) FROM {REFERENCE_SQL}) AS n FROM {HANDED_SQL} o WHERE year = {NOW})""")
 def g3b(t):
     got = CO.among(reference(t), judged(t), "delta")
     f = c("fell_further")
-    title = F.when(f == 0, "no one fell further").when(f == 1, "only one fell further").otherwise("it has happened before")
-    return got.select("team", "delta", "fell_further", "level_with", "cohort_n", title.alias("title"))
+    precedents = F.when(f == 0, "none").when(f == 1, "one").otherwise("several")
+    return got.select("team", "delta", "fell_further", "level_with", "cohort_n", precedents.alias("precedents"))
 
 
 SPOT_SQL = "(team * 31 + year) % 17"
