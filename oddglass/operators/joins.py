@@ -97,3 +97,16 @@ def first_of_partition(df: DataFrame, part: list[str], order: list[Column], brin
     """Bring columns of the first row of each partition to all its rows (small partitions)."""
     w = Window.partitionBy(*part).orderBy(*order)
     return df.withColumns({new: F.first(src).over(w) for src, new in bring.items()})
+
+
+#: Rows that one task groups, about; its hash tables of them take some hundred MB at most.
+ROWS_TOGETHER = 250_000
+
+
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by key to as many tasks as their number asks for.
+
+    Adaptive execution joins small shuffle partitions by their packed size, and the hash tables of
+    one task then grow with the input; a number that is asked for is kept, and grows instead.
+    """
+    return rows.repartition(max(1, -(-rows.count() // ROWS_TOGETHER)), *keys)

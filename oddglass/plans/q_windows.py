@@ -61,7 +61,11 @@ LOG_SQL = """(SELECT o_custkey AS subject_id, CAST(o_orderdate AS DATE) AS day,
 
 
 def game_log(t):
-    return t.orders.groupBy(c("o_custkey").alias("subject_id"), c("o_orderdate").cast("date").alias("day")).agg(
+    return log_of(t.orders)
+
+
+def log_of(orders):
+    return orders.groupBy(c("o_custkey").alias("subject_id"), c("o_orderdate").cast("date").alias("day")).agg(
         F.count_if(c("o_orderstatus") != "P").alias("ab"), F.count_if(c("o_orderstatus") == "F").alias("hits"))
 
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from oddglass.operators import audit as A
 from oddglass.operators import cohort as CO
+from oddglass.operators import joins as J
 from oddglass.operators import reconcile as RC
 from oddglass.operators import selection as SEL
+from oddglass.plans import catalog
 
 c = F.col
 
@@ -106,3 +108,20 @@ def test_stated_ranks(spark):
     found = SEL.values_at_ranks(src, ["stat"], "v", stated.select("stat", "rank").distinct(), descending=True)
     got = {(r.stat, r["rank"], r.v): r.verdict for r in RC.at_stated_rank(stated, found, ["stat"], "rank", "v", {"hr": 0.0, "avg": 0.001}, "stat").collect()}
     assert got == {("hr", 1, 40.0): "ok", ("hr", 2, 38.0): "ok", ("hr", 3, 38.0): "ok", ("hr", 3, 37.0): "mismatch", ("hr", 9, 1.0): "missing", ("avg", 2, .330): "ok", ("avg", 3, .312): "mismatch"}
+
+
+def test_rows_of_a_day_differ_in_tasks_of_bounded_size(spark, place, monkeypatch):
+    r = random.Random(6)
+    day = lambda: r.choice([None, *[dt.datetime(2001, 1, 1, 7) + dt.timedelta(days=k) for k in range(40)]])
+    rows = [(i, r.choice([None, *range(60)]), r.choice(["P", "F", "F", "O", None]), day()) for i in range(3000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp").write.parquet(f"{place}/orders.parquet")
+    monkeypatch.setattr(J, "ROWS_TOGETHER", 100, raising=False)
+    got = catalog.queries()["C10_reconcile_ledger_windows_cohort"](spark, place)
+    want = {}
+    for _, who, status, when in rows:
+        ab, hits, known = want.get(key := (who, when and when.date()), (0, 0, False))
+        want[key] = (ab + (status in ("F", "O")), hits + (status == "F"), known or status is not None)
+    laid = [(*k, ab if side[0] == "s" or known else None, (hits + (hits == 2 and side[0] == "s")) if side[0] == "s" or known else None, side)
+            for k, (ab, hits, known) in want.items() if hits == 2 or not known for side in ("stated_only", "recomputed_only")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(laid, key=str)
+    assert got.rdd.getNumPartitions() >= 30
