@@ -275,14 +275,15 @@ def groups(docs: DataFrame) -> DataFrame:
     grouped = settled(met.groupBy("first", "first_n", "v", "n").agg(F.lit(1).alias("one")).drop("one"))
     stars = grouped.where((F.col("v") != F.col("first")) & alike(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("v").alias("b"))
     links = settled(verify(stars, docs))
-    comp = settled(components(links)).groupBy("v").agg(F.min("c").alias("c"))
+    comp = settled(components(links))
     # groups that still hold several components
     known = settled(grouped.join(comp, "v", "left").select("first", "v", F.coalesce("c", "v").alias("c")))
     mixed = known.groupBy("first").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("c", "v").alias("main")).where("low <> high").select("first", "main")
     members = settled(spread_join(known, mixed, "first", "v"))
     sets = sets_of(settled(members.select(F.col("v").alias("doc_id")).distinct()), docs)
     more = settled(rest_links(members.join(sets, "v")))
-    final = components(links.unionAll(more)).groupBy("v").agg(F.min("c").alias("c"))
+    # a component found above is the star of its smallest id from here on
+    final = components(comp.select(F.col("c").alias("a"), F.col("v").alias("b")).unionAll(more))
     named = nodes.select("n", "f1", "f2", "v").join(final, "v", "left").select("n", "f1", "f2", F.coalesce("c", "v").alias("c"))
     out = sketched.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))

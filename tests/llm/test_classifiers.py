@@ -153,3 +153,12 @@ def test_the_sample_is_bounded_in_words(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "fit", lambda ids, label, lang: seen.append(sum(map(len, ids))) or len(ids))
     assert toxicity.train(documents(spark, docs), labels(spark, docs, made[1], made[2]), words=5_000) < 160 and 3_000 < seen[0] <= 5_000
+
+
+def test_the_driver_hands_back_what_the_fit_took(spark, monkeypatch):
+    docs, toxic, _ = corpus(60, 3)
+    after = []
+    monkeypatch.setattr(toxicity, "fit", lambda *a: after.append("fit") or "model")
+    monkeypatch.setattr(toxicity, "release", lambda: after.append("release"), raising=False)
+    labels = spark.createDataFrame([(i, t) for (i, _), t in zip(docs, toxic)], "doc_id long, toxic int")
+    assert toxicity.train(documents(spark, docs), labels) == "model" and after == ["fit", "release"]

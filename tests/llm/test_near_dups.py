@@ -5,7 +5,7 @@ import random
 import numpy as np
 from cases import documents, groups, odd_texts, shingle_set
 
-from oddglass.llm import graph, near_dups
+from oddglass.llm import common, graph, near_dups
 
 
 def test_signature_estimates_similarity():
@@ -95,3 +95,18 @@ def test_components(spark):
         parent[q] = p
     got = {x.v: x.c for x in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {v: top(v) for v in parent if any(v in p and p[0] != p[1] for p in links)}
+
+
+def test_stars_take_no_round_and_found_components_are_not_joined_anew(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(graph, "settled", lambda df: kept.append(1) or common.settled(df))
+    star = [(7, k) for k in range(8, 30)] + [(3, 4), (4, 3), (5, 5), (None, 6), (6, None)]
+    got = sorted((x.v, x.c) for x in graph.components(spark.createDataFrame(star, "a long, b long")).collect())
+    assert got == [(3, 3), (4, 3), *[(k, 7) for k in range(7, 30)]] and len(kept) == 1
+    kept.clear()
+    two = [(1, 2), (2, 3), (9, 8), (8, 3)]  # one round at least
+    assert {(x.v, x.c) for x in graph.components(spark.createDataFrame(two, "a long, b long")).collect()} == {(k, 1) for k in (1, 2, 3, 8, 9)} and len(kept) > 1
+    kept.clear()
+    words = [f"w{k}" for k in range(300)]
+    check(spark, [(k, " ".join(words[9 * k:9 * k + 100])) for k in range(20)])
+    assert len(kept) <= 7
