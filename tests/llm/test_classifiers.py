@@ -162,3 +162,39 @@ def test_the_driver_hands_back_what_the_fit_took(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "release", lambda: after.append("release"), raising=False)
     labels = spark.createDataFrame([(i, t) for (i, _), t in zip(docs, toxic)], "doc_id long, toxic int")
     assert toxicity.train(documents(spark, docs), labels) == "model" and after == ["fit", "release"]
+
+
+def test_all_labelled_rows_reach_the_fit(spark, monkeypatch):
+    docs = spark.range(10_500).selectExpr("id AS doc_id", "concat('word', id, ' and more') AS text", "'en' AS lang").repartition(3)
+    twice = docs.unionAll(docs.limit(50)).unionAll(spark.createDataFrame([(None, "lost", "en")], "doc_id long, text string, lang string"))
+    labels = spark.range(10_500).selectExpr("id AS doc_id", "cast(id % 5 = 0 AS int) AS toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda ids, label, lang: seen.append((len(ids), sum(map(len, ids)), label)))
+    toxicity.train(twice, labels)
+    own = [i for i in range(10_500) if zlib.crc32(str(i).encode()) % 5]
+    assert len(own) > 8_000 and seen == [(len(own), 3 * len(own), sum(i % 5 == 0 for i in own))]
+
+
+def test_fit_over_several_shards(spark, monkeypatch):
+    """Rows dealt to shards are all learned from, and held-out rows are told apart as by one shard alone."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 250)
+    monkeypatch.setattr(toxicity, "PART", 100)
+    made = corpus(1200, 13)
+    docs, own = documents(spark, made[0]), labels(spark, *made)
+    got = [r for r in toxicity.classify(docs, own).collect() if r.held_out]
+    assert np.mean([r.predicted == made[1][r.doc_id] for r in got]) > 0.93 and len(got) > 150
+    model = toxicity.train(docs, own)
+    assert all(abs(r.score - plain_toxicity(model, made[0][r.doc_id][1])) < 1e-4 for r in got[:20])
+
+
+def test_the_strongest_answers_and_where_they_start():
+    r = np.random.default_rng(2)
+    parts = [r.integers(2, 900, n) for n in (5, 0, 9_000, 1, 300, 4_500, 2)]
+    flat, starts, gaps = toxicity._laid_out(parts)
+    taps = [[r.normal(size=(900, 4)) for _ in range(w)] for w in toxicity.WIDTHS]
+    bests, spots = toxicity._strongest(taps, flat, starts, gaps)
+    for own, best, spot in zip(taps, bests, spots):
+        for d, part in enumerate(parts):
+            at = np.arange(max(1, len(part))) + starts[d]
+            every = sum(own[k][flat[at + k]] for k in range(len(own)))
+            assert np.allclose(best[d], every.max(0)) and (spot[d] == every.argmax(0) + starts[d]).all()
